@@ -16,9 +16,15 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: few rows in an Arrow batch keep Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tilework-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,4 +74,5 @@ def components(edges: DataFrame, limit: int = 40) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
+    found = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
+    return found.union(found.select(F.col("comp").alias("node"), "comp").distinct())

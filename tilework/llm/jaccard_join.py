@@ -7,8 +7,13 @@
    fill most prefixes and cost nothing: such texts have no candidates at all.
 3. The estimated candidate cost of a class is the sum of the frequencies in its prefix; costly classes lengthen it by
    up to MAX_MATCH - 1 shingles and then require that many more shared ones (the smaller number of the two counts).
-4. Star rounds check each class against one pivot a posting and contract what links. Then all candidate pairs that are
-   still in different groups are checked, whatever their number. Checks intersect whole shingle sets.
+4. Frequencies in step 2 are first counted over a share of the hash range (COUNTED): enough to drop most classes. For the
+   classes left, whole sets are fetched once, frequencies are counted again among them over the whole range, and prefixes
+   are chosen anew. Classes that share prefix shingles, directly or through others, form families (a distributed search).
+5. A family of at most FAMILY classes is checked in one task: pairs that share as many prefix shingles as required, by
+   intersecting whole sets. Larger families (one text may have millions of near copies) stay distributed: star rounds check
+   each class against one central pivot and contract what links, then all candidate pairs that are still in different groups
+   are checked, whatever their number.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; null ids are kept (component_id is
 the smallest id that is not null in the group, else null); repeated rows are members like any others."""
@@ -31,6 +36,8 @@ MAX_MATCH = 4
 #: Estimated candidates beyond which a prefix gets one more shingle; each further one at four times as many.
 COST = 32
 STAR_ROUNDS = 2
+#: Classes of a family that one task takes: a matrix of FAMILY ** 2 small numbers, 36 MB.
+FAMILY = 3000
 SMALL = "sig long, doc_id long, n long, inside long"
 PREFIX = "sig long, token long, at int"
 SETS = "sig long, tokens array<long>"
@@ -117,7 +124,7 @@ def _sets(k: int):
 def _linked(pct: int):
     def run(batches):
         for b in batches:
-            (ad, ao), (bd, bo) = (_lists(b, x) for x in ("a_tokens", "b_tokens"))
+            (ad, ao), (bd, bo) = (_flat(b.column(b.schema.get_field_index(x))) for x in ("a_tokens", "b_tokens"))
             keep = []
             for i in range(b.num_rows):
                 x, y = ad[ao[i] : ao[i + 1]], bd[bo[i] : bo[i + 1]]
@@ -130,12 +137,6 @@ def _linked(pct: int):
     return run
 
 
-def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    col = b.column(b.schema.get_field_index(name))
-    offsets = np.asarray(col.offsets)
-    return np.asarray(col.values).view(K.U), offsets
-
-
 def jaccard_groups(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -158,10 +159,12 @@ def _shared(docs: DataFrame, k: int, pct: int) -> DataFrame:
     return tokens.join(counts, "token").groupBy("sig", "token", "at").agg(F.first("df").alias("df"))
 
 
-def _useful(shared: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
-    """(sig, n, token, l): the shared shingles inside each class's prefix, and the number it requires. In the counted
-    range shared ones follow the single ones, by frequency and hash; beyond it a shingle's place is that by hash."""
-    shared = shared.withColumn("counted", F.expr(f"shiftrightunsigned(token, 32) < {int(COUNTED * 2**32)}"))
+def _useful(shared: DataFrame, classes: DataFrame, pct: int, counted_share: float) -> DataFrame:
+    """(sig, n, token, l, share): the shared shingles inside each class's prefix, and the number it requires. In the counted
+    range shared ones follow the single ones, by frequency and hash; beyond it a shingle's place is that by hash. classes
+    has sig, n, inside (shingles in the counted range). share: of single shingles, in thousandths."""
+    counted = F.expr(f"shiftrightunsigned(token, 32) < {int(counted_share * 2**32)}") if counted_share < 1 else F.lit(True)
+    shared = shared.withColumn("counted", counted)
     many = shared.groupBy("sig").agg(F.sum(F.col("counted").cast("long")).alias("n_shared"))
     facts = classes.join(many, "sig").select("sig", "n", F.expr("inside - n_shared").alias("n_single"), F.expr(f"n - (({pct} * n + 99) div 100)").alias("slack"))
     place = F.row_number().over(Window.partitionBy("sig", "counted").orderBy("df", "token"))
@@ -170,19 +173,36 @@ def _useful(shared: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     cost = F.sum(F.when(F.col("rank") <= F.col("slack") + 1, F.col("df"))).over(Window.partitionBy("sig"))
     match = F.least(F.lit(MAX_MATCH), F.greatest(F.lit(1), 2 + F.floor(F.log(F.col("cost") / COST) / F.log(F.lit(4.0))))).cast("int")
     ranked = ranked.withColumn("cost", cost).where("cost is not null").withColumn("l", match)
-    return ranked.where("rank <= slack + l").select("sig", "n", "token", "l")
+    return ranked.where("rank <= slack + l").select("sig", "n", "token", "l", F.expr("1000 * n_single div n").alias("share"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
     """(a, b): classes that link; enough of them to connect all that are connected."""
     shared = staged(_shared(docs, k, pct), "shared")
-    useful = staged(_useful(shared, classes, pct), "prefixes")
-    active = staged(classes.join(useful.select("sig").distinct(), "sig").select("sig", "least"), "active")
-    # whole sets of the classes that have candidates; an id that other texts share brings theirs too, which joins drop
+    active = staged(_useful(shared, classes, pct, COUNTED).select("sig").distinct().join(classes, "sig").select("sig", "least", "n"), "active")
+    # whole sets of the classes that may have partners; an id that other texts share brings theirs too, which the join drops
     ids = active.select(F.col("least").alias("id")).distinct()
     texts = joined(docs.where("text is not null"), ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = staged(texts.mapInArrow(_sets(k), SETS).dropDuplicates(["sig"]), "active_sets")
+    sets = staged(joined(texts.mapInArrow(_sets(k), SETS), active.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "active_sets")
+    tokens = sets.select("sig", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    again = tokens.join(counts, "token").withColumn("at", F.lit(0))
+    useful = staged(_useful(again, active.select("sig", "n", F.col("n").alias("inside")), pct, 1.0), "prefixes")
+    first = useful.groupBy("token").agg(F.min("sig").alias("v"))
+    family = components(useful.join(first, "token").select(F.col("sig").alias("u"), "v"))
+    sizes = family.groupBy("comp").agg(F.count("*").alias("m"))
+    family = staged(family.join(sizes, "comp"), "families")
+    lists = useful.groupBy("sig").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("token").alias("prefix"))
+    members = family.where(f"m <= {FAMILY}").select(F.col("node").alias("sig"), F.col("comp").alias("family")).join(lists, "sig").join(sets, "sig")
+    found = staged(members.groupBy("family").applyInArrow(_family(pct), "a long, b long"), "links")
+    large = family.where(f"m > {FAMILY}").select(F.col("node").alias("sig"))
+    return found if large.isEmpty() else found.union(_large(useful.join(large, "sig"), sets, pct))
+
+
+def _large(useful: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links of families of any size, as step 5 says."""
     found = None
+    active = useful.select("sig").distinct()
     labels = active.select("sig", F.col("sig").alias("comp"))
     for turn in range(STAR_ROUNDS + 1):
         part = useful.join(labels, "sig")
@@ -198,10 +218,74 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
     return found
 
 
+def _incidence(lists: list[np.ndarray]) -> np.ndarray:
+    """m x m: how many values each two lists share; lists hold no value twice."""
+    m = len(lists)
+    owner = np.repeat(np.arange(m), [len(x) for x in lists])
+    _, column, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    owner, column = owner[many[column] > 1], column[many[column] > 1]
+    out = np.zeros((m, m), np.float32)
+    if len(column):
+        _, column = np.unique(column, return_inverse=True)
+        for lo in range(0, int(column.max()) + 1, 2000):
+            at = (column >= lo) & (column < lo + 2000)
+            x = np.zeros((m, min(2000, int(column.max()) + 1 - lo)), np.float32)
+            x[owner[at], column[at] - lo] = 1
+            out += x @ x.T
+    return out
+
+
+def _family(pct: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        m = t.num_rows
+        sig, n, need = (np.asarray(t.column(c).chunk(0)) for c in ("sig", "n", "l"))
+        (pd_, po), (sd, so) = (_flat(t.column(c).chunk(0)) for c in ("prefix", "tokens"))
+        prefixes, sets = ([d[o[i] : o[i + 1]] for i in range(m)] for d, o in ((pd_, po), (sd, so)))
+        common = _incidence(prefixes)
+        fits = (common >= np.minimum(need[:, None], need[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= pct * np.maximum(n[:, None], n[None, :]))
+        i, j = np.nonzero(np.triu(fits, 1))
+        root = list(range(m))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        both = None
+        if len(i) > 20 * m:  # many candidates: all intersections at once
+            both = _incidence(sets)
+            linked = 100 * both[i, j].astype(np.int64) >= pct * (n[i] + n[j] - both[i, j].astype(np.int64))
+            i, j = i[linked], j[linked]
+        else:
+            order = np.argsort(-common[i, j], kind="stable")
+            i, j = i[order], j[order]
+        a, b = [], []
+        for x, y in zip(i.tolist(), j.tolist()):
+            if (p := find(x)) == (q := find(y)):
+                continue
+            if both is None:
+                at = np.searchsorted(sets[y], sets[x])
+                same = int((sets[y][np.minimum(at, len(sets[y]) - 1)] == sets[x]).sum())
+                if 100 * same < pct * (len(sets[x]) + len(sets[y]) - same):
+                    continue
+            root[q] = p
+            a.append(sig[x])
+            b.append(sig[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(col.values).view(K.U), np.asarray(col.offsets)
+
+
 def _stars(part: DataFrame, turn: int) -> DataFrame:
-    """Each class with the one pivot, out of those of its postings, that it shares most postings with. A pivot is the
-    member of a posting with the least mixed hash; the mix changes with the turn, not with the posting."""
-    key = F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "comp")
+    """Each class with the one pivot, out of those of its postings, that it shares most postings with. A posting's pivot is at
+    first its member with the smallest share of single shingles, then one by a hash that changes with the turn."""
+    key = F.struct(F.lit(0).alias("first") if turn else F.col("share").alias("first"), F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "comp")
     pivot = part.groupBy("token").agg(F.min(key).alias("p"))
     pairs = part.join(pivot, "token").where("comp <> p.comp").groupBy(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("p.sig").alias("b"), F.col("p.n").alias("bn")).agg(F.count("*").alias("c"))
     best = pairs.groupBy("a").agg(F.max(F.struct("c", "b", "an", "bn")).alias("m"))
