@@ -65,7 +65,7 @@ SQL = f"""
 WITH pages AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
 ), held AS (
-  SELECT source, unnest(list_distinct(list_filter(list_transform(lines, x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), x -> x <> ''))) AS line
+  SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS line
   FROM pages
 ), counts AS (
   SELECT source, line, count(*) AS n FROM held GROUP BY source, line
@@ -76,7 +76,7 @@ WITH pages AS (
   WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO}::DOUBLE * s.pages GROUP BY c.source
 ), kept AS (
   SELECT p.doc_id, p.source, p.lines,
-    list_filter(p.lines, x -> NOT list_contains(coalesce(b.gone, []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS left_lines
+    list_filter(p.lines, lambda x: NOT list_contains(coalesce(b.gone, []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS left_lines
   FROM pages p LEFT JOIN boiler b ON p.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(left_lines), 0)::BIGINT AS n_dropped,

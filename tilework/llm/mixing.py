@@ -10,7 +10,7 @@ with the same id and text share their fate; an empty table gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilework.llm.common import joined, staged, table, words
@@ -47,49 +47,75 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sized.withColumn("target", F.when(full, cap.cast("double")).otherwise(F.lit(level) * F.col("weight")))
 
 
-def _thresholds(slim: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
-    """(source, below): hashes under below are taken once more. budgets(source, left): words wanted beyond whole copies."""
+def _thresholds(slim: DataFrame, budgets: DataFrame, n: int, nearest: bool) -> DataFrame:
+    """(source, below, left): hashes from `over` up to below are taken once more, of documents of at most `cap` words; left
+    is what that leaves of the budget. budgets(source, left, over, cap). nearest: take the last bucket if that comes nearer."""
     state = budgets.withColumn("base", F.lit(0).cast("long"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        part = joined(slim, state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), rows=n)
+        part = joined(slim, state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), rows=n).where("size <= cap and hash >= over")
         if level:
             part = part.where(F.shiftright("hash", shift + BITS) == F.shiftright("base", shift + BITS))
-        hist = part.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.first("left").alias("left"))
+        hist = part.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("left", "over", "cap")])
         w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        first = hist.withColumn("upto", F.sum("words").over(w)).where("upto >= left").groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "docs", "left")).alias("b"))
-        state = staged(first.select("source", (F.col("b.left") - (F.col("b.upto") - F.col("b.words"))).alias("left"), F.shiftleft("b.bucket", shift).alias("base"), F.col("b.words").alias("words"), F.col("b.docs").alias("docs")), f"thresholds{level}")
-        if level == LEVELS - 1 or not state.where("docs > 1 and left > 0").limit(1).count():
-            # the bucket at the boundary is taken if that comes nearer to the budget
-            return state.select("source", F.when(2 * F.col("left") >= F.col("words"), F.col("base") + (1 << shift)).otherwise(F.col("base")).alias("below"))
-        state = state.select("source", "left", "base")
-    return state
+        hist = hist.withColumn("upto", F.sum("words").over(w))
+        # the bucket in which the budget is passed, or the end of all buckets
+        entry = F.struct("bucket", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "words", "docs", "over", "cap")
+        found = hist.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), entry)).alias("b"), F.max(entry).alias("e"))
+        state = staged(found.select("source", F.coalesce("b", "e").alias("b"), F.col("b").isNull().alias("all")).select("source", "all", "b.left", F.shiftleft("b.bucket", shift).alias("base"), "b.words", "b.docs", "b.over", "b.cap"), f"thresholds{level}")
+        if level == LEVELS - 1 or not state.where("docs > 1 and left > 0 and not all").limit(1).count():
+            take = F.col("all") | (F.lit(nearest) & (2 * F.col("left") >= F.col("words")))
+            return state.select("source", F.when(take, F.col("base") + (1 << shift)).otherwise(F.col("base")).alias("below"), F.when(take, F.col("left") - F.col("words")).otherwise(F.col("left")).alias("left"))
+        state = state.select("source", "left", "over", "cap", "base")
+    raise AssertionError
+
+
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS)
+
+
+def _size() -> Column:
+    return F.size(words(F.col("text").cast("string"))).cast("long")
+
+
+def plan(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, int]:
+    """(slim, rules, number of rules): slim has doc_id, source, size, hash of every row of docs(doc_id, text, source); rules
+    has by source (column s) source_size, target, whole, below, cap, below2."""
+    # the one pass over texts; all that follows reads this narrow table
+    slim = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), _hash(seed).alias("hash")), "sizes")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rules = staged(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("whole", whole), "targets")
+    n = rules.count()
+    budgets = rules.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).where(f"left > 0 and whole < {MOST_COPIES}")
+    first = staged(_thresholds(slim, budgets.select("source", "left", F.lit(0).cast("long").alias("over"), F.lit(2**62).alias("cap")), n, False), "first")
+    cap = F.greatest(F.lit(1), F.floor(F.col("left") / 4))
+    second = _thresholds(slim, first.where("left >= 1").select("source", "left", F.col("below").alias("over"), cap.alias("cap")), n, True)
+    second = first.where("left >= 1").select(F.col("source").alias("s1"), cap.alias("cap")).join(second.select(F.col("source").alias("s2"), F.col("below").alias("below2")), F.col("s1").eqNullSafe(F.col("s2")))
+    rules = rules.join(first.select(F.col("source").alias("s0"), "below"), F.col("source").eqNullSafe(F.col("s0")), "left").join(second, F.col("source").eqNullSafe(F.col("s1")), "left")
+    rules = rules.select(F.col("source").alias("s"), "source_size", "target", "whole", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("below", "cap", "below2")])
+    return slim, staged(rules, "rules"), n
+
+
+def _copies() -> Column:
+    more = (F.col("hash") < F.col("below")) | ((F.col("size") <= F.col("cap")) & (F.col("hash") < F.col("below2")))
+    return (F.col("whole") + more.cast("long")).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs(doc_id, text, source)."""
-    # the one pass over texts; all that follows reads this narrow table
-    counted = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text").cast("string"))).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS).alias("hash"))
-    slim = staged(counted, "sizes")
-    plan = staged(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)), "targets")
-    n = plan.count()
-    budgets = plan.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).where("left > 0 and whole < 3").select("source", "left")
-    below = _thresholds(slim, budgets, n).withColumnRenamed("source", "s")
-    plan = plan.join(below, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
-    out = joined(slim, plan, F.col("source").eqNullSafe(F.col("s")), rows=n)
-    copies = (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "hash", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    slim, rules, n = plan(docs, seed)
+    out = joined(slim, rules, F.col("source").eqNullSafe(F.col("s")), rows=n).withColumn("copies", _copies())
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with each row as often as the mix takes it (rows of no words: not at all)."""
-    plan = mix(docs, seed).where("taken > 0").select("source", "copies", "hash", "size")
-    rules = staged(plan.groupBy("source", "copies").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")), "rules")
-    n = rules.count()
-    hashed = docs.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS * LEVELS)).where(F.size(words(F.col("text").cast("string"))) > 0)
-    rules = rules.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    out = joined(hashed, rules, F.expr("source <=> _source and _hash between _lo and _hi"), rows=n)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it (rows without words: not at all)."""
+    _, rules, n = plan(docs, seed)
+    inner = [c for c in docs.columns if c in ("doc_id", "text", "source")]
+    row = docs.select(F.struct(*docs.columns).alias("row"), *inner)
+    row = row.select("row", F.col("source").cast("string").alias("source"), _size().alias("size"), _hash(seed).alias("hash")).where("size > 0")
+    out = joined(row, rules, F.col("source").eqNullSafe(F.col("s")), rows=n).withColumn("copies", _copies()).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
