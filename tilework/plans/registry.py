@@ -2,5 +2,175 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilework.functions.dialect import duck_sql, spark_sql
+from tilework.operators import graph, raster, registration
+from tilework.plans.statements import EDGES, STATEMENTS
+from tilework.sources.tiles import DUCK_PX, pixels
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _with_px(sql: str) -> str:
+    if not re.search(r"\bpx\b", sql):
+        return duck_sql(sql)
+    rest = ", " + sql[4:].lstrip() if sql.startswith("WITH") else " " + sql
+    return duck_sql("WITH " + DUCK_PX + rest)
+
+
+def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)}
+        sql = re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r"|px)\b(?= (?!AS\b|[a-z]+ ON\b|[a-z] JOIN)|\b)", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if not re.match(r" [a-z] (ON|JOIN)", text[m.end() :]) else f"{m[1]} {{{m[2]}}}", text)
+        if re.search(r"\bpx\b", text):
+            used["px"] = pixels(spark, sf_dir)
+        return spark.sql(spark_sql(sql), **used)
+
+    return run
+
+
+for _name, _text in STATEMENTS.items():
+    QUERIES[_name] = _statement(_text)
+    ORACLES[_name] = _with_px(_text)
+
+
+def query(name: str, oracle: str = ""):
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = _with_px(oracle)
+        return f
+
+    return put
+
+
+CANVAS = "g AS (SELECT vec_id, trow * 6 + y AS gy, tcol * 6 + x AS gx, v, CAST(least(y + 1, 8 - y, x + 1, 8 - x) AS DOUBLE) AS w FROM px)"
+
+
+@query("mosaic_feather_b3", "WITH " + CANVAS + " SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(RINT[sum(w * v) / sum(w)] AS INT) AS v FROM g GROUP BY gy, gx")
+def mosaic_feather(spark, sf_dir):
+    return raster.feather_blend(raster.on_canvas(pixels(spark, sf_dir)), ["gy", "gx"])
+
+
+@query("mosaic_nearest_b3", "WITH " + CANVAS + " SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, MAXBY[v;ROWS[w;-vec_id]] AS v FROM g GROUP BY gy, gx")
+def mosaic_nearest(spark, sf_dir):
+    return raster.nearest_blend(raster.on_canvas(pixels(spark, sf_dir)), ["gy", "gx"])
+
+
+@query("render_block_range_join", "WITH t AS (SELECT DISTINCT vec_id, trow * 6 AS oy, tcol * 6 AS ox FROM px), b AS (SELECT DISTINCT IDIV[(trow * 6 + y);16] AS by_, IDIV[(tcol * 6 + x);16] AS bx_ FROM px) SELECT CAST(by_ AS BIGINT) AS by, CAST(bx_ AS BIGINT) AS bx, count(*) AS tiles FROM b JOIN t ON t.oy < by_ * 16 + 16 AND t.oy + 8 > by_ * 16 AND t.ox < bx_ * 16 + 16 AND t.ox + 8 > bx_ * 16 GROUP BY by_, bx_")
+def render_blocks(spark, sf_dir):
+    tiles = pixels(spark, sf_dir).select("vec_id", (F.col("trow") * 6).alias("oy"), (F.col("tcol") * 6).alias("ox")).distinct().withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
+    return raster.blocks_of_tiles(tiles, 16).groupBy("by", "bx").agg(F.count("*").alias("tiles"))
+
+
+LAP = "SELECT a.vec_id, a.y, a.x, CAST(coalesce(u.v + d.v + l.v + r.v - 4 * a.v, 0) AS INT) AS lap FROM px a LEFT JOIN px u ON u.vec_id = a.vec_id AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN px d ON d.vec_id = a.vec_id AND d.y = a.y + 1 AND d.x = a.x LEFT JOIN px l ON l.vec_id = a.vec_id AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN px r ON r.vec_id = a.vec_id AND r.y = a.y AND r.x = a.x + 1"
+
+
+@query("laplacian", LAP)
+def laplacian(spark, sf_dir):
+    return raster.laplacian(pixels(spark, sf_dir), ["vec_id"]).select("vec_id", "y", "x", F.col("lap").cast("int").alias("lap"))
+
+
+def _box(k: int, source: str, value: str, keys: str = "vec_id") -> str:
+    return f"SELECT {keys}, y, x, sum(b) AS s FROM (SELECT a.*, b.{value} AS b FROM (SELECT {keys}, y, x, greatest(0, least(7, y + dy)) AS cy, greatest(0, least(7, x + dx)) AS cx FROM {source}, (SELECT unnest(range({1 - k}, {k + 1})) AS dy), (SELECT unnest(range({1 - k}, {k + 1})) AS dx)) a JOIN {source} b ON {' AND '.join(f'a.{c.strip()} = b.{c.strip()}' for c in keys.split(','))} AND a.cy = b.y AND a.cx = b.x) q GROUP BY {keys}, y, x"
+
+
+@query("box_mean_k2", f"SELECT vec_id, y, x, CAST(s AS DOUBLE) / 16 AS m FROM ({_box(2, 'px', 'v')})")
+def box_mean(spark, sf_dir):
+    return raster.box_sum(pixels(spark, sf_dir), ["vec_id"], 2).select("vec_id", "y", "x", (F.col("s").cast("double") / 16).alias("m"))
+
+
+FOCUS = "WITH l AS (" + LAP.replace("SELECT a.vec_id,", "SELECT a.vec_id, a.well2, a.pos, a.ch, a.z, a.v,") + "), e AS (SELECT *, lap * lap AS e FROM l), s AS (" + _box(2, "e", "e") + "), j AS (SELECT e.*, s.s FROM e JOIN s ON e.vec_id = s.vec_id AND e.y = s.y AND e.x = s.x) "
+
+
+@query("z_focus", FOCUS + "SELECT well2, pos, ch, y, x, MAXBY[v;ROWS[s;-z]] AS v FROM j GROUP BY well2, pos, ch, y, x")
+def z_focus(spark, sf_dir):
+    return raster.focus_fusion(pixels(spark, sf_dir), ["well2", "pos", "ch"]).select("well2", "pos", "ch", "y", "x", "v")
+
+
+@query("z_focus_index", FOCUS + "SELECT well2, pos, ch, y, x, MAXBY[z;ROWS[s;-z]] AS z FROM j GROUP BY well2, pos, ch, y, x")
+def z_focus_index(spark, sf_dir):
+    return raster.focus_fusion(pixels(spark, sf_dir), ["well2", "pos", "ch"]).select("well2", "pos", "ch", "y", "x", "z")
+
+
+@query("block_mean_f2", "SELECT vec_id, CAST(IDIV[y;2] AS INT) AS by, CAST(IDIV[x;2] AS INT) AS bx, CAST(RINT[sum(v) / CAST(4 AS DOUBLE)] AS INT) AS v FROM px GROUP BY vec_id, IDIV[y;2], IDIV[x;2]")
+def block_mean(spark, sf_dir):
+    return raster.block_mean(pixels(spark, sf_dir), ["vec_id"], 2)
+
+
+@query("block_mean_f3_edge", "SELECT vec_id, CAST(IDIV[y;3] AS INT) AS by, CAST(IDIV[x;3] AS INT) AS bx, CAST(RINT[sum(v * CASE WHEN y = 7 THEN 2 ELSE 1 END * CASE WHEN x = 7 THEN 2 ELSE 1 END) / CAST(9 AS DOUBLE)] AS INT) AS v FROM px GROUP BY vec_id, IDIV[y;3], IDIV[x;3]")
+def block_mean_edge(spark, sf_dir):
+    return raster.block_mean(pixels(spark, sf_dir), ["vec_id"], 3)
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    tiles = pixels(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("trow").alias("row"), F.col("tcol").alias("col")).distinct()
+    return raster.neighbours(tiles)
+
+
+@query("neighbour_edges", "WITH " + EDGES + " SELECT a, b, axis FROM e")
+def neighbour_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query("overlap_pairs", "WITH " + EDGES + " SELECT a, b, axis, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, va, vb FROM o")
+def overlap_pairs(spark, sf_dir):
+    return raster.overlaps(raster.on_canvas(pixels(spark, sf_dir)), _edges(spark, sf_dir)).select("a", "b", "axis", "gy", "gx", "va", "vb")
+
+
+def _measured(spark, sf_dir) -> DataFrame:
+    """Edges of mosaics of five rows, with planted steps of 6 px, a wobble of the pixels' and a few wild ones."""
+    px = raster.on_canvas(pixels(spark, sf_dir))
+    means = raster.overlaps(px, _edges(spark, sf_dir)).groupBy("a", "b", "axis").agg(F.avg(F.col("va") - F.col("vb")).alias("d"), F.count("*").alias("n"))
+    wild = F.when((F.col("a") * 7 + F.col("b")) % 41 == 0, 9.0).otherwise(0.0)
+    along, across = 6 + F.col("d") / 100 + wild, F.col("d") / 100
+    edges = means.withColumn("mosaic", F.expr("cast(a div 125 as int)")).where("a div 125 = b div 125")
+    return edges.select("mosaic", "a", "b", F.when(F.col("axis") == "y", along).otherwise(across).alias("dy"), F.when(F.col("axis") == "x", along).otherwise(across).alias("dx"), "d", F.lit(1.0).alias("weight"))
+
+
+@query("pose_solve_irls")
+def pose_solve(spark, sf_dir):
+    return graph.pose_solve(_measured(spark, sf_dir))
+
+
+@query("outlier_rejection")
+def outlier_rejection(spark, sf_dir):
+    return graph.pose_solve(_measured(spark, sf_dir), reject=True)
+
+
+@query("scalar_graph_solve")
+def scalar_solve(spark, sf_dir):
+    return graph.scalar_solve(_measured(spark, sf_dir))
+
+
+@query("components", "WITH RECURSIVE " + DUCK_PX + ", " + EDGES + """,
+k AS (SELECT a // 125 AS mosaic, a, b FROM e WHERE a // 125 = b // 125 AND (a + b) % 3 <> 0),
+n AS (SELECT mosaic, a, b FROM k UNION ALL SELECT mosaic, b, a FROM k),
+r(mosaic, node, root) AS (SELECT DISTINCT mosaic, a, a FROM n UNION SELECT n.mosaic, n.b, r.root FROM r JOIN n ON n.a = r.node AND r.root < n.b)
+SELECT CAST(mosaic AS INTEGER) AS mosaic, node, min(root) AS comp FROM r GROUP BY mosaic, node""".replace(", " + DUCK_PX, ""))
+def components(spark, sf_dir):
+    return graph.components(_measured(spark, sf_dir).where("(a + b) % 3 <> 0"))
+
+
+ORACLES["components"] = duck_sql("WITH RECURSIVE " + DUCK_PX + ", " + EDGES + """,
+k AS (SELECT a // 125 AS mosaic, a, b FROM e WHERE a // 125 = b // 125 AND (a + b) % 3 <> 0),
+n AS (SELECT mosaic, a, b FROM k UNION ALL SELECT mosaic, b, a FROM k),
+r(mosaic, node, root) AS (SELECT DISTINCT mosaic, a, a FROM n UNION SELECT n.mosaic, n.b, r.root FROM r JOIN n ON n.a = r.node)
+SELECT CAST(mosaic AS INTEGER) AS mosaic, node, min(root) AS comp FROM r GROUP BY mosaic, node""")
+
+
+@query("phase_correlation")
+def phase_correlation(spark, sf_dir):
+    """Each tile against itself moved by one row and two columns: the move is found again."""
+    px = pixels(spark, sf_dir)
+    a = px.select("vec_id", "y", "x", F.col("v").alias("va"))
+    b = px.select("vec_id", ((F.col("y") + 1) % 8).alias("y"), ((F.col("x") + 2) % 8).alias("x"), F.col("v").alias("vb"))
+    pairs = a.join(b, ["vec_id", "y", "x"]).select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), "y", "x", "va", "vb")
+    return registration.phase_correlate(pairs)
