@@ -174,3 +174,63 @@ def phase_correlation(spark, sf_dir):
     b = px.select("vec_id", ((F.col("y") + 1) % 8).alias("y"), ((F.col("x") + 2) % 8).alias("x"), F.col("v").alias("vb"))
     pairs = a.join(b, ["vec_id", "y", "x"]).select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), "y", "x", "va", "vb")
     return registration.phase_correlate(pairs)
+
+
+def _containers(spark, sf_dir) -> DataFrame:
+    """A container a plate well of 25 tiles: an image of 40 x 40, in tiles of 16."""
+    import numpy as np
+    import pandas as pd
+
+    from tilework.sources import containers
+
+    def encode(group: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((1, 40, 40), np.uint8)
+        image[0, group["gy"], group["gx"]] = group["v"]
+        return pd.DataFrame({"path": [f"Cap_A{group['well'].iloc[0]:02d}_CH1.ktf"], "content": [containers.encode(image, 16, 2000.0)]})
+
+    px = pixels(spark, sf_dir).select("well", (F.col("ty") * 8 + F.col("y")).alias("gy"), (F.col("tx") * 8 + F.col("x")).alias("gx"), "v")
+    return px.groupBy("well").applyInPandas(encode, "path string, content binary")
+
+
+@query("ktf_roundtrip", "SELECT CAST(well AS INT) AS well, CAST(ty * 8 + y AS INT) AS gy, CAST(tx * 8 + x AS INT) AS gx, v FROM px")
+def ktf_roundtrip(spark, sf_dir):
+    from tilework.sources import containers
+
+    got = containers.pixels_of(_containers(spark, sf_dir)).where("v > 0")
+    return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
+
+
+@query("ktf_headers", "SELECT DISTINCT CAST(well AS INT) AS well, CAST(40 AS INT) AS width, CAST(9 AS INT) AS n_tiles, CAST(2000 AS DOUBLE) AS calibration_nm FROM px")
+def ktf_headers(spark, sf_dir):
+    from tilework.sources import containers
+
+    got = containers.headers(_containers(spark, sf_dir)).where("error is null")
+    return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), F.col("width").cast("int").alias("width"), F.col("n_tiles").cast("int").alias("n_tiles"), "calibration_nm")
+
+
+@query("gci_manifest_roundtrip", "SELECT DISTINCT CAST(well AS INT) AS well, ty AS row, tx AS col, concat('t', CAST(vec_id AS VARCHAR), '.tif') AS file FROM px")
+def manifest_roundtrip(spark, sf_dir):
+    import pandas as pd
+
+    from tilework.sources import containers
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        entries = [(int(r), int(c), f"t{k}.tif") for r, c, k in zip(group["ty"], group["tx"], group["vec_id"])]
+        return pd.DataFrame({"path": [str(group["well"].iloc[0])], "content": [containers.manifest(entries)]})
+
+    tiles = pixels(spark, sf_dir).select("well", "ty", "tx", "vec_id").distinct()
+    got = containers.manifest_entries(tiles.groupBy("well").applyInPandas(pack, "path string, content binary"))
+    return got.select(F.col("path").cast("int").alias("well"), "row", "col", "file")
+
+
+@query("stream_z_max", "SELECT well2, pos, ch, y, x, max(v) AS v FROM px GROUP BY well2, pos, ch, y, x")
+def stream_z_max(spark, sf_dir):
+    from tilework.sources.tiles import pixels_from
+    from tilework.streaming import folds
+
+    path = f"{sf_dir}/embeddings.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    one_file = table.inputFiles()[0].rstrip("/").endswith("embeddings.parquet")
+    stream = reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
+    return folds.drained(spark, folds.running_max(pixels_from(spark, stream), ["well2", "pos", "ch", "y", "x"]))

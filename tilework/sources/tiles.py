@@ -19,10 +19,26 @@ DUCK_PX = f"""px AS (SELECT {PLACES} FROM (
   FROM embeddings, range(64) t(p)))"""
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pixels_from(spark: SparkSession, tiles: DataFrame) -> DataFrame:
+    """px of tiles(vec_id, embedding), a table or a stream."""
     from tilework.functions.dialect import spark_sql
 
-    tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("p", "e"))
     grey = F.rint((F.col("e").cast("double") + 1) * 100).cast("int")
-    flat = tiles.select("vec_id", F.expr(f"p div {SIDE}").alias("y"), F.expr(f"p % {SIDE}").alias("x"), grey.alias("v"))
-    return spark.sql("SELECT " + spark_sql(PLACES) + " FROM {flat}", flat=flat)
+    flat = tiles.select("vec_id", F.posexplode("embedding").alias("p", "e")).select("vec_id", F.expr(f"p div {SIDE}").alias("y"), F.expr(f"p % {SIDE}").alias("x"), grey.alias("v"))
+    return flat.selectExpr(*_columns(spark_sql(PLACES)))
+
+
+def _columns(places: str) -> list[str]:
+    """The entries of a select list whose commas lie outside parentheses."""
+    out, depth = [""], 0
+    for c in places:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels_from(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
