@@ -234,7 +234,9 @@ def fold(tree: tuple, known: dict | None = None) -> tuple:
                 break
         for name in _assigned(("if", kept)):
             known.pop(name, None)
-        return kept[0][1] if kept and kept[0][0][0] == "const" else ("if", kept)
+        if not kept:
+            return ("block", [])
+        return kept[0][1] if kept[0][0][0] == "const" else ("if", kept)
     if kind == "block":
         out: list[tuple] = []
         for part in tree[1]:

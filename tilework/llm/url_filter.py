@@ -131,10 +131,10 @@ def _threshold(steps: list[tuple[int, int, int]]) -> float:
     if not good or not bad:
         return float("-inf")
     best, at, lost, shut = 0.0, float("-inf"), 0, 0
-    for k, g, b in steps:
+    for (k, g, b), (after, _, _) in zip(steps, [*steps[1:], (steps[-1][0] + 2, 0, 0)]):
         lost, shut = lost + g, shut + b
         if (right := (good - lost) / good + shut / bad) > best:
-            best, at = right, (k + 1) / GRID
+            best, at = right, (k + 1 + after) / 2 / GRID  # halfway to the next step that any URL has
     return at
 
 
