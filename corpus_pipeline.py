@@ -22,7 +22,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, Jaccard of 0.8): that with the least id."""
+    """One document of each group of near duplicates (five words, Jaccard of 0.8): that with the least id. Rows that share
+    this id are one document and stay; rows without an id stay."""
     groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"), 5, 80)
     go = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")), "gone")
     return joined(docs, go, F.col("doc_id") == F.col("id"), "left_anti").select(*COLUMNS)
