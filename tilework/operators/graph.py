@@ -16,7 +16,7 @@ def robust_limit(residual: np.ndarray) -> float:
     return max(1.5, middle + 2.5 * max(0.35, 1.4826 * np.median(np.abs(residual - middle))))
 
 
-def solve(a, b, shift, weight, prior, rounds: int = ROUNDS) -> np.ndarray:
+def solve(a, b, shift, weight, prior, rounds: int = ROUNDS, hold: float = PRIOR) -> np.ndarray:
     """Positions x with x[b] - x[a] near shift, held weakly to prior and by node 0: reweighted least squares."""
     n, x, use = len(prior), prior.copy(), weight.copy()
     for _ in range(rounds):
@@ -25,7 +25,7 @@ def solve(a, b, shift, weight, prior, rounds: int = ROUNDS) -> np.ndarray:
         np.add.at(m, (b, b), use)
         np.add.at(m, (a, b), -use)
         np.add.at(m, (b, a), -use)
-        held = np.full(n, PRIOR)
+        held = np.full(n, hold)
         held[0] += ANCHOR
         m[np.arange(n), np.arange(n)] += held
         right = held[:, None] * prior
@@ -50,10 +50,8 @@ def pose_solve(edges: DataFrame, reject: bool = False) -> DataFrame:
         group = group.sort_values(["a", "b"])
         nodes, a, b = _indexed(group)
         shift, weight = group[["dy", "dx"]].to_numpy(float), group["weight"].to_numpy(float)
-        prior = np.zeros((len(nodes), 2))
-        for i, j, s in zip(a, b, shift):
-            prior[j] = prior[i] + s
         for _ in range(9 if reject else 1):
+            prior = solve(a, b, shift, weight, np.zeros((len(nodes), 2)), 4 * ROUNDS, 1e-6)
             x = solve(a, b, shift, weight, prior)
             residual = np.sqrt(((x[b] - x[a] - shift) ** 2).sum(axis=1))
             live = np.flatnonzero(weight > 0)
