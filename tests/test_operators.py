@@ -62,3 +62,42 @@ def test_empty_relations(spark):
     px = spark.createDataFrame([], "vec_id long, trow int, tcol int, y int, x int, v int")
     assert raster.feather_blend(raster.on_canvas(px), ["gy", "gx"]).count() == 0
     assert raster.laplacian(px, ["vec_id"]).count() == 0
+
+
+def test_phase_residual_and_its_reasons():
+    a = np.random.default_rng(1).normal(size=(64, 64))
+    dy, dx, psr, _, reason = registration.phase_residual(a, np.roll(a, (3, -4), (0, 1)))
+    assert abs(dy - 3) < 0.35 and abs(dx + 4) < 0.35 and psr > 4 and reason == ""
+    assert registration.phase_residual(a[:4], a[:4])[4] == "overlap_too_small"
+    assert registration.phase_residual(a * 0, a)[4] == "low_information"
+
+
+def test_radiometric_model_finds_planted_gains(spark):
+    from tilework.operators import radiometry
+
+    rng = np.random.default_rng(5)
+    gain = {0: 1.0, 1: 1.1, 2: 0.95}
+    rows = [(0, a, b, float(v * gain[a]), float(v * gain[b])) for a, b in ((0, 1), (1, 2)) for v in rng.uniform(40, 180, 1500)]
+    fits = radiometry.pair_fits(spark.createDataFrame(rows, "mosaic int, a long, b long, va double, vb double"))
+    got = {r["node"]: r for r in radiometry.model(fits).collect()}
+    assert {r["kind"] for r in got.values()} == {"affine"}
+    assert abs(got[0]["gain"] / got[1]["gain"] - 1.1) < 0.02 and abs(got[0]["gain"] / got[2]["gain"] - 0.95) < 0.02
+
+
+def test_tables_written_together(spark, tmp_path):
+    from tilework.sources import sinks
+
+    a, b = spark.range(5), spark.range(3).withColumnRenamed("id", "k")
+    sinks.write_together({"a": a, "b": b}, str(tmp_path))
+    sinks.write_together({"a": a.limit(2)}, str(tmp_path))
+    assert {k: v.count() for k, v in sinks.read_together(spark, str(tmp_path)).items()} == {"a": 2}
+
+
+def test_containers_that_are_none(spark):
+    from tilework.sources import containers
+
+    files = spark.createDataFrame([("a", b"KTL2"), ("b", b""), ("c", containers.encode(np.full((1, 5, 7), 9, np.uint8), 4, 2000.0))], "path string, content binary")
+    got = {r["path"]: r for r in containers.headers(files).collect()}
+    assert got["a"]["error"] and got["b"]["error"] and (got["c"]["width"], got["c"]["height"], got["c"]["calibration_nm"]) == (7, 5, 2000.0)
+    assert containers.pixels_of(files).where("v = 9").count() == 35
+    assert containers.manifest_entries(files.where("path = 'a'")).first()["idx"] == -1

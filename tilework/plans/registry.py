@@ -234,3 +234,39 @@ def stream_z_max(spark, sf_dir):
     one_file = table.inputFiles()[0].rstrip("/").endswith("embeddings.parquet")
     stream = reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
     return folds.drained(spark, folds.running_max(pixels_from(spark, stream), ["well2", "pos", "ch", "y", "x"]))
+
+
+@query("edge_phase_residual")
+def edge_phase_residual(spark, sf_dir):
+    """Sub-pixel shift, ratio and margin of tiles against themselves moved by a row: four tiles make a plane of 16 x 16."""
+    import numpy as np
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros((16, 16))
+        plane[group["gy"], group["gx"]] = group["v"]
+        dy, dx, psr, margin, reason = registration.phase_residual(plane, np.roll(plane, 1, 0), 6)
+        return pd.DataFrame({"quad": [group["quad"].iloc[0]], "dy": [round(dy, 4)], "dx": [round(dx, 4)], "psr": [round(psr, 4)], "margin": [round(margin, 4)], "reason": [reason]})
+
+    px = pixels(spark, sf_dir).select(F.expr("vec_id div 4").alias("quad"), F.expr("cast((vec_id % 4 div 2) * 8 + y as int)").alias("gy"), F.expr("cast((vec_id % 2) * 8 + x as int)").alias("gx"), "v")
+    return px.groupBy("quad").applyInPandas(run, "quad long, dy double, dx double, psr double, margin double, reason string")
+
+
+def _fits(spark, sf_dir) -> DataFrame:
+    from tilework.operators import radiometry
+
+    px = raster.on_canvas(pixels(spark, sf_dir))
+    pairs = raster.overlaps(px, _edges(spark, sf_dir)).withColumn("mosaic", F.expr("cast(a div 125 as int)")).where("a div 125 = b div 125")
+    return radiometry.pair_fits(pairs, {"samples": 8, "correlation": -1.0, "inlier": 0.3})
+
+
+@query("radiometric_pair_fits")
+def radiometric_pair_fits(spark, sf_dir):
+    return _fits(spark, sf_dir)
+
+
+@query("radiometric_model")
+def radiometric_model(spark, sf_dir):
+    from tilework.operators import radiometry
+
+    return radiometry.model(_fits(spark, sf_dir), steady=1.0)
