@@ -166,10 +166,16 @@ class Page:
 
 
 N_WORDS = len(WORDS)
+REGIONS = ("article", "main", "nav", "header", "footer", "aside", "form")
 N_TAGS = len(TAGS)
 _SIZES = np.array([1, 25, 60, 120, 250])
 
 
+def _by(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by key."""
+    return np.stack([np.bincount(key, values[:, k], n) for k in range(values.shape[1])], 1)
+
+
 class Forest:
     """Pages stacked: features of all blocks, parents, and the blocks of each level."""
 
@@ -199,12 +205,19 @@ class Forest:
         for at in self.levels[1:]:
             inside[at] |= inside[self.parent[at]]
         bits = (mask[:, None] >> np.arange(N_WORDS)) & 1
+        # and so do sectioning elements
+        region = np.zeros(len(parent), np.int64)
+        for k, t in enumerate(REGIONS):
+            region[tag == KIND[t]] = 1 << k
+        for at in self.levels[1:]:
+            region[at] |= region[self.parent[at]]
+        frame = ((region & 0b1111100) > 0) & ((region & 0b11) == 0)  # in a header, menu or the like, but not in an article
         own = np.zeros((len(parent), N_TAGS))
         own[np.arange(len(parent)), tag] = 1
         density = linked / np.maximum(chars, 1)
         under = links / np.maximum(below, 1)
         size = (chars[:, None] >= _SIZES).astype(float)
-        self.x = np.column_stack([own, bits, (inside[:, None] >> np.arange(N_WORDS)) & 1, size, density, under, density > 0.5, under > 0.5, np.minimum(stops, 6) / 6, rights, below > 0, below > 400, np.log1p(below) / 8, np.minimum(depth, 8) / 8, np.ones(len(parent))])
+        self.x = np.column_stack([own, bits, (inside[:, None] >> np.arange(N_WORDS)) & 1, (region[:, None] >> np.arange(len(REGIONS))) & 1, frame, frame & (below < 60), size, density, under, density > 0.5, under > 0.5, np.minimum(stops, 6) / 6, rights, below > 0, below > 400, np.log1p(below) / 8, np.minimum(depth, 8) / 8, np.ones(len(parent))])
         self.kind = tag
 
     def marginals(self, w: np.ndarray, pair: np.ndarray):
@@ -217,7 +230,7 @@ class Forest:
         for at in self.levels[:0:-1]:
             m = link[at] + total[at][:, None, :]
             up[at] = np.logaddexp(m[:, :, 0], m[:, :, 1])
-            np.add.at(total, self.parent[at], up[at])
+            total += _by(self.parent[at], up[at], len(total))
         joint = np.zeros((len(self.parent), 2, 2))
         for at in self.levels[1:]:
             away = total[self.parent[at]] - up[at]
@@ -235,8 +248,8 @@ SYLLABLES = "an the er in re on at en nd ti es or te of ed is it al ar st to nt
 
 
 def _sentence(rng, lo: int = 5, hi: int = 18) -> str:
-    said = ["".join(rng.choice(SYLLABLES, rng.integers(1, 4))) for _ in range(rng.integers(lo, hi))]
-    return " ".join(said).capitalize() + "."
+    picked = rng.integers(0, len(SYLLABLES), (int(rng.integers(lo, hi)), 3)).tolist()
+    return " ".join("".join(SYLLABLES[i] for i in word[: 1 + word[0] % 3]) for word in picked).capitalize() + "."
 
 
 def _paragraph(rng) -> str:
@@ -269,7 +282,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
         return pick(el("nav", 0, inner, named("menu")), el("div", 0, inner, sure("menu")), el("div", 0, inner, 'role="navigation"'))
 
     def head() -> str:
-        inner = pick(el("h1", 0, f'<a href="/">{_sentence(rng, 1, 4)}</a>'), el("p", 0, _sentence(rng, 2, 8)), el("div", 0, _sentence(rng, 1, 5), 'class="logo"')) + (menu() if rng.random() < 0.5 else "")
+        inner = pick(el("h1", 0, f'<a href="/">{_sentence(rng, 1, 4)}</a>'), el("h1", 0, _sentence(rng, 1, 5)), el("p", 0, _sentence(rng, 2, 8)), el("h1", 0, _sentence(rng, 1, 4)) + el("p", 0, _sentence(rng, 3, 10)), el("p", 0, _paragraph(rng)), el("div", 0, _sentence(rng, 1, 5), 'class="logo"')) + (menu() if rng.random() < 0.5 else "")
         return pick(el("header", 0, inner, named("header")), el("div", 0, inner, sure("header")))
 
     def foot() -> str:
@@ -349,8 +362,8 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
     return out
 
 
-TRAINING_PAGES = 250
-STEPS = 150
+TRAINING_PAGES = 300
+STEPS = 400
 
 
 @functools.lru_cache(1)
@@ -366,8 +379,7 @@ def fitted() -> tuple[np.ndarray, np.ndarray]:
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(pair), np.zeros_like(pair)]
     for step in range(1, STEPS + 1):  # Adam on the log-likelihood with a small Gaussian prior
         p, joint = forest.marginals(w, pair)
-        expected = np.zeros_like(pair)
-        np.add.at(expected, forest.kind[inner], joint[inner])
+        expected = _by(forest.kind[inner], joint[inner].reshape(-1, 4), N_TAGS).reshape(N_TAGS, 2, 2)
         for k, (v, g) in enumerate(((w, forest.x.T @ (y - p) / n - 2e-4 * w), (pair, (seen - expected) / n - 2e-4 * pair))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * g * g
