@@ -7,7 +7,7 @@
    fill most prefixes and cost nothing: such texts have no candidates at all.
 3. The estimated candidate cost of a class is the sum of the frequencies in its prefix; costly classes lengthen it by
    up to MAX_MATCH - 1 shingles and then require that many more shared ones (the smaller number of the two counts).
-4. Frequencies in step 2 are first counted over a share of the hash range (COUNTED): enough to drop most classes. For the
+4. Frequencies in step 2 are first counted over a share of the hash range (1 - t + ROOM): enough to drop most classes. For the
    classes left, whole sets are fetched once, frequencies are counted again among them over the whole range, and prefixes
    are chosen anew. Classes that share prefix shingles, directly or through others, form families (a distributed search).
 5. A family of at most FAMILY classes is checked in one task: pairs that share as many prefix shingles as required, by
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from tilework.llm import kernels as K
 from tilework.llm.common import components, joined, staged, table
 
-#: The share of hash values whose frequencies order prefixes; below 1 - t it would leave most prefixes short.
-COUNTED = 0.2
+#: How much larger than 1 - t, a prefix's share of a set, the share of hash values is whose frequencies order prefixes. Without
+#: this room most prefixes would run short of counted shingles.
+ROOM = 0.05
 MAX_MATCH = 4
 #: Estimated candidates beyond which a prefix gets one more shingle; each further one at four times as many.
 COST = 32
@@ -54,15 +55,19 @@ def _signature(tokens: np.ndarray) -> int:
         return int(K.mix(K.mix(tokens + K.U(77)).sum(keepdims=True) + K.U(len(tokens))).view(np.int64)[0])
 
 
-def _top() -> np.uint64:
-    return K.U(int(COUNTED * 2**64))
+def counted_share(pct: int) -> float:
+    return (100 - pct) / 100 + ROOM
 
 
-def _doc_sets(k: int):
+def _top(pct: int) -> np.uint64:
+    return K.U(int(counted_share(pct) * 2**64))
+
+
+def _doc_sets(k: int, pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = K.column(b, "text")
-            got = [(_signature(t) if len(t) else None, len(t), int(np.searchsorted(t, _top()))) for _, t in K.shingle_sets(data, offsets, k)]
+            got = [(_signature(t) if len(t) else None, len(t), int(np.searchsorted(t, _top(pct)))) for _, t in K.shingle_sets(data, offsets, k)]
             sig, n, inside = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(inside, pa.int64())], ["sig", "doc_id", "n", "inside"])
 
@@ -84,7 +89,7 @@ def _prefixes(k: int, pct: int):
             for _, t in K.shingle_sets(data, offsets, k):
                 if not len(t):
                     continue
-                use = max(int(np.searchsorted(t, _top())), min(len(t), len(t) - needed(len(t), pct) + MAX_MATCH))
+                use = max(int(np.searchsorted(t, _top(pct))), min(len(t), len(t) - needed(len(t), pct) + MAX_MATCH))
                 sigs.append(_signature(t))
                 tokens.append(t[:use])
                 size += use
@@ -140,7 +145,7 @@ def _linked(pct: int):
 def jaccard_groups(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = staged(docs.mapInArrow(_doc_sets(k), SMALL), "sets")
+    rows = staged(docs.mapInArrow(_doc_sets(k, pct), SMALL), "sets")
     classes = staged(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("inside").alias("inside")), "classes")
     links = _links(docs, classes, k, pct)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -179,7 +184,7 @@ def _useful(shared: DataFrame, classes: DataFrame, pct: int, counted_share: floa
 def _links(docs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
     """(a, b): classes that link; enough of them to connect all that are connected."""
     shared = staged(_shared(docs, k, pct), "shared")
-    active = staged(_useful(shared, classes, pct, COUNTED).select("sig").distinct().join(classes, "sig").select("sig", "least", "n"), "active")
+    active = staged(_useful(shared, classes, pct, counted_share(pct)).select("sig").distinct().join(classes, "sig").select("sig", "least", "n"), "active")
     # whole sets of the classes that may have partners; an id that other texts share brings theirs too, which the join drops
     ids = active.select(F.col("least").alias("id")).distinct()
     texts = joined(docs.where("text is not null"), ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
