@@ -274,10 +274,10 @@ def test_html_extract(spark):
         weights += e * np.array(z)
     assert np.abs(weights / total - got).max() < 1e-9
     html = "<html><head><title>no</title><script>x<y</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title &amp;  one</h1><p>First <b>bold text</b> here.<p>Second&nbsp;one &lt;x&gt;.</article><div class=comments><p>Nice!</p></div><footer>&copy; me</footer>"
-    rows = [(1, "u", html), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<div>" * 300 + "deep"), (1, "u", html)]
+    rows = [(1, "u", html), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<div>" * 300 + "deep"), (1, "u", html), (6, "u", html.replace("<article>", "<form><select><option>a<option>b</select><button>go</form><article>"))]
     out = html_extract.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
-    assert [r["text"] for r in out if r["page_id"] == 1] == ["Title & one First bold text here. Second one <x>."] * 2
-    assert len(out) == 6 and [r["text"] for r in out if r["page_id"] in (2, 3)] == ["", ""] and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert [r["text"] for r in out if r["page_id"] in (1, 6)] == ["Title & one First bold text here. Second one <x>."] * 3
+    assert len(out) == 7 and [r["text"] for r in out if r["page_id"] in (2, 3)] == ["", ""] and all(r["n_chars"] == len(r["text"]) for r in out)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 

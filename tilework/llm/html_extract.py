@@ -63,7 +63,8 @@ class Page:
         self.chars, self.linked, self.stops, self.rights = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         open_: list[tuple[str, int]] = [("html", 0)]
-        at, in_link, silent = 0, False, 0
+        at, in_link = 0, False
+        silent: list[tuple[str, int]] = []  # open elements that give no text, with the number of blocks around each
         end = len(html)
         pos = 0
         while True:
@@ -82,25 +83,31 @@ class Page:
                 if name == "a":
                     in_link = False
                 elif name in SILENT:
-                    silent = max(0, silent - 1)
+                    for k in range(len(silent) - 1, -1, -1):
+                        if silent[k][0] == name:
+                            del silent[k:]
+                            break
                 elif name not in INLINE and name not in ("html", "body"):
                     for k in range(len(open_) - 1, 0, -1):
                         if open_[k][0] == name:
                             del open_[k:]
                             in_link = False
+                            while silent and silent[-1][1] > k:  # left open inside what ends here
+                                silent.pop()
                             break
                 continue
             if name in SILENT:
                 if name in RAW:
                     close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                     at = pos = close.end() if close else (end if name != "title" else at)
+                elif name == "head":
+                    body = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
+                    if body:
+                        at = pos = body.start() if body[0][1] != "/" else body.end()
                 elif not m[3].endswith("/"):
-                    silent += 1
-                    if name == "head":
-                        body = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                        if body:
-                            at = pos = body.start() if body[0][1] != "/" else body.end()
-                        silent -= 1
+                    if name == "option" and silent and silent[-1][0] == "option":
+                        silent.pop()  # an option ends where the next begins
+                    silent.append((name, len(open_)))
                 continue
             if name == "a":
                 in_link = "href" in m[3]
