@@ -134,6 +134,27 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.judge(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_cut_and_buckets_follow_the_corpus(spark, monkeypatch):
+    """Bad documents that share most words with the good ones score above -0.3 as they are."""
+    rng = random.Random(3)
+    common, well, badly = ([p + str(k) for k in range(60)] for p in "cwb")
+    make = lambda own: " ".join(rng.choice(own if rng.random() < 0.2 else common) for _ in range(120))
+    rows = [(k, make(badly if k % 3 == 0 else well)) for k in range(300)] + [(None, "c1 c2"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(240)], "doc_id long, quality int, toxic int")
+    ways = []
+    for array in (quality_rules.ARRAY, 0):  # 0: ratios as a table
+        monkeypatch.setattr(quality_rules, "ARRAY", array)
+        monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 50)
+        got = {(r["doc_id"], r["text"]): r for r in quality_rules.judge(docs, labels).collect()}
+        assert len(got) == len(rows)
+        unseen = [r for (k, t), r in got.items() if t and k is not None and k >= 240]  # without labels
+        assert sum(r["kept"] == (r["doc_id"] % 3 != 0) for r in unseen) >= 0.95 * len(unseen)
+        ways.append({k: (r["score"], r["kept"]) for k, r in got.items()})
+    assert all(abs(ways[0][k][0] - ways[1][k][0]) < 1e-9 and ways[0][k][1] == ways[1][k][1] for k in ways[0])
+    assert [quality_rules.bucket_count(n) for n in (0, 1 << 23, (1 << 23) + 1, 1 << 30)] == [1 << 16, 1 << 16, 1 << 17, 1 << 23]
+
+
 def test_line_dedup(docs, none):
     rows = docs.collect()
     pages, held = {}, {}
