@@ -255,6 +255,21 @@ def test_nearest(spark):
     assert nearest.search(empty, empty).count() == 0
 
 
+def test_nearest_among_groups_of_copies(spark):
+    """60% of the vectors lie in groups of copies: the others' neighbours are far beyond the median radius."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    for g in range(0, 900, 9):
+        x[g : g + 9] = x[g] + 1e-4 * rng.normal(size=(9, 32))
+    x = x[rng.permutation(1500)]
+    vectors = nearest.usable(spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).cache()
+    queries = vectors.where("vec_id % 15 = 0")
+    exact = {(r["query_id"], r["vec_id"]) for r in nearest.exact(vectors, queries.collect()).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in nearest.search(vectors, queries).collect()}
+    assert len(got) == len(exact) == 500
+    assert len(got & exact) / 500 >= 0.9, len(got & exact)
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://WWW.Example.com/en/1?q=1", "http://b.example.com/en/2#t", "http://example.com/en", "http://k.net/es/3", "http://net/fr/", "http://x.org/de/1", None, "nourl", "http://", "http://h.com?x://y/z", "http://com/", "http://notcom/", "http://a.com:8/é", "http://x.org/de/1"]
     rows = [(k, u, "clash") for k, u in enumerate(urls)] + [(100 + k, f"http://s{k}.{'net/es' if k % 2 else 'com/de'}/{k}", "clash") for k in range(200)]

@@ -3,8 +3,10 @@
 Vectors are scaled to length 1, where the largest cosine is the least distance. Each of TABLES tables hashes a vector by
 DIRECTIONS Gaussian (2-stable) projections cut into slots of WIDTH. A query visits the cells around its own in the order of
 their estimated success: for a neighbour at distance r a projection is off by a normal value of deviation r, so the chance
-of each slot is known, and cells are visited until their chances add up to MASS. r is the median distance of the K-th
-neighbour of CALIBRATING queries, found by one scan. Every row is indexed; candidates of all tables are merged and ranked by
+of each slot is known, and cells are visited until their chances add up to MASS. In the first round r is the median distance
+of the K-th neighbour of CALIBRATING queries, found by one scan. A query whose K-th candidate lies beyond the r it was probed
+with is probed again with that distance, which the true one does not exceed; one with fewer candidates with FAR, then with 2,
+the largest distance there is. Every row is indexed; candidates of all tables are merged and ranked by
 the exact cosine of the original vectors in double precision. Large cells are split by row, and by query, into blocks of
 BLOCK, each block of rows meeting each block of queries, so no task holds a whole cell and none is cut.
 
@@ -31,6 +33,8 @@ REACH = 3  # slots to either side
 MASS = 0.55
 CALIBRATING = 64
 BLOCK = 4000
+NEAR = 0.05
+FAR = 2**0.5
 SEED = 11
 
 
@@ -86,7 +90,7 @@ def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-1.5976 * z - 0.070566 * z**3))
 
 
-def _probes(width: float, r: float, mass: float):
+def _probes(width: float, mass: float):
     steps = np.arange(-REACH, REACH + 1)
     grid = np.stack(np.meshgrid(*[steps] * DIRECTIONS, indexing="ij"), -1).reshape(-1, DIRECTIONS)
 
@@ -95,12 +99,13 @@ def _probes(width: float, r: float, mass: float):
             x = _matrix(b.column(1))
             if not len(x):
                 continue
+            r = np.asarray(b.column(2))
             packed, unit = _packed(x), _unit(x)
             for t, (a, shift) in enumerate(_hashing(x.shape[1], width)):
                 y = (unit @ a + shift) / width
                 own = np.floor(y)
                 for i in range(len(x)):
-                    edge = (own[i][:, None] + np.append(steps, REACH + 1)[None, :] - y[i][:, None]) * width / r
+                    edge = (own[i][:, None] + np.append(steps, REACH + 1)[None, :] - y[i][:, None]) * width / r[i]
                     slot = np.diff(_chance(np.clip(edge, -6, 6)), axis=1)
                     p = np.prod(slot[np.arange(DIRECTIONS), grid + REACH], axis=1)
                     order = np.argsort(-p, kind="stable")
@@ -182,9 +187,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, mass: float = MAS
     if not asked:
         return vectors.sparkSession.createDataFrame([], empty)
     near = exact(vectors, asked, k).groupBy("query_id").agg(F.min("score").alias("s")).agg(F.percentile("s", 0.5)).first()[0]
-    r = max(0.05, float(np.sqrt(max(0.0, 2 - 2 * near)))) if near is not None else 1.0
+    r = max(NEAR, float(np.sqrt(max(0.0, 2 - 2 * near)))) if near is not None else 1.0
+    asks = queries.select("vec_id", "v", F.lit(r).alias("r"))
+    found = staged(_round(vectors, asks, k, mass), "found")
+    while True:
+        have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("s"), F.count("*").alias("n"))
+        beyond = F.greatest(F.lit(NEAR), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))))
+        wider = F.when(F.col("n") >= k, beyond).when(F.col("r") < FAR, F.lit(FAR)).otherwise(F.lit(2.0))
+        asks = staged(asks.join(have, "vec_id", "left").withColumn("wider", wider).where("wider > r").select("vec_id", "v", F.col("wider").alias("r")), "asks")
+        if asks.isEmpty():
+            return found
+        found = staged(top(found.drop("rank").unionByName(_round(vectors, asks, k, mass).drop("rank")), k), "found")
+
+
+def _round(vectors: DataFrame, queries: DataFrame, k: int, mass: float) -> DataFrame:
+    """The best k among the cells visited by queries(vec_id, v, r), each with its own r."""
     index = vectors.mapInArrow(_indexed(WIDTH), "cell long, vec_id long, v binary")
-    probes = queries.mapInArrow(_probes(WIDTH, r, mass), "cell long, query_id long, q binary")
+    probes = queries.mapInArrow(_probes(WIDTH, mass), "cell long, query_id long, q binary")
     rows = index.groupBy("cell").agg(F.count("*").alias("rows"))
     asks = probes.groupBy("cell").agg(F.count("*").alias("asks"))
     blocks = staged(rows.join(asks, "cell").select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("x"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("y")), "cells")
