@@ -289,6 +289,42 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_slots_follow_the_contexts(spark, monkeypatch):
+    """Scores near those of counts in dictionaries, with many more contexts than 65,536; all counts broadcast, and few."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) + (".com/" if k % 2 else ".net/es/") for k in range(6000)] + ["xyz.org/a/b", "q.org/es/", ""]
+    df = spark.createDataFrame([(u,) for u in urls], "s string")
+    known = spark.createDataFrame([(u, ".com/" in u) for u in urls[:6000]], "s string, good boolean")
+    n, m = (Counter(), Counter()), (Counter(), Counter())
+    back = lambda u, i, k: ("\2" * 5 + u)[i + 5 - k : i + 5]
+    for u in urls[:6000]:
+        for i, c in enumerate(u):
+            for k in range(6):
+                n[".com/" in u][k, back(u, i, k)] += 1
+                m[".com/" in u][k, back(u, i, k), c] += 1
+    assert sum(k == 5 for k, _ in set(n[0]) | set(n[1])) > 65_536
+    scores = []
+    for head in (url_filter.HEAD, 1000):
+        monkeypatch.setattr(url_filter, "HEAD", head)
+        got = {r["s"]: r["score"] for r in url_filter._model(df, known)(df.where("s like '%org%' or s = '' or s like 'a%'"), "s string").collect()}
+        assert len(got) > 100 and got[""] == 0
+        scores.append(got)
+        off = []
+        for u, score in got.items():
+            logs = [0.0, 0.0]
+            for side in (0, 1):
+                for i, c in enumerate(u):
+                    p = 1 / 256
+                    for k in range(6):
+                        p = (m[side][k, back(u, i, k), c] + 4 * p) / (n[side][k, back(u, i, k)] + 4)
+                    logs[side] += np.log(p)
+            off.append(abs(score - (logs[1] - logs[0]) / max(len(u), 1)))
+        assert np.mean(off) < 0.5, np.mean(off)
+    assert all(abs(scores[0][u] - scores[1][u]) < 1e-9 for u in scores[0])
+
+
 def test_html_extract(spark):
     w, pair = html_extract.fitted()
     pages = [html_extract.Page(h) for h in html_extract.labelled_pages(150, seed=77)]

@@ -3,8 +3,10 @@
 Each model is a variable-order Markov model over the bytes of host and path, smoothed by interpolation from order 0 to
 ORDER: P_k(c | k bytes before) = (n_k(context c) + STRENGTH * P_(k-1)(c)) / (n_k(context) + STRENGTH). One is counted on
 all URLs that a rule allows, the other on all that a rule blocks, but for one fold in FOLDS that calibrates the threshold
-on the log-likelihood difference per byte (the highest mean of both classes' shares judged right). Counts are kept in
-2**SLOTS hashed slots an order, so a model has a fixed size and can be broadcast at any size of corpus.
+on the log-likelihood difference per byte (the highest mean of both classes' shares judged right). Counts are kept
+in hashed slots, as many for each order as leave at most one in SPARE filled: they follow the distinct contexts and grams
+counted, and only filled slots are rows of a table. Its most frequent rows, fewer than HEAD, are broadcast; where there are
+more, the grams of the distinct URLs that are not among them are joined with the rest.
 
 Defined results: a null URL or one without :// has an empty host and path; an empty string scores 0; if the rules decide
 nothing, or all one way, every other URL is allowed; repeated rows are judged alike."""
@@ -21,7 +23,11 @@ from tilework.llm.common import staged, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 ORDER = 5
-SLOTS = 16
+MIN_BITS = 16
+SPARE = 16
+#: Rows of counts that are broadcast.
+HEAD = 1_000_000
+CODES = 2 * (ORDER + 1)
 STRENGTH = 4.0
 FOLDS = 5
 GRID = 200  # steps of the score per nat, for calibration; scores are held within 10 nats
@@ -50,7 +56,7 @@ _FACTORS = K.mix(np.arange(101, 101 + ORDER + 1, dtype=K.U)) | K.U(1)
 
 
 def _grams(batch: pa.RecordBatch):
-    """Per byte: row; slots of the context and of context and byte, for each order."""
+    """Per byte: row; place in its string; hashes of context and gram for each order, a column each."""
     data, offsets = K.column(batch, "s")
     sizes = np.diff(offsets)
     n = int(sizes.sum()) + ORDER * batch.num_rows
@@ -60,69 +66,131 @@ def _grams(batch: pa.RecordBatch):
     padded[at] = data[offsets[0] : offsets[-1]]
     values = padded.astype(K.U) + K.U(1)
     context = np.zeros(len(at), K.U)
-    shift = K.U(64 - SLOTS)
-    slots = []
+    keys = np.zeros((len(at), CODES), np.int64)
     for k in range(ORDER + 1):
         if k:
             context = context + values[at - k] * _FACTORS[k]
-        slots.append(((K.mix(context + K.U(k)) >> shift).astype(np.int64), (K.mix(context + values[at] * _FACTORS[0] + K.U(k + 50)) >> shift).astype(np.int64)))
-    return row, slots
+        keys[:, 2 * k] = K.mix(context + K.U(k)).view(np.int64)
+        keys[:, 2 * k + 1] = K.mix(context + values[at] * _FACTORS[0] + K.U(k + 50)).view(np.int64)
+    return row, np.arange(len(row)) - (offsets[:-1] - offsets[0])[row], keys
 
 
 def _count(batches):
-    """Sums of one task: (side, slot, n), side numbering class, order and context or gram."""
-    sums = np.zeros((2, ORDER + 1, 2, 1 << SLOTS), np.int64)
+    """Sums by batch: (code, key, bad, good)."""
     for b in batches:
-        row, slots = _grams(b)
+        row, _, keys = _grams(b)
         side = np.asarray(b.column(b.schema.get_field_index("good"))).astype(np.int64)[row]
-        for k, pair in enumerate(slots):
-            for j, s in enumerate(pair):
-                sums[:, k, j] += np.bincount(side * (1 << SLOTS) + s, minlength=2 << SLOTS).reshape(2, -1)
-    flat = sums.ravel()
-    at = np.flatnonzero(flat)
-    for i in range(0, len(at), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(flat[at[i : i + 100_000]])], ["slot", "n"])
+        for code in range(CODES):
+            found, at = np.unique(keys[:, code], return_inverse=True)
+            bad, good = (np.bincount(at[side == k], minlength=len(found)).astype(np.int64) for k in (0, 1))
+            for i in range(0, len(found), 100_000):
+                x = [pa.array(x[i : i + 100_000]) for x in (found, bad, good)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), code)), *x], ["code", "key", "bad", "good"])
 
 
-def _score(model):
+def slot_bits(distinct: int) -> int:
+    """The slots of an order are two to this power."""
+    return max(MIN_BITS, (max(distinct, 1) * SPARE - 1).bit_length())
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of slots: the code's, then the first bits of the hash."""
+    return ((keys.view(K.U) >> K.U(64 - bits)) + (np.arange(CODES, dtype=K.U) << K.U(bits))[None, :]).view(np.int64)
+
+
+def _places(keys: np.ndarray, known: np.ndarray):
+    """Where known (sorted) has each key, and whether it does."""
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    return at, known[at] == keys if len(known) else np.zeros(keys.shape, bool)
+
+
+def _others(head, bits: int):
+    """(u, at, key) of the contexts and grams that are not in the head; at numbers byte and code."""
+
     def run(batches):
-        counts = model.value
+        known = head.value[0]
         for b in batches:
-            row, slots = _grams(b)
+            row, place, keys = _grams(b)
+            keys = _slots(keys, bits)
+            byte, code = np.nonzero(~_places(keys, known)[1])
+            u = np.asarray(b.column(b.schema.get_field_index("u")))
+            for i in range(0, len(byte), 100_000):
+                x, c = byte[i : i + 100_000], code[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(u[row[x]]), pa.array(place[x] * CODES + c), pa.array(keys[x, c])], ["u", "at", "key"])
+
+    return run
+
+
+def _score(head, bits: int):
+    def run(batches):
+        known, *sides = head.value
+        for b in batches:
+            row, place, keys = _grams(b)
+            keys = _slots(keys, bits)
+            at, hit = _places(keys, known)
+            rest = b.column(b.schema.get_field_index("rest")) if "rest" in b.schema.names else None
             logs = []
-            for side in (0, 1):
+            for side, head_counts in enumerate(sides):
+                counts = np.where(hit, head_counts[at], 0) if len(known) else np.zeros(keys.shape)
+                if rest is not None and len(flat := rest.flatten()):
+                    of = np.repeat(np.arange(b.num_rows), rest.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                    first = np.searchsorted(row, of)
+                    counts.reshape(-1)[first * CODES + flat.field("at").to_numpy()] = flat.field(("bad", "good")[side]).to_numpy()
                 p = np.full(len(row), 1 / 256)
-                for k, (c, g) in enumerate(slots):
+                for k in range(ORDER + 1):
                     # hashed slots may hold more grams than contexts: never more than certain
-                    p = np.minimum((counts[side, k, 1][g] + STRENGTH * p) / (counts[side, k, 0][c] + STRENGTH), 1.0)
+                    p = np.minimum((counts[:, 2 * k + 1] + STRENGTH * p) / (counts[:, 2 * k] + STRENGTH), 1.0)
                 logs.append(np.log(p))
             size = np.maximum(np.bincount(row, minlength=b.num_rows), 1)
             score = np.bincount(row, logs[1] - logs[0], minlength=b.num_rows) / size
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+            names = [n for n in b.schema.names if n != "rest"]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(score)], [*names, "score"])
 
     return run
 
 
+def _model(df: DataFrame, known: DataFrame):
+    """A function that scores rows with s: counts of known(s, good), the head broadcast, the rest joined to URLs of df."""
+    spark = df.sparkSession
+    sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
+    hashes = staged(known.mapInArrow(_count, "code long, key long, bad long, good long").groupBy("code", "key").agg(*sums), "hashes")
+    bits = slot_bits(max((r["count"] for r in hashes.groupBy("code").count().collect()), default=0))
+    slot = F.shiftleft("code", bits) + F.shiftrightunsigned("key", 64 - bits)
+    counts = staged(hashes.groupBy(slot.alias("key")).agg(*sums), "counts")
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0))).first()
+    often = F.col("bad") + F.col("good") >= (total // HEAD + 1 if n > HEAD else 0)  # fewer than HEAD rows hold so many
+    top = counts.where(often).toArrow()
+    key, bad, good = (top.column(c).to_numpy() for c in ("key", "bad", "good"))
+    order = np.argsort(key)
+    head = spark.sparkContext.broadcast((key[order], bad[order].astype(float), good[order].astype(float)))
+    rest = None
+    if n > HEAD:
+        others = df.select("s").distinct().select("s", F.xxhash64("s").alias("u")).mapInArrow(_others(head, bits), "u long, at long, key long")
+        found = others.join(counts.where(~often).hint("merge"), "key").groupBy("u").agg(F.collect_list(F.struct("at", "bad", "good")).alias("rest"))
+        rest = staged(found, "rest")
+
+    def scored(rows: DataFrame, schema: str) -> DataFrame:
+        if rest is not None:
+            rows = rows.withColumn("u", F.xxhash64("s")).join(rest, "u", "left").drop("u")
+        return rows.mapInArrow(_score(head, bits), schema + ", score double")
+
+    return scored
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of pages(page_id, url)."""
-    spark = pages.sparkSession
     host, path = host_and_path(F.col("url").cast("string"))
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     df = staged(df.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), F.concat("host", "path").alias("s")), "urls")
     fold = F.pmod(F.xxhash64("s", F.lit(3)), F.lit(FOLDS)) == 0
     known = df.where("said is not null").select("s", (F.col("said") == "allow").alias("good"), fold.alias("held"))
-    # partial sums of each task are already narrow: at most the model's size
-    sums = known.where("not held").select("s", "good").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * (ORDER + 1) * 2 << SLOTS)
-    counts[np.asarray(sums.column("slot").combine_chunks())] = np.asarray(sums.column("n").combine_chunks())
-    counts = counts.reshape(2, ORDER + 1, 2, 1 << SLOTS).astype(np.float32)
-    scorer = _score(spark.sparkContext.broadcast(counts))
-    held = known.where("held").select("s", "good").mapInArrow(scorer, "s string, good boolean, score double")
+    scored = _model(df, known.where("not held").select("s", "good"))
+    held = scored(known.where("held").select("s", "good"), "s string, good boolean")
     step = F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("score"))) * GRID)
     steps = held.groupBy(step.alias("step")).agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n")).orderBy("step").collect()  # 20 * GRID at most
     threshold = _threshold([(r["step"], r["good"], r["n"] - r["good"]) for r in steps])
-    out = df.mapInArrow(scorer, "page_id long, host string, path string, rule string, said string, s string, score double")
+    out = scored(df, "page_id long, host string, path string, rule string, said string, s string")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
 
 
