@@ -1,6 +1,7 @@
 """Each operator on awkward rows and against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -270,6 +271,51 @@ def test_nearest_among_groups_of_copies(spark):
     assert len(got & exact) / 500 >= 0.9, len(got & exact)
 
 
+def test_nearest_ties_repeats_and_magnitudes(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    x[10:40] = x[0]  # equal vectors: the smaller ids win
+    x[41], x[42], x[43] = x[40] * 2.0, x[40] * 2.0**-660, x[40] * 2.0**660
+    rows = [(k, [float(v) for v in r], "clash") for k, r in enumerate(x)]
+    rows += rows[:12]  # repeated rows count once
+    vectors = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")).cache()
+    assert vectors.count() == 60
+    queries = vectors.where("vec_id % 10 = 0")
+    got: dict[int, list] = {}
+    for r in nearest.search(vectors, queries).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [v for v, _ in got[0]] == [10, 11, 12, 13, 14]
+    assert [v for v, _ in got[20]] == [0, 10, 11, 12, 13] and len({s for _, s in got[20]}) == 1
+    assert [v for v, _ in got[40][:3]] == [41, 42, 43] and all(abs(s - 1) < 1e-12 for _, s in got[40][:3])
+    assert all(len(v) == 5 and all(math.isfinite(s) for _, s in v) for v in got.values())
+    few = vectors.where("vec_id < 3")
+    assert nearest.search(few, few).count() == 6
+
+
+def test_nearest_scores_a_small_share(spark):
+    """Directions without structure, the hardest case: the buckets visited hold a small share of the rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, c = x[:40], np.full(40, 0.36)
+    shares = np.full((nearest.TABLES, nearest.DIRECTIONS, nearest.SLOTS), 1.0)
+    for t in range(nearest.TABLES):
+        a, shift = nearest._hashing(64, t)
+        slots = nearest._slots(x @ a, shift)
+        shares[t] += np.stack([np.bincount(slots[:, j], minlength=nearest.SLOTS) for j in range(nearest.DIRECTIONS)])
+    shares /= shares.sum(axis=2, keepdims=True)
+    seen = np.zeros((40, 6000), bool)
+    for t in range(nearest.TABLES):
+        a, shift = nearest._hashing(64, t)
+        y = q @ a
+        least = nearest._least_gain(nearest._gains(nearest._chances(y, c, shift), shares[t], c), y, c, shift, nearest.MASS)
+        seen |= nearest.visited(x, q, c, least, t, shares)
+    score = q @ x.T
+    score[np.arange(40), np.arange(40)] = -2
+    best = np.argsort(-score, axis=1)[:, :5]
+    assert np.take_along_axis(seen, best, 1).mean() >= 0.9 and seen.mean() < 0.2, (np.take_along_axis(seen, best, 1).mean(), seen.mean())
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://WWW.Example.com/en/1?q=1", "http://b.example.com/en/2#t", "http://example.com/en", "http://k.net/es/3", "http://net/fr/", "http://x.org/de/1", None, "nourl", "http://", "http://h.com?x://y/z", "http://com/", "http://notcom/", "http://a.com:8/é", "http://x.org/de/1"]
     rows = [(k, u, "clash") for k, u in enumerate(urls)] + [(100 + k, f"http://s{k}.{'net/es' if k % 2 else 'com/de'}/{k}", "clash") for k in range(200)]
