@@ -7,8 +7,9 @@ The weights are fitted by gradient steps on the exact likelihood of labelled pag
 layouts, each element marked as content or not. Training is deterministic and takes a few seconds on the driver; the fitted
 weights are a few hundred numbers. Trees of a batch are stacked and passed level by level, so messages are array steps.
 
-Defined results: null and empty pages give an empty text; head, scripts, styles, templates and form controls never give
-text; a page without content gives an empty text; broken markup is closed as browsers close it, roughly; repeated rows are
+Defined results: null and empty pages give an empty text; very long pages are read whole, in time in proportion to their
+length, whatever is broken in them; a tag that never ends gives nothing, nor does what follows it; head, scripts, styles, templates and form controls never give
+text; a page without content gives an empty text; blocks nested deeper than DEEPEST hang on the block at that depth; broken markup is closed as browsers close it, roughly; repeated rows are
 treated alike."""
 
 from __future__ import annotations
@@ -47,12 +48,93 @@ KIND = {t: k for k, t in enumerate(TAGS)}
 CLOSES_P = {t for t in TAGS if t not in ("html", "body")}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"\b(class|id|role|data-y|hidden|aria-label)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Browsers stop nesting there; deeper blocks become children of the block at this depth.
+DEEPEST = 512
+PLAIN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)>")
+START = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+NAME = re.compile(r"[\s/]*+([^\s/>=]*+)\s*+(=?)\s*+")
+BARE = re.compile(r"[^\s>]*+")
+LOOKED_AT = {"class", "id", "role", "data-y", "aria-label", "href"}
 SPLIT = re.compile(r"[^a-z0-9]+")
+#: The end of raw text; of a head that is left open, the body.
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW} | {"head": re.compile(r"(?<=</head>)|<body(?=[\s/>])", re.I)}
 STOPS = re.compile(r"[.,;:!?]")
 
 
+class Scanner:
+    """Tags of a page in one pass from left to right, by the rules of HTML: a value may be bare, up to white space or >, or
+    quoted, up to the same quote. A quote that is never closed ends with its tag, at the next >. What is looked for and not
+    found is remembered, so that broken markup takes time in proportion to its length."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        self.missing: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Of the literal what from at on, or the end."""
+        found = -1 if what in self.missing or at > self.last.get(what, at) else self.html.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found if found >= 0 else len(self.html)
+
+    def close(self, name: str, at: int) -> int:
+        """Where the raw text of the element name ends: before its end tag, or at the end of the page."""
+        if name in self.missing:
+            return len(self.html)
+        m = RAW_END[name].search(self.html, at)
+        if not m:
+            self.missing[name] = at
+        return m.start() if m else len(self.html)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Attributes that are looked at, from behind a tag's name on, and the place behind the tag; -1 if it never ends."""
+        html, got = self.html, {}
+        while at <= self.last[">"]:
+            m = NAME.match(html, at)
+            at = m.end()
+            if at >= len(html):
+                break
+            name, value = m[1].lower(), ""
+            if m[2] and html[at] != ">":
+                if html[at] in "\"'":
+                    end = self.find(html[at], at + 1)
+                    if end == len(html):  # never closed
+                        end = self.find(">", at)
+                        value, at = html[at + 1 : end], end
+                    else:
+                        value, at = html[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            if name in LOOKED_AT:
+                got.setdefault(name, value.lower())
+            if at < len(html) and html[at] == ">":
+                return got, at + 1
+        return got, -1
+
+
+class Open:
+    """A stack of open elements that knows where each name was opened last."""
+
+    __slots__ = ("items", "at")
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, value: int) -> None:
+        self.at.setdefault(name, []).append(len(self.items))
+        self.items.append((name, value))
+
+    def last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, k: int) -> None:
+        while len(self.items) > k:
+            self.at[self.items.pop()[0]].pop()
+
+
 class Page:
     """Blocks in page order: parent, tag, words found in attributes, own text, text in links; pieces are (block, text)."""
 
@@ -62,89 +144,83 @@ class Page:
         self.parent, self.tag, self.mask, self.label = [-1], [KIND["html"]], [0], [None]
         self.chars, self.linked, self.stops, self.rights = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
-        open_: list[tuple[str, int]] = [("html", 0)]
-        at, in_link = 0, False
-        silent: list[tuple[str, int]] = []  # open elements that give no text, with the number of blocks around each
-        end = len(html)
-        pos = 0
+        open_, silent = Open(), Open()  # silent: open elements that give no text, with the number of blocks around each
+        open_.push("html", 0)
+        scan, in_link = Scanner(html), False
+        at = pos = 0  # text not yet taken begins at at
         while True:
-            m = TOKEN.search(html, pos)
-            stop = m.start() if m else end
-            if stop > at and not silent:
-                self._text(html[at:stop], open_[-1][1], in_link)
-            if not m:
-                break
-            at = pos = m.end()
-            name = m[2]
-            if not name:
+            lt = scan.find("<", pos)
+            if lt < len(html) and not (html[lt + 1 : lt + 2].isalpha() and html[lt + 1].isascii()) and html[lt + 1 : lt + 2] not in ("/", "!", "?"):
+                pos = lt + 1  # a sign like any other
                 continue
-            name = name.lower()
+            if lt > at and not silent.items:
+                self._text(html[at:lt], open_.items[-1][1], in_link)
+            if lt >= len(html):
+                break
+            m, attrs = PLAIN.match(html, lt + 1), {}
+            if m:
+                at = pos = m.end()
+            else:
+                m = START.match(html, lt + 1)
+                if not m:  # a comment or the like
+                    at = pos = scan.find("-->", lt + 2) + 3 if html.startswith("<!--", lt) else scan.find(">", lt) + 1
+                    continue
+                attrs, pos = scan.attributes(m.end())
+                if pos < 0:
+                    break
+                at = pos
+            name = m[2].lower()
             if m[1]:
                 if name == "a":
                     in_link = False
                 elif name in SILENT:
-                    for k in range(len(silent) - 1, -1, -1):
-                        if silent[k][0] == name:
-                            del silent[k:]
-                            break
+                    if (k := silent.last(name)) >= 0:
+                        silent.cut(k)
                 elif name not in INLINE and name not in ("html", "body"):
-                    for k in range(len(open_) - 1, 0, -1):
-                        if open_[k][0] == name:
-                            del open_[k:]
-                            in_link = False
-                            while silent and silent[-1][1] > k:  # left open inside what ends here
-                                silent.pop()
-                            break
+                    if (k := open_.last(name)) > 0:
+                        open_.cut(k)
+                        in_link = False
+                        while silent.items and silent.items[-1][1] > k:  # left open inside what ends here
+                            silent.cut(len(silent.items) - 1)
                 continue
+            empty = html[at - 2] == "/"
             if name in SILENT:
                 if name in RAW:
-                    close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                    at = pos = close.end() if close else (end if name != "title" else at)
+                    at = pos = scan.close(name, at)
+                    if at < len(html):
+                        at = pos = scan.find(">", at) + 1
                 elif name == "head":
-                    body = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                    if body:
-                        at = pos = body.start() if body[0][1] != "/" else body.end()
-                elif not m[3].endswith("/"):
-                    if name == "option" and silent and silent[-1][0] == "option":
-                        silent.pop()  # an option ends where the next begins
-                    silent.append((name, len(open_)))
+                    at = pos = at if (k := scan.close(name, at)) == len(html) else k
+                elif not empty:
+                    if name == "option" and silent.items and silent.items[-1][0] == "option":
+                        silent.cut(len(silent.items) - 1)  # an option ends where the next begins
+                    silent.push(name, len(open_.items))
                 continue
             if name == "a":
-                in_link = "href" in m[3]
+                in_link = "href" in attrs
             if name in ("br", "hr"):
-                self.pieces.append((open_[-1][1], " "))
+                self.pieces.append((open_.items[-1][1], " "))
             if name in INLINE or name in VOID or name in ("html",):
                 continue
-            if name in CLOSES_P and open_[-1][0] == "p":
-                open_.pop()
-            if name in CLOSES:
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k][0] in SCOPE[name]:
-                        break
-                    if open_[k][0] in CLOSES[name]:
-                        del open_[k:]
-                        break
+            if name in CLOSES_P and open_.items[-1][0] == "p":
+                open_.cut(len(open_.items) - 1)
+            if name in CLOSES and (k := open_.last(*CLOSES[name])) > open_.last(*SCOPE[name]) and k > 0:
+                open_.cut(k)
             in_link = in_link and name not in ("p", "li", "div")
-            mask, label = 0, None
-            if m[3]:
-                for key, value in ATTR.findall(m[3]):
-                    key = key.lower()
-                    value = value.strip("\"'").lower()
-                    if key == "data-y":
-                        label = int(value)
-                    elif key != "hidden":
-                        for w in SPLIT.split(value):
-                            if w in WORD_OF:
-                                mask |= 1 << WORD_OF[w]
-            self.parent.append(open_[-1][1])
+            mask = 0
+            for key in ("class", "id", "role", "aria-label"):
+                for w in SPLIT.split(attrs[key]) if key in attrs else ():
+                    if w in WORD_OF:
+                        mask |= 1 << WORD_OF[w]
+            self.parent.append(open_.items[min(len(open_.items), DEEPEST) - 1][1])
             self.tag.append(KIND.get(name, KIND["div"]))
             self.mask.append(mask)
-            self.label.append(label)
+            self.label.append(int(attrs["data-y"]) if attrs.get("data-y") in ("0", "1") else None)
             self.chars.append(0)
             self.linked.append(0)
             self.stops.append(0)
             self.rights.append(0)
-            open_.append((name, len(self.parent) - 1))
+            open_.push(name, len(self.parent) - 1)
 
     def _text(self, raw: str, block: int, in_link: bool) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
@@ -237,7 +313,7 @@ class Forest:
         for at in self.levels[:0:-1]:
             m = link[at] + total[at][:, None, :]
             up[at] = np.logaddexp(m[:, :, 0], m[:, :, 1])
-            total += _by(self.parent[at], up[at], len(total))
+            np.add.at(total, self.parent[at], up[at])
         joint = np.zeros((len(self.parent), 2, 2))
         for at in self.levels[1:]:
             away = total[self.parent[at]] - up[at]
@@ -337,7 +413,13 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
             elif r < 0.74:
                 parts.append(el(pick("h2", "h3"), 1, _sentence(rng, 1, 8)))
             elif r < 0.82:
-                parts.append(el(pick("ul", "ol"), 1, "".join(el("li", 1, pick(_sentence(rng), _sentence(rng, 1, 4), _paragraph(rng))) for _ in range(rng.integers(2, 6)))))
+                linked = rng.random() < 0.35
+
+                def item() -> str:
+                    text = pick(_sentence(rng), _sentence(rng, 1, 4), _paragraph(rng))
+                    return f'<a href="/{int(rng.integers(99))}">{_sentence(rng, 2, 7)}</a>' + pick("", "", " " + text) if linked else text
+
+                parts.append(el(pick("ul", "ol"), 1, "".join(el("li", 1, item()) for _ in range(rng.integers(2, 6)))))
             elif r < 0.86:
                 parts.append(el("blockquote", 1, pick(_paragraph(rng), el("p", 1, _paragraph(rng)))))
             elif r < 0.89:
