@@ -61,11 +61,11 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(offsets: np.ndarray, size: int = BLOCK):
-    """Row ranges (lo, hi) of at most size bytes, or of one longer row."""
+def blocks(offsets: np.ndarray):
+    """Row ranges (lo, hi) of at most BLOCK bytes, or of one longer row."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
 
@@ -106,7 +106,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
             while i < b:
                 j = min(b, i + BLOCK)
                 while j < b and not SPACE[data[j]]:
-                    gap = np.flatnonzero(SPACE[data[j : j + BLOCK]])
+                    gap = np.flatnonzero(SPACE[data[j : min(b, j + BLOCK)]])
                     j = j + int(gap[0]) if len(gap) else min(b, j + BLOCK)
                 part = data[i:j]
                 if len(part) <= 2 * BLOCK:
