@@ -5,17 +5,19 @@ many times its bytes, so suffixes are sampled so that equal strings sample alike
 bytes its anchor is the leftmost one of least hash, and all p with the same anchor form one run [pl, pr].
 
 1. Initial buckets: anchors by the hash of their q-gram. A q-gram found at one place only repeats nothing; it is dropped.
-2. Anchors whose whole context [pl, pr + WIDTH) is equal repeat with all their positions. That settles the inside of
-   repeated passages without looking at single positions.
-3. For buckets with different contexts, one of each, the positions are bucketed by (q-gram bucket of the anchor, distance
-   to it, q-gram at p) and refined by sorting on the bucket identifiers of later offsets; each pass reuses the buckets of
-   the pass before and goes on only with those that still hold two positions. What is left after the last offset is
-   repeated. Buckets of more than BUCKET contexts are refined the same way by a distributed aggregation instead.
+2. The context [pl, pr + WIDTH) of an anchor holds all strings of its run. Of each bucket, one anchor of each distinct context
+   is taken, and a second one where the context occurs again; what is found for it holds for all that are like it.
+3. Every position of these contexts starts in the bucket of its q-gram. A pass sorts on (own bucket, bucket of the position
+   STEPS further on); both are buckets of the pass before, so the length that a bucket stands for grows from Q to 64, 128 and
+   WIDTH, and a position alone in its bucket takes no part any more, nor does one that points to it. What still shares a bucket
+   after the last pass is repeated. The buckets of a task are whole; one of more than BUCKET contexts is named by the same
+   pointers, and its last sort is a Spark aggregation.
 
 Exact copies of a whole text need none of this: all their bytes are repeated if there are WIDTH of them at least; one copy
-stays as evidence for others. Buckets are 64-bit hashes: m different strings collide with a chance of m * m / 2**65.
+stays as evidence for others. Texts are told apart by 128 bits of their sha256. Buckets are 64-bit hashes: m different
+strings collide with a chance of m * m / 2**65.
 
-Defined results: null texts are empty and keep nothing (the hash of no bytes); texts shorter than WIDTH lose nothing;
+Defined results: very long texts are worked on in pieces that overlap; null texts are empty and keep nothing (the hash of no bytes); texts shorter than WIDTH lose nothing;
 repeated rows are texts of their own, so they repeat each other; null ids are kept."""
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.llm import kernels as K
@@ -34,10 +37,10 @@ from tilework.llm.common import joined, staged, table
 WIDTH = 200
 Q = 32
 BUCKET = 4000
-#: Later offsets, the farthest first: it tells strings apart soonest. Together the q-grams cover all of WIDTH.
-OFFSETS = (WIDTH - Q, 64, 128, 32, 96, 160)
+#: How far on the later bucket of each pass lies: Q + 32 = 64, 64 + 64 = 128, 128 + 72 = WIDTH.
+STEPS = (32, 64, 72)
 BITS = 21
-ANCHOR = "key long, a int, pl int, pr int, hq long, he long"
+ANCHOR = "key binary, a int, pl int, pr int, hq long, he long"
 
 
 def _qgrams(total: np.ndarray, q: int = Q) -> np.ndarray:
@@ -85,11 +88,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, q: int =
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(key, row, got, shift=0):
         _, a, pl, pr, hq, he = got
-        return pa.RecordBatch.from_arrays([pa.array(key[row]), *(pa.array((x + shift).astype(np.int32)) for x in (a, pl, pr)), pa.array(hq), pa.array(he)], ["key", "a", "pl", "pr", "hq", "he"])
+        return pa.RecordBatch.from_arrays([key.take(pa.array(row)), *(pa.array((x + shift).astype(np.int32)) for x in (a, pl, pr)), pa.array(hq), pa.array(he)], ["key", "a", "pl", "pr", "hq", "he"])
 
     for b in batches:
         data, offsets = K.column(b, "text")
-        key = np.asarray(b.column(b.schema.get_field_index("key")))
+        key = b.column(b.schema.get_field_index("key"))
         for lo, hi in K.blocks(offsets):
             x, y = int(offsets[lo]), int(offsets[hi])
             if hi == lo + 1 and y - x > K.BLOCK:  # a long text, in pieces that share WIDTH - 1 bytes
@@ -104,7 +107,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out(key, lo + got[0], got)
 
 
-CONTEXT = "hq long, key long, a int, pl int, pr int, sole boolean, context binary"
+def text_key(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+FIELDS = ("hq", "he", "a", "pl", "pr", "first")
+CONTEXT = "hq long, he long, a int, pl int, pr int, first boolean, key binary, context binary"
 
 
 def _contexts(batches):
@@ -112,77 +120,106 @@ def _contexts(batches):
     for b in batches:
         data, offsets = K.column(b, "text")
         want = b.column(b.schema.get_field_index("want"))
-        key = np.asarray(b.column(b.schema.get_field_index("key")))
+        key = b.column(b.schema.get_field_index("key"))
         at = np.asarray(want.offsets)
-        fields = {n: np.asarray(want.values.field(n)) for n in ("a", "pl", "pr", "hq", "sole")}
         for i in range(b.num_rows):
             for lo in range(at[i], at[i + 1], 4096):
-                part = slice(lo, min(at[i + 1], lo + 4096))
-                f = {n: v[part] for n, v in fields.items()}
-                raw = data[offsets[i] : offsets[i + 1]].tobytes() if len(f["a"]) * 8 > (offsets[i + 1] - offsets[i]) / 400 else data[offsets[i] : offsets[i + 1]]
-                got = [bytes(raw[s : e + WIDTH]) for s, e in zip(f["pl"].tolist(), f["pr"].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(f["hq"]), pa.array(np.full(len(got), key[i])), *(pa.array(f[n].astype(np.int32)) for n in ("a", "pl", "pr")), pa.array(f["sole"].astype(bool)), pa.array(got, pa.binary())], ["hq", "key", "a", "pl", "pr", "sole", "context"])
+                n = min(int(at[i + 1]), lo + 4096) - lo
+                fields = [want.values.field(f).slice(lo, n) for f in FIELDS]
+                pl, pr = (np.asarray(fields[FIELDS.index(f)]) for f in ("pl", "pr"))
+                raw = data[offsets[i] : offsets[i + 1]].tobytes() if n * 8 > (offsets[i + 1] - offsets[i]) / 400 else data[offsets[i] : offsets[i + 1]]
+                got = [bytes(raw[s : e + WIDTH]) for s, e in zip(pl.tolist(), pr.tolist())]
+                yield pa.RecordBatch.from_arrays([*fields, key.take(pa.array(np.full(n, i))), pa.array(got, pa.binary())], [*FIELDS, "key", "context"])
 
 
-def _windows(data, offsets, pl, pr):
-    """Owner and place in data of every position pl..pr of every context."""
+def _starts(offsets, pl, pr):
+    """Owner, and place in data, of every position pl..pr of every context."""
     n = (pr - pl + 1).astype(np.int64)
     owner = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return owner, offsets[:-1][owner] + inner, inner
-
-
-def refine(data, offsets, hq, a, pl, pr):
-    """Owners and text positions of the windows that have an equal one, of the contexts of whole buckets."""
-    owner, at, inner = _windows(data, offsets, pl, pr)
-    p = pl[owner] + inner
-    grams = _qgrams(K.sums(data))
-    bucket = K.mix(hq.view(K.U)[owner] + K.mix((a[owner] - p).astype(K.U)) + K.mix(grams[at] + K.U(1)))
-    alive = np.arange(len(at))
-    for k, offset in enumerate((0, *OFFSETS)):
-        if k:
-            bucket = K.mix(bucket + K.U(0x9E3779B97F4A7C15) * grams[at[alive] + offset] + K.U(k))
-        order = np.argsort(bucket, kind="stable")
-        x = bucket[order]
-        same = np.zeros(len(x) + 1, bool)
-        same[1:-1] = x[1:] == x[:-1]
-        keep = order[same[1:] | same[:-1]]
-        alive, bucket = alive[keep], bucket[keep]
-        if not len(alive):
-            break
-    return owner[alive], p[alive]
-
-
-FOUND = "key long, s int, e int"
-
-
-def _runs(key, owner, p):
-    """Intervals [s, e) of bytes for positions of the same owner that follow each other."""
-    order = np.lexsort((p, owner))
-    owner, p = owner[order], p[order]
-    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (p[1:] != p[:-1] + 1)]))
-    last = np.concatenate([first[1:], [len(p)]]) - 1
-    return pa.RecordBatch.from_arrays([pa.array(key[owner[first]]), pa.array(p[first].astype(np.int32)), pa.array((p[last] + WIDTH).astype(np.int32))], ["key", "s", "e"])
+    return owner, offsets[:-1][owner] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _paired(own: np.ndarray, later: np.ndarray, k: int) -> np.ndarray:
+    """The bucket of (own bucket, later bucket) in pass k."""
+    return K.mix(own + K.U(0x9E3779B97F4A7C15) * later + K.U(k + 1))
+
+
+def _shared(bucket: np.ndarray) -> np.ndarray:
+    """Whether a bucket has another member."""
+    order = np.argsort(bucket)
+    x = bucket[order]
+    same = np.zeros(len(x) + 1, bool)
+    same[1:-1] = x[1:] == x[:-1]
+    out = np.zeros(len(x), bool)
+    out[order[same[1:] | same[:-1]]] = True
+    return out
+
+
+def refine(data, offsets, pl, pr):
+    """Owners and places in data of the positions pl..pr whose WIDTH bytes have an equal one, of whole buckets of contexts."""
+    bucket = np.zeros(len(data), K.U)
+    bucket[: len(data) - Q + 1] = _qgrams(K.sums(data))
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the end of the context
+    alive = np.flatnonzero(left >= Q)
+    alive = alive[_shared(bucket[alive])]
+    length = Q
+    for k, step in enumerate(STEPS):
+        length += step
+        live = np.zeros(len(data), bool)
+        live[alive] = True
+        alive = alive[left[alive] >= length]
+        alive = alive[live[alive + step]]
+        bucket[alive] = _paired(bucket[alive], bucket[alive + step], k)
+        if k < len(STEPS) - 1:
+            alive = alive[_shared(bucket[alive])]
+    live = np.zeros(len(data), bool)
+    live[alive] = True
+    owner, at = _starts(offsets, pl, pr)
+    owner, at = owner[live[at]], at[live[at]]
+    found = _shared(bucket[at])
+    return owner[found], at[found]
+
+
+def windows(data, offsets, pl, pr):
+    """Owners, places in data and last buckets of all positions pl..pr, by the pointers of refine but without its sorts."""
+    bucket = np.zeros(len(data) + sum(STEPS), K.U)
+    bucket[: len(data) - Q + 1] = _qgrams(K.sums(data))
+    for k, step in enumerate(STEPS):
+        bucket = _paired(bucket, np.concatenate([bucket[step:], np.zeros(step, K.U)]), k)
+    owner, at = _starts(offsets, pl, pr)
+    return owner, at, bucket[at]
+
+
+FOUND = "hq long, he long, s int, e int"
+
+
+def _block(part: pa.Table):
+    part = part.combine_chunks().to_batches()[0]
+    f = {n: np.asarray(part.column(part.schema.get_field_index(n))) for n in FIELDS}
+    data, offsets = K.column(part, "context")
+    return f, data[offsets[0] : offsets[-1]], offsets - offsets[0], part
 
 
 def _refined(batches):
-    """Contexts sorted by bucket in; intervals of those that were found once only out. Holds one bucket more than a block."""
-    names = ("hq", "key", "a", "pl", "pr", "sole")
+    """Contexts sorted by bucket in; intervals that are repeated, from the anchor on, out. Holds one bucket more than a block."""
     held: list[pa.RecordBatch] = []
 
-    def done(part: pa.Table):
-        part = part.combine_chunks().to_batches()[0]
-        f = {n: np.asarray(part.column(part.schema.get_field_index(n))) for n in names}
-        data, offsets = K.column(part, "context")
-        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        twice = np.concatenate([[False], (f["key"][1:] == f["key"][:-1]) & (f["pl"][1:] == f["pl"][:-1]) & (f["hq"][1:] == f["hq"][:-1])])
+    def done(table: pa.Table):
+        f, data, offsets, part = _block(table)
+        key = part.column(part.schema.get_field_index("key"))
+        twice = np.concatenate([[False], np.asarray(pc.equal(key.slice(1), key.slice(0, len(key) - 1)).cast("uint8")).astype(bool) & (f["pl"][1:] == f["pl"][:-1]) & (f["hq"][1:] == f["hq"][:-1])])
         if twice.any():  # a row that is there twice is one context
             yield from done(pa.Table.from_batches([part]).filter(pa.array(~twice)))
             return
-        owner, p = refine(data, offsets, f["hq"], f["a"], f["pl"], f["pr"])
-        keep = f["sole"][owner]
-        if keep.any():
-            yield _runs(f["key"], owner[keep], p[keep])
+        owner, at = refine(data, offsets, f["pl"], f["pr"])
+        keep = f["first"][owner]
+        owner, at = owner[keep], at[keep]
+        if len(owner):
+            p = at - offsets[:-1][owner] + f["pl"][owner] - f["a"][owner]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (p[1:] != p[:-1] + 1)]))
+            last = np.concatenate([first[1:], [len(p)]]) - 1
+            who = owner[first]
+            yield pa.RecordBatch.from_arrays([pa.array(f["hq"][who]), pa.array(f["he"][who]), pa.array(p[first].astype(np.int32)), pa.array((p[last] + WIDTH).astype(np.int32))], ["hq", "he", "s", "e"])
 
     size = 0
     for b in batches:
@@ -201,17 +238,19 @@ def _refined(batches):
         yield from done(pa.Table.from_batches(held))
 
 
+WINDOW = "h long, hq long, he long, p int, first boolean, place long"
+
+
 def _exploded(batches):
-    """For contexts of hot buckets: a row for each position, with the hash of its whole window."""
+    """For contexts of hot buckets: a row for each position, with its last bucket."""
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
-            part = pa.Table.from_batches([b.slice(lo, 2000)]).combine_chunks().to_batches()[0]
-            f = {n: np.asarray(part.column(part.schema.get_field_index(n))) for n in ("hq", "key", "a", "pl", "pr", "sole")}
-            data, offsets = K.column(part, "context")
-            owner, at, inner = _windows(data, offsets, f["pl"], f["pr"])
-            p = f["pl"][owner] + inner
-            h = K.mix(_qgrams(K.sums(data), WIDTH)[at] + K.mix(f["hq"].view(K.U)[owner]) + (f["a"][owner] - p).astype(K.U))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f["key"][owner]), pa.array(p.astype(np.int32)), pa.array(f["sole"][owner])], ["h", "key", "p", "sole"])
+            f, data, offsets, _ = _block(pa.Table.from_batches([b.slice(lo, 2000)]))
+            place = np.asarray(b.column(b.schema.get_field_index("place")).slice(lo, 2000))
+            owner, at, h = windows(data, offsets, f["pl"], f["pr"])
+            p = at - offsets[:-1][owner] + f["pl"][owner]
+            where = K.mix(place[owner].view(K.U) + p.astype(K.U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f["hq"][owner]), pa.array(f["he"][owner]), pa.array((p - f["a"][owner]).astype(np.int32)), pa.array(f["first"][owner]), pa.array(where)], ["h", "hq", "he", "p", "first", "place"])
 
 
 def _cut(batches):
@@ -232,51 +271,54 @@ def _cut(batches):
                 last = k
             kept.update(text[last:])
             rows.append((int((ends - starts).sum()), len(starts), kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("key")), *(pa.array(v) for v in zip(*rows))], ["key", "n_removed", "n_spans", "kept_sha256"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("key")), *(pa.array(v) for v in zip(*rows))], ["key", "n_removed", "n_spans", "kept_sha256"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, spans) of docs(doc_id, text): facts has a row for each document with key, n_bytes, sha256, copies;
     spans has key, s, e for texts that occur once: byte intervals that are repeated elsewhere; they may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     facts = staged(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "facts")
     classes = staged(facts.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "classes")
-    found = docs.where(F.octet_length("text") >= WIDTH).select("key", "text").mapInArrow(_anchor_rows, ANCHOR).withColumn("place", F.xxhash64("key", "a", "pl"))
+    one = docs.where(F.octet_length("text") >= WIDTH)
+    found = one.select("key", "text").mapInArrow(_anchor_rows, ANCHOR).withColumn("place", F.xxhash64("key", "a", "pl"))
     again = found.groupBy("hq").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x < y").select("hq")
-    shared = staged(found.join(again, "hq").distinct(), "anchors")
+    # a table of its own, so that a hot q-gram's side of the join may be split
+    shared = staged(found.join(staged(again, "again"), "hq").distinct(), "anchors")
     by_context = staged(shared.groupBy("hq", "he").agg(F.min("place").alias("place"), F.max("place").alias("most")), "contexts")
-    full = shared.select("hq", "he", "key", "pl", "pr").join(by_context.where("place < most").select("hq", "he"), ["hq", "he"]).select("key", F.col("pl").alias("s"), (F.col("pr") + WIDTH).alias("e"))
-    # buckets with several contexts, at least one of them found once
-    open_ = by_context.groupBy("hq").agg(F.count("*").alias("m"), F.max(F.col("place") == F.col("most")).alias("some")).where("m > 1 and some").select("hq", "m")
-    want = by_context.join(open_, "hq").select("hq", "he", "place", "m", (F.col("place") == F.col("most")).alias("sole"))
-    want = staged(shared.join(want, ["hq", "he", "place"]).select("key", "a", "pl", "pr", "hq", "sole", "m"), "open")
-    one = docs.where(F.octet_length("text") >= WIDTH)
+    second = by_context.where("place < most").select("hq", "he", F.col("most").alias("place"), F.lit(False).alias("first"))
+    taken = by_context.select("hq", "he", "place", F.lit(True).alias("first")).union(second)
+    sizes = staged(taken.groupBy("hq").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    taken = staged(taken.join(sizes, "hq"), "taken")
+    want = staged(shared.join(taken, ["hq", "he", "place"]).select("key", *FIELDS, "m"), "want")
 
     def contexts(part: DataFrame) -> DataFrame:
         keys = part.select("key").distinct().join(classes, "key").select("key", F.col("least").alias("least"))
         texts = joined(one, keys.select(F.col("key").alias("k"), "least"), F.expr("key = k and doc_id <=> least"), "left_semi").select("key", "text")
-        lists = part.groupBy("key").agg(F.collect_list(F.struct("a", "pl", "pr", "hq", "sole")).alias("want"))
+        lists = part.groupBy("key").agg(F.collect_list(F.struct(*FIELDS)).alias("want"))
         return texts.join(lists.hint("merge"), "key").mapInArrow(_contexts, CONTEXT)
 
-    ordinary = contexts(want.where(f"m <= {BUCKET}"))
-    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    refined = ordinary.repartition(n, "hq").sortWithinPartitions("hq", "key", "pl").mapInArrow(_refined, FOUND)
-    spans = full.union(refined)
+    size = want.agg(F.sum(F.col("pr") - F.col("pl") + WIDTH)).first()[0] or 0
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 25)  # 32 MB of contexts a task
+    ordinary = contexts(want.where(f"m <= {BUCKET}")).repartition(n, "hq").sortWithinPartitions("hq", "key", "pl")
+    repeated = ordinary.mapInArrow(_refined, FOUND)
     hot = want.where(f"m > {BUCKET}")
     if not hot.isEmpty():
-        wide = contexts(hot).distinct().mapInArrow(_exploded, "h long, key long, p int, sole boolean")
-        twice = wide.groupBy("h").agg(F.min(F.xxhash64("key", "p")).alias("x"), F.max(F.xxhash64("key", "p")).alias("y")).where("x < y").select("h")
-        spans = spans.union(wide.where("sole").join(twice, "h").select("key", F.col("p").alias("s"), (F.col("p") + WIDTH).alias("e")))
+        wide = contexts(hot).distinct().withColumn("place", F.xxhash64("key", "hq")).drop("key").mapInArrow(_exploded, WINDOW)
+        twice = staged(wide.groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x < y").select("h"), "twice")
+        repeated = repeated.union(wide.where("first").join(twice, "h").select("hq", "he", F.col("p").alias("s"), (F.col("p") + WIDTH).alias("e")))
+    # what is found for one anchor holds for all with the same context
+    spans = shared.select("hq", "he", "key", "a").join(staged(repeated, "repeated"), ["hq", "he"]).select("key", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
     return facts.join(classes.select("key", "copies"), "key"), staged(spans.join(classes.where("copies = 1").select("key"), "key"), "spans")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
     facts, spans = repeated_spans(docs)
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     keys = spans.select(F.col("key").alias("k")).distinct()
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    cut = joined(texts, keys, F.expr("key = k"), "left_semi").join(lists.hint("merge"), "key").mapInArrow(_cut, "key long, n_removed long, n_spans long, kept_sha256 string")
+    cut = joined(texts, keys, F.expr("key = k"), "left_semi").join(lists.hint("merge"), "key").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
     cut = staged(cut, "cut")
     all_ = (F.col("copies") > 1) & (F.col("n_bytes") >= WIDTH)
     empty = hashlib.sha256().hexdigest()
