@@ -10,7 +10,7 @@
 4. Frequencies in step 2 are first counted over a share of the hash range (1 - t + ROOM): enough to drop most classes. For the
    classes left, whole sets are fetched once, frequencies are counted again among them over the whole range, and prefixes
    are chosen anew. Classes that share prefix shingles, directly or through others, form families (a distributed search).
-5. A family of at most FAMILY classes is checked in one task: pairs that share as many prefix shingles as required, by
+5. A family of at most FAMILY classes with FAMILY_SHINGLES shingles is checked in one task: pairs that share as many prefix shingles as required, by
    intersecting whole sets. Larger families (one text may have millions of near copies) stay distributed: star rounds check
    each class against one central pivot and contract what links, then all candidate pairs that are still in different groups
    are checked, whatever their number.
@@ -37,8 +37,9 @@ MAX_MATCH = 4
 #: Estimated candidates beyond which a prefix gets one more shingle; each further one at four times as many.
 COST = 32
 STAR_ROUNDS = 2
-#: Classes of a family that one task takes: a matrix of FAMILY ** 2 small numbers, 36 MB.
+#: Classes of a family that one task takes, a matrix of FAMILY ** 2 small numbers, 36 MB, and the shingles of all their sets.
 FAMILY = 3000
+FAMILY_SHINGLES = 8_000_000
 SMALL = "sig long, doc_id long, n long, inside long"
 PREFIX = "sig long, token long, at int"
 SETS = "sig long, tokens array<long>"
@@ -168,7 +169,8 @@ def _useful(shared: DataFrame, classes: DataFrame, pct: int, counted_share: floa
     """(sig, n, token, l, share): the shared shingles inside each class's prefix, and the number it requires. In the counted
     range shared ones follow the single ones, by frequency and hash; beyond it a shingle's place is that by hash. classes
     has sig, n, inside (shingles in the counted range). share: of single shingles, in thousandths."""
-    counted = F.expr(f"shiftrightunsigned(token, 32) < {int(counted_share * 2**32)}") if counted_share < 1 else F.lit(True)
+    top = int(counted_share * 2**64) - 2**63  # shingles are unsigned: with the first bit turned they sort as signed numbers
+    counted = F.col("token").bitwiseXOR(F.lit(-(2**63))) < F.lit(top) if counted_share < 1 else F.lit(True)
     shared = shared.withColumn("counted", counted)
     many = shared.groupBy("sig").agg(F.sum(F.col("counted").cast("long")).alias("n_shared"))
     facts = classes.join(many, "sig").select("sig", "n", F.expr("inside - n_shared").alias("n_single"), F.expr(f"n - (({pct} * n + 99) div 100)").alias("slack"))
@@ -176,7 +178,8 @@ def _useful(shared: DataFrame, classes: DataFrame, pct: int, counted_share: floa
     ranked = shared.join(facts.where(f"slack + {MAX_MATCH} > n_single"), "sig")
     ranked = ranked.withColumn("rank", F.when(F.col("counted"), F.col("n_single") + place).otherwise(F.col("at") + 1))
     cost = F.sum(F.when(F.col("rank") <= F.col("slack") + 1, F.col("df"))).over(Window.partitionBy("sig"))
-    match = F.least(F.lit(MAX_MATCH), F.greatest(F.lit(1), 2 + F.floor(F.log(F.col("cost") / COST) / F.log(F.lit(4.0))))).cast("int")
+    overlap = F.expr(f"({pct} * n + 99) div 100")  # a link needs so many: no more may be asked for
+    match = F.least(overlap, F.lit(MAX_MATCH), F.greatest(F.lit(1), 2 + F.floor(F.log(F.col("cost") / COST) / F.log(F.lit(4.0))))).cast("int")
     ranked = ranked.withColumn("cost", cost).where("cost is not null").withColumn("l", match)
     return ranked.where("rank <= slack + l").select("sig", "n", "token", "l", F.expr("1000 * n_single div n").alias("share"))
 
@@ -195,12 +198,13 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFrame:
     useful = staged(_useful(again, active.select("sig", "n", F.col("n").alias("inside")), pct, 1.0), "prefixes")
     first = useful.groupBy("token").agg(F.min("sig").alias("v"))
     family = components(useful.join(first, "token").select(F.col("sig").alias("u"), "v"))
-    sizes = family.groupBy("comp").agg(F.count("*").alias("m"))
-    family = staged(family.join(sizes, "comp"), "families")
+    sized = family.join(active.select(F.col("sig").alias("node"), "n"), "node")
+    sizes = sized.groupBy("comp").agg((F.count("*") <= FAMILY).alias("few"), (F.sum("n") <= FAMILY_SHINGLES).alias("short"))
+    family = staged(family.join(sizes.select("comp", (F.col("few") & F.col("short")).alias("small")), "comp"), "families")
     lists = useful.groupBy("sig").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("token").alias("prefix"))
-    members = family.where(f"m <= {FAMILY}").select(F.col("node").alias("sig"), F.col("comp").alias("family")).join(lists, "sig").join(sets, "sig")
+    members = family.where("small").select(F.col("node").alias("sig"), F.col("comp").alias("family")).join(lists, "sig").join(sets, "sig")
     found = staged(members.groupBy("family").applyInArrow(_family(pct), "a long, b long"), "links")
-    large = family.where(f"m > {FAMILY}").select(F.col("node").alias("sig"))
+    large = family.where("not small").select(F.col("node").alias("sig"))
     return found if large.isEmpty() else found.union(_large(useful.join(large, "sig"), sets, pct))
 
 
