@@ -44,6 +44,8 @@ def targets(sizes: DataFrame) -> DataFrame:
             break
         level = new
         full = cap <= F.lit(level) * F.col("weight")
+    else:
+        raise RuntimeError("the level of the targets did not settle")
     return sized.withColumn("target", F.when(full, cap.cast("double")).otherwise(F.lit(level) * F.col("weight")))
 
 
