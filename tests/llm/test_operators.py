@@ -512,3 +512,19 @@ def test_long_texts_in_pieces(monkeypatch):
         if size > suffix_dedup.WIDTH * 2:
             assert anchors() == whole[1]
     assert sorted(whole[0]) == list(range(len(texts))) and len(whole[1]) == sum(max(0, len((t or "").encode()) - suffix_dedup.WIDTH + 1) for t in texts)
+
+
+def test_mix_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_COPIES", 3)
+    sizes = spark.createDataFrame([(f"s{k:02d}", 3**k) for k in range(12)], "source string, source_size long")
+    assert mixing.targets(sizes).count() == 12
+    monkeypatch.setattr(mixing, "range", lambda n: range(1), raising=False)
+    with pytest.raises(RuntimeError):
+        mixing.targets(sizes)
+
+
+def test_jaccard_asks_for_no_more_than_a_link_needs(spark):
+    """Sets of 3 and 4 that share 3 are linked at 70 per cent, however hot their shingles are."""
+    rows = [(0, "a b c"), (1, "a b c d")] + [(2 + k, f"a b c x{k} y{k} z{k}") for k in range(600)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 70).collect()}
+    assert got[1] == 0 and all(got[k] == k for k in range(2, 602))
