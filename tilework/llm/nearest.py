@@ -9,10 +9,11 @@ visited bucket with chance MASS; that point is read off DRAWS drawn neighbours.
 ranked by the exact cosine of the original vectors in double precision.
 
 Buckets lie on pages that agree in the first slots, about PAGE rows each, so the number of pages follows the number of rows;
-a query is sent to the likeliest pages until only LEFT_OUT of its chance is missing, and tells buckets apart there. In the
+a query is sent to the likeliest pages until only LEFT_OUT of its chance is missing, and tells buckets apart there. A page
+gives what lies within REACH times the gap 1 - c that it was probed for; what is farther says nothing about the nearest. In the
 first round c is the lower quartile of the cosines of the K-th neighbours of CALIBRATING queries, found by one scan. A query
-whose K-th candidate is farther than what it was probed for is probed again for that one, one with fewer than K candidates
-for half the cosine, in the end for 0, where all buckets are alike and all are visited.
+with fewer than K rows found is probed again for the least of these cosines, then for half of it and so on, in the end for 0,
+where all buckets are alike, all are visited and every row is given.
 
 Every row is indexed. Equal vectors are searched once: of these only the K + 1 smallest ids can be among the K nearest to
 anything. Large pages are split by row, and by query, into blocks of BLOCK, each block of rows meeting each block of
@@ -42,6 +43,7 @@ SLOTS = 6
 MASS = 0.55
 DRAWS = 256
 LEFT_OUT = 0.02
+REACH = 1.1
 PAGE = 2000
 CALIBRATING = 64
 BLOCK = 4000
@@ -236,6 +238,8 @@ def _ranked(k: int, shares: np.ndarray, dim: int):
                 part = slice(lo, lo + 256)
                 i, j = np.nonzero(visited(rows, _unit(q[part]), c[part], least[part], t, shares))
                 score = np.concatenate([np.zeros(0), *(cosines(q[part][i[s : s + 8192]], x[j[s : s + 8192]]) for s in range(0, len(i), 8192))])
+                near = np.flatnonzero((1 - score <= REACH * (1 - c[part][i])) | (c[part][i] <= 0))
+                i, j, score = i[near], j[near], score[near]
                 best = _first(i, ids[j], score, k)
                 out.append((queries[part][i[best]], ids[j[best]], score[best]))
         a, b, s = (np.concatenate(z) for z in zip(*out))
@@ -291,19 +295,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, mass: float = MAS
 
 def _nearest(index: DataFrame, queries: DataFrame, asked: list, k: int, mass: float) -> DataFrame:
     """The k nearest of distinct queries(vec_id, v), their own rows among them. asked: queries to calibrate by."""
-    near = exact(index, asked, k - 1).groupBy("query_id").agg(F.min("score").alias("s")).agg(F.percentile("s", 0.25)).first()[0]
+    kth = exact(index, asked, k - 1).groupBy("query_id").agg(F.min("score").alias("s")).agg(F.percentile("s", 0.25).alias("c"), F.min("s").alias("least")).first()
+    start, least = (min(NEAR, max(0.0, x or 0.0)) for x in kth)
     shares, dim, rows = slot_shares(index), len(asked[0]["v"]), index.count()
     pages = min(DIRECTIONS, max(0, math.ceil(math.log(max(1, rows) / PAGE, 3))))
-    asks = queries.select("vec_id", "v", F.lit(min(NEAR, max(0.0, near or 0.0))).alias("c"))
+    asks = queries.select("vec_id", "v", F.lit(start).alias("c"))
+    wider = F.when(F.col("c") > least, F.lit(least)).when(F.col("c") > 0.2, F.col("c") / 2).otherwise(0.0)
     found = None
     while True:
         now = _round(index, asks, k, mass, shares, dim, pages)
         found = staged(now if found is None else top(found.drop("rank").unionByName(now.drop("rank")), k), "found")
-        have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("s"), F.count("*").alias("n"))
-        half = F.when(F.col("c") > 0.2, F.col("c") / 2).otherwise(0.0)
-        wider = F.when(F.coalesce("n", F.lit(0)) < k, half).otherwise(F.greatest(F.lit(0.0), F.col("s")))
-        # nearer than a tenth more of the gap to 1 counts as what was probed for
-        asks = staged(asks.join(have, "vec_id", "left").withColumn("w", wider).where("c > 0 and 1 - w > 1.1 * (1 - c)").select("vec_id", "v", F.col("w").alias("c")), "asks")
+        have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+        few = asks.join(have, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k).where("c > 0")
+        asks = staged(few.select("vec_id", "v", wider.alias("c")), "asks")
         if asks.isEmpty():
             return found
 
