@@ -66,10 +66,75 @@ def test_empty_relations(spark):
 
 def test_phase_residual_and_its_reasons():
     a = np.random.default_rng(1).normal(size=(64, 64))
-    dy, dx, psr, _, reason = registration.phase_residual(a, np.roll(a, (3, -4), (0, 1)))
-    assert abs(dy - 3) < 0.35 and abs(dx + 4) < 0.35 and psr > 4 and reason == ""
-    assert registration.phase_residual(a[:4], a[:4])[4] == "overlap_too_small"
-    assert registration.phase_residual(a * 0, a)[4] == "low_information"
+    found = registration.phase_residual(a, np.roll(a, (3, -4), (0, 1)))
+    assert abs(found.dy + 3) < 0.35 and abs(found.dx - 4) < 0.35 and found.psr > 4 and found.margin > 0 and found.reason == ""
+    assert registration.phase_residual(a[:47], a[:47]).reason == "overlap_too_small"
+    assert registration.phase_residual(a * 0, a).reason == "low_information"
+    edge = registration.phase_residual(a, np.roll(a, (6, 0), (0, 1)), 6)
+    assert edge.reason == "search_boundary" and (edge.dy, edge.dx) == (0, 0)
+    large = np.random.default_rng(2).normal(size=(300, 280))
+    smooth = (large + np.roll(large, 1, 0) + np.roll(large, 1, 1) + np.roll(large, (1, 1), (0, 1))) / 4
+    half = registration.phase_residual(smooth, np.roll(smooth, (-8, 10), (0, 1)))
+    assert abs(half.dy - 8) < 0.7 and abs(half.dx + 10) < 0.7
+
+
+def planted_mosaic(spark, truth, wrong=None, seed=11):
+    """A 2 x 3 mosaic of 100 x 110 tiles cut from one scene; the stage is off by a few pixels. wrong: a tile of another scene."""
+    rng = np.random.default_rng(seed)
+    scene, tiles, planes = rng.normal(size=(260, 380)) * 20 + 100, [], []
+    scene = (scene + np.roll(scene, 1, 0) + np.roll(scene, 1, 1)) / 3
+    for k, (y, x) in enumerate(truth):
+        r, c = divmod(k, 3)
+        plane = scene[y : y + 100, x : x + 110] if k != wrong else rng.normal(size=(100, 110)) * 20
+        tiles.append((7, k, r, c, y + float(rng.integers(-4, 5)), x + float(rng.integers(-4, 5)), 100, 110))
+        planes.append((7, k, [float(v) for v in plane.ravel()]))
+    return spark.createDataFrame(tiles, "mosaic int, tile long, row int, col int, stage_y double, stage_x double, h int, w int"), spark.createDataFrame(planes, "mosaic int, tile long, v array<double>")
+
+
+TRUTH = [(10, 10), (12, 68), (9, 130), (50, 11), (51, 70), (49, 131)]
+
+
+def test_geometry_finds_planted_places(spark):
+    from tilework.operators import geometry
+
+    tiles, planes = planted_mosaic(spark, TRUTH)
+    edges = geometry.measure_edges(tiles, planes).cache()
+    assert edges.count() == 7 and edges.where("accepted").count() == 7
+    got = {r["tile"]: (r["y"], r["x"]) for r in geometry.origins(tiles, edges).collect()}
+    low = np.min(TRUTH, axis=0)
+    for k, place in enumerate(TRUTH):
+        assert np.abs(np.array(got[k]) - place + low).max() < 0.35, (k, got[k])
+    report = geometry.summary(tiles, geometry.origins(tiles, edges), geometry.checked_edges(tiles, edges)).first()
+    assert (report["accepted"], report["expected"], report["parts"], report["warnings"]) == (7, 7, 1, []) and report["residual_max"] < 0.5
+    assert (report["height"], report["width"]) == (142, 231)
+
+
+def test_geometry_leaves_out_what_contradicts(spark):
+    from tilework.operators import geometry
+
+    tiles, planes = planted_mosaic(spark, TRUTH)
+    edges = geometry.measure_edges(tiles, planes).withColumn("dx", F.expr("if(a = 0 and b = 1, dx + 25, dx)"))
+    checked = {(r["a"], r["b"]): r for r in geometry.checked_edges(tiles, edges).collect()}
+    assert checked[0, 1]["reason"] == "global_inconsistent" and checked[0, 1]["residual_dx"] is None
+    assert sum(r["accepted"] for r in checked.values()) == 6
+    lost = geometry.measure_edges(tiles, planes.where("tile <> 4"))
+    assert {(r["a"], r["b"]) for r in lost.where("reason = 'read_error' or reason = 'overlap_too_small'").collect()} == {(1, 4), (3, 4), (4, 5)}
+    tiles, planes = planted_mosaic(spark, TRUTH, wrong=5)
+    report = geometry.summary(tiles, *(f(tiles, geometry.measure_edges(tiles, planes)) for f in (geometry.origins, geometry.checked_edges))).first()
+    assert report["parts"] == 2 and "disconnected" in report["warnings"]
+
+
+def test_line_fit_is_orthogonal_and_robust():
+    from tilework.operators import radiometry
+
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0.1, 0.8, 3000)
+    y = 1.1 * x + 0.02 + rng.normal(size=3000) * 0.005
+    y[::20] += 0.5
+    slope, intercept, _, inlier = radiometry.weighted_tls(y, x)
+    assert abs(slope - 1.1) < 0.01 and abs(intercept - 0.02) < 0.01 and 0.9 < inlier < 1
+    with pytest.raises(ValueError):
+        radiometry.weighted_tls(1 - x, x)
 
 
 def test_radiometric_model_finds_planted_gains(spark):

@@ -18,43 +18,63 @@ GATES = {"samples": 1024, "saturation": 0.05, "dynamic": 0.012, "signal": 0.05,
 FIT = "mosaic int, a long, b long, n long, slope double, intercept double, correlation double, inlier double, offset double, mad double, reason string"
 
 
-def weighted_tls(a: np.ndarray, b: np.ndarray, rounds: int = ROUNDS) -> tuple[float, float, float, float]:
-    """(slope, intercept, correlation, inlier share) of the orthogonal line through (a, b), reweighted by Huber's rule."""
-    w = np.ones(len(a))
+def weighted_tls(y: np.ndarray, x: np.ndarray, rounds: int = ROUNDS) -> tuple[float, float, float, float]:
+    """(slope, intercept, correlation, inlier share) of the orthogonal line y = slope * x + intercept, reweighted by Huber's
+    rule around the median residual. Points that do not rise together raise an error."""
+    w = np.ones(len(x))
     for _ in range(rounds):
-        ca, cb = np.average(a, weights=w), np.average(b, weights=w)
-        saa, sbb, sab = (np.average(x, weights=w) for x in ((a - ca) ** 2, (b - cb) ** 2, (a - ca) * (b - cb)))
-        if abs(sab) < 1e-15:
-            return 1.0, 0.0, 0.0, 0.0
-        slope = (sbb - saa + np.sqrt((sbb - saa) ** 2 + 4 * sab * sab)) / (2 * sab)
-        far = np.abs(b - cb - slope * (a - ca)) / np.sqrt(1 + slope * slope)
-        limit = max(1e-6, 1.5 * 1.4826 * float(np.median(far)))
-        w = np.minimum(1.0, limit / np.maximum(far, 1e-12))
-    return float(slope), float(cb - slope * ca), float(sab / np.sqrt(max(saa * sbb, 1e-30))), float((far <= 2 * limit).mean())
+        spread = np.cov(x, y, aweights=w, ddof=0)
+        if spread[0, 1] <= 1e-12:
+            raise ValueError("non-positive overlap covariance")
+        direction = np.linalg.eigh(spread)[1][:, 1]  # the axis of the larger variance
+        slope = direction[1] / direction[0]
+        intercept = np.median(y - slope * x)
+        off = (y - slope * x - intercept) / np.hypot(1.0, slope)
+        off = np.abs(off - np.median(off))
+        scale = max(1e-6, 1.4826 * np.median(off))
+        w = np.minimum(1.0, 2.5 * scale / np.maximum(off, 1e-9))
+    correlation = spread[0, 1] / max(1e-12, np.sqrt(spread[0, 0] * spread[1, 1]))
+    return float(slope), float(intercept), float(correlation), float((off <= 3 * scale).mean())
 
 
 def pair_fits(overlaps: DataFrame, gates: dict | None = None, full: float = 255.0) -> DataFrame:
-    """overlaps(mosaic, a, b, va, vb) -> a fit an edge, and the first gate that it fails as its reason."""
+    """overlaps(mosaic, a, b, va, vb) -> a's values as slope times b's plus intercept, an edge a row, and the first gate that it
+    fails as its reason. Values that are not finite, negative or saturated take no part in the fit."""
     g = GATES | (gates or {})
 
+    def fitted(a: np.ndarray, b: np.ndarray) -> tuple[list, str]:
+        """Slope, intercept, correlation, inlier share, offset, deviation, and the reason."""
+        out, known = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], np.isfinite(a) & np.isfinite(b)
+        full_ = known & ((a >= 1) | (b >= 1))
+        saturation = full_.mean() if len(a) else 0.0
+        use = known & ~full_ & (a >= 0) & (b >= 0)
+        a, b = a[use], b[use]
+        if len(a):
+            out[4] = np.median(a - b)
+            out[5] = 1.4826 * np.median(np.abs(a - b - out[4]))
+        if len(a) < g["samples"]:
+            return out, "too_few_samples"
+        if saturation > g["saturation"]:
+            return out, "saturated_overlap"
+        low = np.percentile([a, b], 5, axis=1)
+        dynamic = np.percentile([a, b], 95, axis=1) - low
+        above = (np.stack([a, b]) > (low + 0.1 * dynamic)[:, None]).any(axis=0)
+        if dynamic.min() < g["dynamic"] or above.mean() < g["signal"]:
+            return out, "low_information"
+        try:
+            out[:4] = weighted_tls(a, b)
+        except ValueError as why:
+            return out, str(why)
+        if out[2] < g["correlation"] or out[3] < g["inlier"]:
+            return out, "unstable_affine_fit"
+        if not g["slope"][0] <= out[0] <= g["slope"][1] or abs(out[1]) > g["intercept"]:
+            return out, "affine_fit_out_of_bounds"
+        return out, ""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group["va"].to_numpy(float) / full, group["vb"].to_numpy(float) / full
-        offset = float(np.median(b - a))
-        mad = 1.4826 * float(np.median(np.abs(b - a - offset)))
-        slope, intercept, corr, inlier = weighted_tls(a, b)
-        lo, hi = np.percentile(a, (5, 95)), np.percentile(b, (5, 95))
-        dynamic = min(lo[1] - lo[0], hi[1] - hi[0])
-        signal = float(((a > lo[0] + 0.1 * (lo[1] - lo[0])) | (b > hi[0] + 0.1 * (hi[1] - hi[0]))).mean())
-        tests = (
-            (len(a) >= g["samples"], "too_few_samples"),
-            (float(((a >= 1) | (b >= 1)).mean()) <= g["saturation"], "saturated_overlap"),
-            (dynamic >= g["dynamic"] and signal >= g["signal"], "low_information"),
-            (corr >= g["correlation"] and inlier >= g["inlier"], "unstable_affine_fit"),
-            (g["slope"][0] <= slope <= g["slope"][1] and abs(intercept) <= g["intercept"], "affine_fit_out_of_bounds"),
-        )
-        reason = next((why for passed, why in tests if not passed), "")
         first = group.iloc[0]
-        return pd.DataFrame([[first["mosaic"], first["a"], first["b"], len(a), round(slope, 6), round(intercept, 6), round(corr, 6), round(inlier, 6), round(offset, 6), round(mad, 6), reason]], columns=[f.split()[0] for f in FIT.split(", ")])
+        numbers, reason = fitted(group["va"].to_numpy(float) / full, group["vb"].to_numpy(float) / full)
+        return pd.DataFrame([[first["mosaic"], first["a"], first["b"], len(group), *(round(float(x), 6) for x in numbers), reason]], columns=[f.split()[0] for f in FIT.split(", ")])
 
     return overlaps.groupBy("mosaic", "a", "b").applyInPandas(run, FIT)
 
@@ -71,5 +91,5 @@ def model(fits: DataFrame, steady: float = 0.05) -> DataFrame:
     gains = graph.scalar_solve(chosen.where((F.col("kind") == "affine") & good).select("mosaic", "a", "b", F.log("slope").alias("d"), "weight"))
     shifts = graph.scalar_solve(chosen.where(((F.col("kind") == "affine") & good) | ((F.col("kind") == "offset") & still)).select("mosaic", "a", "b", F.when(F.col("kind") == "affine", F.col("intercept")).otherwise(F.col("offset")).alias("d"), "weight"))
     out = tiles.join(kinds, "mosaic").join(gains.withColumnRenamed("value", "g"), ["mosaic", "node"], "left").join(shifts.withColumnRenamed("value", "o"), ["mosaic", "node"], "left")
-    # a tile is brought to the common level: divided by its gain, less its offset
-    return out.select("mosaic", "node", F.round(F.exp(-F.coalesce("g", F.lit(0.0))), 6).alias("gain"), F.round(-F.coalesce("o", F.lit(0.0)), 6).alias("offset"), "kind")
+    # a = slope * b + intercept: b times its gain, plus its offset, comes to the level of a
+    return out.select("mosaic", "node", F.round(F.exp(F.coalesce("g", F.lit(0.0))), 6).alias("gain"), F.round(F.coalesce("o", F.lit(0.0)), 6).alias("offset"), "kind")

@@ -137,12 +137,12 @@ def _measured(spark, sf_dir) -> DataFrame:
 
 @query("pose_solve_irls")
 def pose_solve(spark, sf_dir):
-    return graph.pose_solve(_measured(spark, sf_dir))
+    return graph.pose_solve(_measured(spark, sf_dir), step=(6.0, 6.0, 25))
 
 
 @query("outlier_rejection")
 def outlier_rejection(spark, sf_dir):
-    return graph.pose_solve(_measured(spark, sf_dir), reject=True)
+    return graph.pose_solve(_measured(spark, sf_dir), reject=True, step=(6.0, 6.0, 25))
 
 
 @query("scalar_graph_solve")
@@ -236,20 +236,47 @@ def stream_z_max(spark, sf_dir):
     return folds.drained(spark, folds.running_max(pixels_from(spark, stream), ["well2", "pos", "ch", "y", "x"]))
 
 
-@query("edge_phase_residual")
+def _mosaics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Mosaics of 2 x 2 tiles of 104 x 104, cut 48 apart from scenes of 19 x 19 vectors; the stage is off by up to three
+    pixels. Each scene needs 361 vectors in a row."""
+    px = pixels(spark, sf_dir).select(F.expr("cast(vec_id div 361 as int)").alias("mosaic"), F.expr("cast(vec_id % 361 div 19 * 8 + y as int)").alias("gy"), F.expr("cast(vec_id % 19 * 8 + x as int)").alias("gx"), F.col("v"), "vec_id")
+    px = px.withColumn("gx", F.expr("cast(vec_id % 361 % 19 * 8 + gx % 8 as int)"))
+    whole = px.groupBy("mosaic").agg(F.count("*").alias("n")).where("n = 361 * 64").select("mosaic")
+    tile = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    cut = px.join(whole, "mosaic").select("*", tile.alias("tile")).withColumn("y", F.expr("gy - tile div 2 * 48")).withColumn("x", F.expr("gx - tile % 2 * 48")).where("y between 0 and 103 and x between 0 and 103")
+    planes = cut.groupBy("mosaic", F.col("tile").cast("long").alias("tile")).agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("mosaic", "tile", F.expr("transform(p, e -> cast(e.v as float))").alias("v"))
+    tiles = whole.select("mosaic", tile.cast("long").alias("tile")).selectExpr("mosaic", "tile", "cast(tile div 2 as int) AS row", "cast(tile % 2 as int) AS col", "cast(tile div 2 * 48 + tile * 5 % 7 - 3 as double) AS stage_y", "cast(tile % 2 * 48 + tile * 3 % 5 - 2 as double) AS stage_x", "104 AS h", "104 AS w")
+    return tiles, planes
+
+
+SCENES = "m AS (SELECT CAST(IDIV[vec_id;361] AS INT) AS mosaic FROM px GROUP BY 1 HAVING count(*) = 361 * 64)"
+
+
+@query("edge_phase_residual", "WITH " + SCENES + ", t AS (SELECT 0 AS a, 1 AS b UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 3) SELECT mosaic, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(48 * (IDIV[b;2] - IDIV[a;2]) AS INT) AS dy, CAST(48 * (b % 2 - a % 2) AS INT) AS dx, TRUE AS accepted FROM m JOIN t ON 1 = 1")
 def edge_phase_residual(spark, sf_dir):
-    """Sub-pixel shift, ratio and margin of tiles against themselves moved by a row: four tiles make a plane of 16 x 16."""
-    import numpy as np
-    import pandas as pd
+    """The shifts of neighbouring tiles, measured on their overlaps, in whole pixels."""
+    from tilework.operators import geometry
+
+    return geometry.measure_edges(*_mosaics(spark, sf_dir)).select("mosaic", "a", "b", F.rint("dy").cast("int").alias("dy"), F.rint("dx").cast("int").alias("dx"), "accepted")
+
+
+@query("geometry_origins", "WITH " + SCENES + ", t AS (SELECT 0 AS tile UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT mosaic, CAST(tile AS BIGINT) AS tile, CAST(48 * IDIV[tile;2] AS INT) AS y, CAST(48 * (tile % 2) AS INT) AS x FROM m JOIN t ON 1 = 1")
+def geometry_origins(spark, sf_dir):
+    from tilework.operators import geometry
+
+    tiles, planes = _mosaics(spark, sf_dir)
+    placed = geometry.origins(tiles, geometry.measure_edges(tiles, planes))
+    return placed.select("mosaic", "tile", F.rint("y").cast("int").alias("y"), F.rint("x").cast("int").alias("x"))
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((16, 16))
-        plane[group["gy"], group["gx"]] = group["v"]
-        dy, dx, psr, margin, reason = registration.phase_residual(plane, np.roll(plane, 1, 0), 6)
-        return pd.DataFrame({"quad": [group["quad"].iloc[0]], "dy": [round(dy, 4)], "dx": [round(dx, 4)], "psr": [round(psr, 4)], "margin": [round(margin, 4)], "reason": [reason]})
+@query("geometry_summary", "WITH " + SCENES + " SELECT mosaic, CAST(152 AS INT) AS height, CAST(152 AS INT) AS width, CAST(4 AS BIGINT) AS accepted, CAST(4 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS parts, CAST(0 AS INT) AS warnings FROM m")
+def geometry_summary(spark, sf_dir):
+    from tilework.operators import geometry
 
-    px = pixels(spark, sf_dir).select(F.expr("vec_id div 4").alias("quad"), F.expr("cast((vec_id % 4 div 2) * 8 + y as int)").alias("gy"), F.expr("cast((vec_id % 2) * 8 + x as int)").alias("gx"), "v")
-    return px.groupBy("quad").applyInPandas(run, "quad long, dy double, dx double, psr double, margin double, reason string")
+    tiles, planes = _mosaics(spark, sf_dir)
+    edges = geometry.measure_edges(tiles, planes)
+    report = geometry.summary(tiles, geometry.origins(tiles, edges), geometry.checked_edges(tiles, edges))
+    return report.select("mosaic", "height", "width", "accepted", "expected", "parts", F.size("warnings").alias("warnings"))
 
 
 def _fits(spark, sf_dir) -> DataFrame:
