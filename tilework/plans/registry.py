@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilework.functions.dialect import duck_sql, spark_sql
 from tilework.operators import graph, raster, registration
+from tilework.plans import rule_queries
 from tilework.plans.statements import EDGES, STATEMENTS
 from tilework.sources.tiles import DUCK_PX, pixels
 
@@ -70,7 +71,7 @@ def render_blocks(spark, sf_dir):
     return raster.blocks_of_tiles(tiles, 16).groupBy("by", "bx").agg(F.count("*").alias("tiles"))
 
 
-LAP = "SELECT a.vec_id, a.y, a.x, CAST(coalesce(u.v + d.v + l.v + r.v - 4 * a.v, 0) AS INT) AS lap FROM px a LEFT JOIN px u ON u.vec_id = a.vec_id AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN px d ON d.vec_id = a.vec_id AND d.y = a.y + 1 AND d.x = a.x LEFT JOIN px l ON l.vec_id = a.vec_id AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN px r ON r.vec_id = a.vec_id AND r.y = a.y AND r.x = a.x + 1"
+LAP = "SELECT a.vec_id, a.y, a.x, CAST(coalesce(lag(a.v) OVER c + lead(a.v) OVER c + lag(a.v) OVER r + lead(a.v) OVER r - 4 * a.v, 0) AS INT) AS lap FROM px a WINDOW r AS (PARTITION BY a.vec_id, a.y ORDER BY a.x), c AS (PARTITION BY a.vec_id, a.x ORDER BY a.y)"
 
 
 @query("laplacian", LAP)
@@ -242,10 +243,10 @@ def _mosaics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     px = pixels(spark, sf_dir).select(F.expr("cast(vec_id div 361 as int)").alias("mosaic"), F.expr("cast(vec_id % 361 div 19 * 8 + y as int)").alias("gy"), F.expr("cast(vec_id % 19 * 8 + x as int)").alias("gx"), F.col("v"), "vec_id")
     px = px.withColumn("gx", F.expr("cast(vec_id % 361 % 19 * 8 + gx % 8 as int)"))
     whole = px.groupBy("mosaic").agg(F.count("*").alias("n")).where("n = 361 * 64").select("mosaic")
-    tile = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    tile = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
     cut = px.join(whole, "mosaic").select("*", tile.alias("tile")).withColumn("y", F.expr("gy - tile div 2 * 48")).withColumn("x", F.expr("gx - tile % 2 * 48")).where("y between 0 and 103 and x between 0 and 103")
-    planes = cut.groupBy("mosaic", F.col("tile").cast("long").alias("tile")).agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("mosaic", "tile", F.expr("transform(p, e -> cast(e.v as float))").alias("v"))
-    tiles = whole.select("mosaic", tile.cast("long").alias("tile")).selectExpr("mosaic", "tile", "cast(tile div 2 as int) AS row", "cast(tile % 2 as int) AS col", "cast(tile div 2 * 48 + tile * 5 % 7 - 3 as double) AS stage_y", "cast(tile % 2 * 48 + tile * 3 % 5 - 2 as double) AS stage_x", "104 AS h", "104 AS w")
+    planes = cut.groupBy("mosaic", "tile").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("mosaic", "tile", F.expr("transform(p, e -> cast(e.v as float))").alias("v"))
+    tiles = whole.select("mosaic", tile.alias("tile")).selectExpr("mosaic", "tile", "cast(tile div 2 as int) AS row", "cast(tile % 2 as int) AS col", "cast(tile div 2 * 48 + tile * 5 % 7 - 3 as double) AS stage_y", "cast(tile % 2 * 48 + tile * 3 % 5 - 2 as double) AS stage_x", "104 AS h", "104 AS w")
     return tiles, planes
 
 
@@ -297,3 +298,10 @@ def radiometric_model(spark, sf_dir):
     from tilework.operators import radiometry
 
     return radiometry.model(_fits(spark, sf_dir), steady=1.0)
+
+
+# rules with parameters; SQL over px is written with it
+RESIZED = "WITH w AS (SELECT t, c, greatest(0, 1 - abs(t * 7.0::DOUBLE / {0} - c)) AS w FROM range({1}) a(t), range(8) b(c)) SELECT * FROM w WHERE w > 0"
+rule_queries.ORACLES["field_resize"] = "WITH " + duck_sql(DUCK_PX) + f", wy AS ({RESIZED.format(4, 5)}), wx AS ({RESIZED.format(10, 11)}) SELECT vec_id, wy.t::INT AS y, wx.t::INT AS x, round(sum(v * wy.w * wx.w), 5) AS v FROM px JOIN wy ON wy.c = px.y JOIN wx ON wx.c = px.x GROUP BY vec_id, wy.t, wx.t"
+QUERIES |= rule_queries.QUERIES
+ORACLES |= rule_queries.ORACLES

@@ -55,7 +55,7 @@ SELECT s.vec_id, s.iy, s.ix, round(sum(g.v * (1 - abs(s.sy - g.y)) * (1 - abs(s.
 FROM s JOIN g ON s.vec_id = g.vec_id AND (g.y = s.iy OR g.y = s.iy + 1) AND (g.x = s.ix OR g.x = s.ix + 1) GROUP BY s.vec_id, s.iy, s.ix""".replace("y + 0.25", "CAST(y AS DOUBLE) + CAST(0.25 AS DOUBLE)").replace("x + 0.5", "CAST(x AS DOUBLE) + CAST(0.5 AS DOUBLE)"))
 add("nearest_sample", """
 WITH s AS (SELECT vec_id, y, x, CAST(least(7, floor(CAST(y AS DOUBLE) * 0.9 + 0.5)) AS INT) AS iy, CAST(least(7, floor(CAST(x AS DOUBLE) * 1.1 + 0.5)) AS INT) AS ix FROM px)
-SELECT s.vec_id, s.y, s.x, g.v FROM s JOIN px g ON s.vec_id = g.vec_id AND s.iy = g.y AND s.ix = g.x""")
+SELECT s.vec_id, s.y, s.x, g.v FROM s JOIN px g ON 64 * s.vec_id + 8 * s.iy + s.ix = 64 * g.vec_id + 8 * g.y + g.x""")
 add("highpass", """
 SELECT vec_id, y, x, round(v - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id), 6) AS s FROM px WHERE y % 2 = 0 AND x % 2 = 0""")
 add("gaussian_lowpass", """
@@ -173,17 +173,17 @@ SELECT vec_id, round(CAST(y - min(y) OVER () AS DOUBLE), 6) AS y, round(CAST(x -
 PLATE = "w AS (SELECT well, CAST(min(v) AS INT) AS sx, CAST(max(v) AS INT) AS sy, round(avg(CAST(v AS DOUBLE)) / 640, 6) AS peak FROM px GROUP BY well)"
 add("plate_geometry", "WITH " + PLATE + " SELECT CAST(floor(median(sx)) AS INT) AS step_x, CAST(floor(median(sy)) AS INT) AS step_y, round(greatest(stddev_pop(sx), stddev_pop(sy)), 6) AS spread, count(*) AS n FROM w WHERE peak >= 0.15")
 REPORT = PLATE + """, p AS (SELECT floor(median(sx)) AS px_, floor(median(sy)) AS py_ FROM w WHERE peak >= 0.15),
-r AS (SELECT well, 160 - sx AS overlap_x, 160 - sy AS overlap_y, round(CAST(greatest(abs(sx - px_), abs(sy - py_)) AS DOUBLE), 1) AS deviation, CASE WHEN sx / CAST(160 AS DOUBLE) >= 0.35 THEN 1 ELSE 0 END AS shading_ok, CASE WHEN peak < 0.15 THEN 1 ELSE 0 END AS low FROM w JOIN p ON 1 = 1)"""
+r AS (SELECT well, 160 - sx AS overlap_x, 160 - sy AS overlap_y, round(CAST(greatest(abs(sx - px_), abs(sy - py_)) AS DOUBLE), 1) AS deviation, CASE WHEN sx / CAST(160 AS DOUBLE) >= 0.4 THEN 1 ELSE 0 END AS shading_ok, CASE WHEN peak < 0.15 THEN 1 ELSE 0 END AS low FROM w JOIN p ON 1 = 1)"""
 add("well_qc_report", "WITH " + REPORT + " SELECT well, CAST(overlap_x AS INT) AS overlap_x, CAST(overlap_y AS INT) AS overlap_y, deviation, shading_ok, low FROM r")
 add("well_qc_warnings", "WITH " + REPORT + """
-SELECT well, 'alignment uncertain' AS warning FROM r WHERE low = 1 UNION ALL SELECT well, 'differs from the plate' FROM r WHERE deviation > 2 UNION ALL SELECT well, 'shading not separable' FROM r WHERE shading_ok = 0""")
+SELECT well, 'alignment uncertain' AS warning FROM r WHERE low = 1 UNION ALL SELECT well, 'differs from the plate' FROM r WHERE deviation > 8 UNION ALL SELECT well, 'shading not separable' FROM r WHERE shading_ok = 0""")
 add("plate_prior_running", "WITH " + PLATE + """
 SELECT a.well, count(b.well) AS n, CAST(floor(median(b.sx)) AS INT) AS prior_x FROM w a LEFT JOIN w b ON b.well < a.well AND b.peak >= 0.15 GROUP BY a.well""")
 HOLES = "t AS (SELECT DISTINCT well2, pos, ch, z, vec_id FROM px WHERE vec_id % 11 <> 3)"
 add("grid_completeness", "WITH " + HOLES + " SELECT well2, count(DISTINCT pos) AS positions, count(*) AS files, CASE WHEN count(*) = count(DISTINCT pos) * 10 THEN 1 ELSE 0 END AS complete FROM t GROUP BY well2")
 add("missing_sources", "WITH " + HOLES + ", a AS (SELECT DISTINCT well2, pos, ch, z FROM px) SELECT a.well2, a.pos, a.ch, a.z FROM a LEFT JOIN t ON a.well2 = t.well2 AND a.pos = t.pos AND a.ch = t.ch AND a.z = t.z WHERE t.vec_id IS NULL")
-add("tag_completeness", "WITH " + HOLES + ", p AS (SELECT DISTINCT well2, pos FROM t), c AS (SELECT DISTINCT well2, ch FROM t), h AS (SELECT DISTINCT well2, pos, ch FROM t) SELECT p.well2, p.pos, c.ch FROM p JOIN c ON p.well2 = c.well2 LEFT JOIN h ON h.well2 = p.well2 AND h.pos = p.pos AND h.ch = c.ch WHERE h.ch IS NULL")
-add("duplicate_tags", "SELECT pos, ch, count(DISTINCT vec_id) AS n FROM px WHERE z = 0 GROUP BY pos, ch HAVING count(DISTINCT vec_id) > 1")
+add("tag_completeness", "WITH " + HOLES.replace("vec_id % 11 <> 3", "IDIV[vec_id;5] % 7 <> 3") + ", p AS (SELECT DISTINCT well2, pos FROM t), c AS (SELECT DISTINCT well2, ch FROM t), h AS (SELECT DISTINCT well2, pos, ch FROM t) SELECT p.well2, p.pos, c.ch FROM p JOIN c ON p.well2 = c.well2 LEFT JOIN h ON h.well2 = p.well2 AND h.pos = p.pos AND h.ch = c.ch WHERE h.ch IS NULL")
+add("duplicate_tags", "SELECT pos, ch, z, count(DISTINCT vec_id) AS n FROM px GROUP BY pos, ch, z HAVING count(DISTINCT vec_id) > 1")
 add("ragged_crop", "WITH s AS (SELECT vec_id, pos, well2, max(y) - vec_id % 2 AS h, max(x) - vec_id % 3 AS w FROM px GROUP BY vec_id, pos, well2) SELECT well2, pos, CAST(min(h) AS INT) AS h, CAST(min(w) AS INT) AS w FROM s GROUP BY well2, pos")
 add("component_suppression", """
 WITH c AS (SELECT DISTINCT vec_id, CAST(IDIV[vec_id;(7 + IDIV[vec_id;100])] AS INT) AS comp FROM px), n AS (SELECT comp, count(*) AS n FROM c GROUP BY comp), t AS (SELECT count(*) AS tiles FROM c)
@@ -198,19 +198,11 @@ add("parse_well_channel", """
 WITH f AS (SELECT c_custkey AS k, concat('Plate_', CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE 'A' END, CASE WHEN c_custkey % 9 < 5 THEN '0' ELSE '1' END, CAST(c_custkey % 9 AS VARCHAR(9)), '_CH', CAST(c_nationkey % 4 AS VARCHAR(9))) AS stem FROM customer)
 SELECT k, RX[stem;'_(\\w\\d+)_';1] AS well, RX[stem;'_(CH\\w+)';1] AS channel FROM f""")
 add("source_tag", "SELECT p_partkey AS k, AT[SPLIT[RXREP[concat('t_', p_brand, '_C', CAST(p_size AS VARCHAR(9)), '.bz.ome.tif');'\\.bz\\.ome\\.tiff?$';''];'_'];-1] AS tag FROM part")
-add("safe_name", "WITH s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'con' ELSE trim(replace(replace(replace(concat(p_name, ':', p_type, '/', p_brand, '. '), ':', '_'), '/', '_'), '#', '#')) END AS n FROM part), r AS (SELECT k, RXREP[n;'(^( |\\.)+)|(( |\\.)+$)';''] AS n FROM s) SELECT k, substr(CASE WHEN upper(n) IN ('CON', 'PRN', 'AUX', 'NUL', 'COM1', 'LPT1') THEN concat(n, '_') ELSE n END, 1, 80) AS name FROM r")
-add("natural_sort", "WITH k AS (SELECT c_custkey AS k, concat('Well ', c_mktsegment, CAST(c_custkey % 120 AS VARCHAR(9))) AS name FROM customer) SELECT k, name, CAST(row_number() OVER (ORDER BY lower(RX[name;'^(\\D+)';1]), CAST(RX[name;'(\\d+)$';1] AS INT), k) AS INT) AS place FROM k")
-add("version_compare", """
-WITH v AS (SELECT p_partkey AS k, concat('v', CAST(p_size % 4 AS VARCHAR(9)), '.', CAST(p_partkey % 12 AS VARCHAR(9)), '.', CAST(p_partkey % 3 AS VARCHAR(9)), CASE WHEN p_partkey % 2 = 0 THEN '-rc1' ELSE '+b7' END) AS v FROM part),
-q AS (SELECT k, DOTS[RXREP[RXREP[v;'^v';''];'(-|\\+).*$';'']] AS p FROM v)
-SELECT k, CASE WHEN CAST(AT[p;1] AS INT) * 10000 + CAST(AT[p;2] AS INT) * 100 + CAST(AT[p;3] AS INT) > 20101 THEN 1 ELSE 0 END AS newer FROM q""")
 add("path_safe", "WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN '../up/a.tif' WHEN p_partkey % 4 = 1 THEN '/abs/a.tif' WHEN p_partkey % 4 = 2 THEN 'a/../../b.tif' ELSE 'ok/a.tif' END AS path FROM part) SELECT k, path, CASE WHEN path LIKE '/%' OR concat('/', path, '/') LIKE '%/../%' THEN 0 ELSE 1 END AS safe FROM p")
 PATHS = "f AS (SELECT o_orderkey AS k, concat('/d', CAST(o_custkey % 40 AS VARCHAR(9)), '/e', CAST(o_orderkey % 6 AS VARCHAR(9)), CASE WHEN o_orderkey % 3 = 0 THEN '/sub' ELSE '' END) AS dir, concat('Cap_A', CAST(o_orderkey % 12 AS VARCHAR(9)), '_CH', CAST(o_custkey % 3 AS VARCHAR(9)), CASE WHEN o_orderkey % 7 = 0 THEN '.gci' ELSE '.ktf' END) AS name FROM orders)"
-add("discover_outermost", "WITH " + PATHS + ", d AS (SELECT DISTINCT dir FROM f) SELECT a.dir FROM d a LEFT JOIN d b ON a.dir <> b.dir AND a.dir LIKE concat(b.dir, '/%') WHERE b.dir IS NULL")
 add("classify_folder", "WITH " + PATHS + " SELECT dir, CASE WHEN count(DISTINCT CASE WHEN name LIKE '%.gci' THEN name END) = 1 THEN 'mosaic' WHEN max(CASE WHEN name LIKE '%.ktf' THEN 1 ELSE 0 END) = 1 THEN 'ktf' ELSE 'other' END AS kind FROM f GROUP BY dir")
 add("folder_summary", "WITH " + PATHS + " SELECT dir, min(name) AS example, count(DISTINCT RX[name;'_(A\\d+)_';1]) AS wells, count(DISTINCT RX[name;'_(CH\\d+)';1]) AS channels FROM f WHERE name LIKE '%.ktf' AND name NOT LIKE '._%' GROUP BY dir".replace("LIKE '._%'", "LIKE '.\\_%'") .replace(" AND name NOT LIKE '.\\_%'", " AND substr(name, 1, 2) <> '._'"))
 add("scan_last_wins", "WITH " + PATHS + " SELECT dir, RX[name;'_(A\\d+)_';1] AS well, RX[name;'_(CH\\d+)';1] AS channel, max(name) AS kept, MAXBY[k;ROWS[name;k]] AS k FROM f WHERE name LIKE '%.ktf' GROUP BY dir, RX[name;'_(A\\d+)_';1], RX[name;'_(CH\\d+)';1]")
-add("text_filter_digit_boundary", "SELECT p_partkey AS k, p_name FROM part WHERE length(RX[lower(concat(p_name, ' '));'(1\\D)';1]) > 0")
 add("label_json_roundtrip", "SELECT event_type, count(*) AS n, count(DISTINCT props) AS labels, max(length(props)) AS longest FROM events GROUP BY event_type".replace("max(length(props))", "CAST(max(length(props)) AS INT)"))
 add("color_unpack", "SELECT p_partkey AS k, CAST(IDIV[(p_partkey * 7919);256] % 256 AS INT) AS r, CAST(p_partkey * 7919 % 256 AS INT) AS g, CAST(p_size AS INT) AS b FROM part")
 add("unit_to_um", "WITH u AS (SELECT p_partkey AS k, p_retailprice AS v, CASE WHEN p_partkey % 5 = 0 THEN 'nm' WHEN p_partkey % 5 = 1 THEN 'um' WHEN p_partkey % 5 = 2 THEN 'mm' WHEN p_partkey % 5 = 3 THEN 'm' ELSE 'ft' END AS u FROM part) SELECT k, CASE WHEN v <= 0 THEN NULL WHEN u = 'nm' THEN v / 1000 WHEN u = 'um' THEN v WHEN u = 'mm' THEN v * 1000 WHEN u = 'm' THEN v * 1000000 END AS um FROM u")
@@ -225,7 +217,7 @@ add("plate_layout", """
 WITH t AS (SELECT DISTINCT vec_id, CAST(well % 8 AS INT) AS r, CAST(IDIV[well;8] + 1 AS INT) AS c FROM px), g AS (SELECT DISTINCT r, c FROM t),
 k AS (SELECT r, c, dense_rank() OVER (ORDER BY r) AS i, dense_rank() OVER (ORDER BY c) AS j FROM g)
 SELECT r, c, CAST(30 + (j - 1) * 392 + 12 AS INT) AS left_px, CAST(78 + (i - 1) * 392 + 12 AS INT) AS top_px FROM k""")
-add("planned_outputs", "WITH z AS (SELECT DISTINCT well2, z FROM px), s AS (SELECT 'ome' AS kind UNION ALL SELECT 'png') SELECT z.well2, z.z, s.kind, concat('W', CAST(z.well2 AS VARCHAR(9)), '_Z00', CAST(z.z AS VARCHAR(9)), '.', s.kind) AS name FROM z JOIN s ON 1 = 1")
+add("planned_outputs", "WITH z AS (SELECT DISTINCT well2, z + 5 * pos AS z FROM px), s AS (SELECT 'ome' AS kind UNION ALL SELECT 'png') SELECT z.well2, z.z, s.kind, concat('W', CAST(z.well2 AS VARCHAR(9)), '_Z', lpad(CAST(z.z AS VARCHAR(9)), CAST(greatest(3, length(CAST(z.z AS VARCHAR(9)))) AS INT), '0'), '.', s.kind) AS name FROM z JOIN s ON 1 = 1")
 add("overwrite_check", "WITH p AS (SELECT DISTINCT concat('W', CAST(well2 AS VARCHAR(9)), '_', CAST(z AS VARCHAR(9))) AS name FROM px), e AS (SELECT DISTINCT concat('W', CAST(well2 AS VARCHAR(9)), '_', CAST(ch AS VARCHAR(9))) AS name FROM px) SELECT p.name FROM p JOIN e ON p.name = e.name")
 add("series_labels", "SELECT c_custkey AS k, concat(c_name, CASE WHEN c_custkey % 2 = 0 THEN concat(' · Time point: ', CAST(c_custkey % 24 AS VARCHAR(9))) ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN concat(' · Stack: ', c_mktsegment) ELSE '' END) AS label FROM customer")
 add("series_summary", "WITH w AS (SELECT well2, count(DISTINCT pos) AS wells FROM px GROUP BY well2) SELECT count(*) AS captures, CAST(sum(wells) AS BIGINT) AS wells, CAST(sum(CASE WHEN well2 % 2 = 0 THEN 1 ELSE wells END) AS BIGINT) AS pages FROM w")
@@ -234,11 +226,7 @@ add("progress_fraction", "WITH t AS (SELECT DISTINCT well FROM px) SELECT well,
 add("first_messages", "WITH m AS (SELECT c_nationkey AS n, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS k, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) SELECT n, c_name, CAST(k AS INT) AS k, CAST(greatest(total - 6, 0) AS BIGINT) AS more FROM m WHERE k <= 6")
 # --- display rules on numbers ------------------------------------------------------------------------------------------------------
 add("dpi_rule", "WITH r AS (SELECT p_partkey AS k, floor(CAST(p_size * 400 AS DOUBLE) * 300 / 8000 / 50 + 0.5) * 50 AS d FROM part) SELECT k, CAST(greatest(150, least(1200, d)) AS INT) AS dpi FROM r")
-add("auto_downsample", "WITH r AS (SELECT p_partkey AS k, p_retailprice / 10 AS mpx FROM part) SELECT k, CAST(CASE WHEN mpx <= 16 THEN 1 WHEN sqrt(mpx / 16) <= 2 THEN 2 WHEN sqrt(mpx / 16) <= 4 THEN 4 ELSE 8 END AS INT) AS ds FROM r")
 add("preview_downsample", "SELECT p_partkey AS k, CAST(CASE WHEN p_size % 4 = 0 THEN 1 ELSE ceil(p_retailprice * 9 / greatest(512, p_size * 40)) END AS INT) AS ds FROM part")
-add("detail_downsample", "WITH c AS (SELECT p_partkey AS k, p_retailprice * 20000 AS area, d FROM part JOIN (SELECT 1 AS d UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) s ON 1 = 1) SELECT k, CAST(min(d) AS INT) AS ds FROM c WHERE area / (d * d) <= 6000000 GROUP BY k")
-add("power_of_two_snap", "WITH c AS (SELECT p_partkey AS k, p_size AS want, d FROM part JOIN (SELECT 1 AS d UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8 UNION ALL SELECT 16 UNION ALL SELECT 32) s ON 1 = 1) SELECT k, CAST(max(d) AS INT) AS ds FROM c WHERE d <= want AND 512 % d = 0 GROUP BY k")
-add("scale_bar_choice", "WITH m AS (SELECT p_partkey AS k, p_retailprice / 3 AS most FROM part), c AS (SELECT k, most, s.v * t.e AS bar FROM m JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 5) s ON 1 = 1 JOIN (SELECT 1 AS e UNION ALL SELECT 10 UNION ALL SELECT 100 UNION ALL SELECT 1000) t ON 1 = 1) SELECT k, CAST(max(bar) AS INT) AS um, CASE WHEN max(bar) >= 1000 THEN 'mm' ELSE 'um' END AS unit FROM c WHERE bar <= most GROUP BY k")
 add("scale_bar_place", "SELECT p_partkey AS k, CASE WHEN p_size * 3 > 120 THEN NULL ELSE CAST(floor(0.9 * (120 - p_size * 3)) AS INT) END AS left_px FROM part".replace("0.9", "CAST(0.9 AS DOUBLE)"))
 add("pyramid_levels", """
 WITH s AS (SELECT p_partkey AS k, CAST(p_size * 400 AS INT) AS side FROM part), l AS (SELECT 1 AS i, 2 AS f UNION ALL SELECT 2, 4 UNION ALL SELECT 3, 8 UNION ALL SELECT 4, 16 UNION ALL SELECT 5, 32)
