@@ -1,25 +1,28 @@
-"""SentencePiece encoding and decoding: the best segmentation under piece scores, by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: the segmentation that merging gives, as a best path by a max-plus parallel scan.
 
 The vocabulary and its normalisation (a space before the text, spaces as part of pieces, byte fallback) are those of a
-public model file; its merge ranks give unigram scores, -log(rank + RANK_SHIFT), so encoding is a best-path problem. Ids are
-the file's own. A character that is in no piece becomes its bytes; so do literal U+2581 characters, which the file would
-take for spaces: decoding is an exact inverse for every text.
+public model file of merges. Merging ends in the one segmentation in which every two neighbours are what merging makes of
+the two alone. So a path scores 0 where all its neighbours fit and minus infinity elsewhere, and the best path has the ids
+of the file's own encoder. Two pieces fit if, taking their merges back from the last, no merge across the border would have
+come first. A character that is in no piece becomes its bytes; so do literal U+2581 characters, which the file would take
+for spaces: decoding is an exact inverse for every text.
 
 Short texts are segmented unit by unit (no piece crosses the start of a run of spaces, or a character outside all pieces),
-with a table of units already seen. Texts over GIANT characters are cut into chunks of CHUNK dealt out to all tasks. Each
-chunk yields a transfer matrix: T[i, j] is the best score from a first piece i characters into the chunk to a last piece j
-characters beyond its end. Matrices are combined by an associative max-plus scan, which fixes the boundary states, and each
-chunk is then backtraced alone. A text holds at most 2 GiB, so at most 2**31 / CHUNK small matrices meet in one group.
+with a table of units already seen. Texts over GIANT characters are cut into chunks of CHUNK dealt out to all tasks; the
+result is the same. The states at a border are the pieces that end at it or cross it. Each chunk yields a transfer matrix:
+T[i, j] is the best score from the i-th piece at its start to the j-th at its end. Matrices are combined by an associative
+max-plus scan, which fixes the boundary states, and each chunk is then backtraced alone. The scan has two levels: products
+of BLOCK chunks, then the blocks of a text (at most 512, since a text holds 2 GiB), then each block's own chunks.
 
-Defined results: null and empty texts have no ids; ties go to the longest last piece; repeated rows are encoded alike."""
+Defined results: null and empty texts have no ids; of equal merges the left one is first; repeated rows are encoded alike."""
 
 from __future__ import annotations
 
 import hashlib
 import importlib
 import itertools
-import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -32,11 +35,16 @@ from tilework.llm.common import staged, table
 
 GIANT = 1 << 16
 CHUNK = 1 << 14
-RANK_SHIFT = 2
+BLOCK = 256
 SEEN = 400_000
 MODEL = "piece_bpe_32k.model"
-LOW = float("-inf")
+LOW = np.float32("-inf")
+#: The last piece at the start of a text or unit, or after a character told by bytes: all pieces fit it.
+FREE = -1
+NONE = -2
 UNIT = re.compile(r" *[^ \n▁]+|[ ]+|[\n▁]")
+#: Positions inside a text that no piece crosses.
+CUT = re.compile(r"(?<=[^ ]) |[\n▁]")
 
 
 def model_path() -> str:
@@ -45,16 +53,18 @@ def model_path() -> str:
 
 
 class Vocabulary:
-    """Pieces as text (spaces, not marks) with ids and scores; ids of bytes; bytes of ids."""
+    """Pieces as text (spaces, not marks) with ids and ranks of merging; ids of bytes; bytes of ids."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.piece: dict[str, tuple[int, float]] = {}
+        self.size = model.get_piece_size()
         self.byte_ids = [-1] * 256
         self.bytes: list[bytes] = []
-        for i in range(model.get_piece_size()):
+        ranks: dict[str, float] = {}
+        ids: dict[str, int] = {}
+        for i in range(self.size):
             text = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(text[3:5], 16)] = i
@@ -63,10 +73,10 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 text = text.replace("▁", " ")
-                self.piece[text] = (i, -math.log(-model.get_score(i) + RANK_SHIFT))
+                ids[text], ranks[text] = i, -model.get_score(i)
                 self.bytes.append(text.encode())
+        self._merges(ids, ranks)
         self.longest = max(map(len, self.piece))
-        self.unknown = min(s for _, s in self.piece.values()) - 10.0  # a byte costs more than any piece
         # pieces by a hash of their code points, for many look-ups at once
         rng = np.arange(1, self.longest + 2, dtype=K.U)
         self.factors = K.mix(rng * K.U(0x9E3779B97F4A7C15)) | K.U(1)
@@ -76,13 +86,93 @@ class Vocabulary:
         self.hashes = np.append(h[order], K.U(2**64 - 1))
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have the same hash")
-        self.hash_ids = np.append(np.array([self.piece[pieces[i]][0] for i in order], np.int32), np.int32(-1))
-        self.hash_scores = np.append(np.array([self.piece[pieces[i]][1] for i in order]), LOW)
+        self.hash_ids = np.append(np.array([self.piece[pieces[i]] for i in order], np.int32), np.int32(-1))
         slot = (self.hashes[:-1] >> K.U(44)).astype(np.int64)
         self.slots = np.full(1 << 20, len(pieces), np.int32)
         self.slots[slot] = np.arange(len(pieces), dtype=np.int32)
         self.shared = np.bincount(slot, minlength=1 << 20) > 1
 
+    def _merges(self, ids: dict[str, int], ranks: dict[str, float]) -> None:
+        """The pieces that merging can make, each with its two parts, and the rank of every two pieces that make a third."""
+        self.rank = np.full(self.size, -1.0)  # single characters are never taken apart
+        self.left, self.right = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
+        self.piece: dict[str, int] = {}
+        tied = []
+        for text, i in ids.items():
+            parts, last = merged(text, ranks)
+            if len(parts) > 1:
+                continue
+            self.piece[text] = i
+            if last:
+                self.rank[i], self.left[i], self.right[i] = ranks[text], ids[last[0]], ids[last[1]]
+                if any(len(c) > 1 and ranks[c] > ranks[text] for c in last):
+                    raise ValueError("a piece is ranked before its parts")
+                if any(ranks[c] == ranks[text] for c in last):
+                    tied.append(text)
+        pairs = {}
+        for text, i in self.piece.items():
+            for m in range(1, len(text)):
+                a, b = self.piece.get(text[:m]), self.piece.get(text[m:])
+                if a is not None and b is not None:
+                    pairs[a * self.size + b] = self.rank[i]
+        self.pairs = pairs
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()])
+        slot = _pair_slots(self.pair_keys)
+        self.pair_slots = np.zeros(1 << 21, np.int32)
+        self.pair_slots[slot] = np.arange(len(slot), dtype=np.int32)
+        self.pairs_shared = np.bincount(slot, minlength=1 << 21) > 1
+        # parts of one rank with their piece (runs of spaces): ranks do not tell the order of merges, so these are merged
+        self.tied = np.zeros(self.size, bool)
+        self.tied[[self.piece[p] for p in tied]] = True
+        tied += [c for c in self.piece if len(c) == 1 and any(c in p for p in tied)]
+        self.tied[[self.piece[p] for p in tied]] = True
+        self.tied_fit = {self.piece[p] * self.size + self.piece[q] for p in tied for q in tied if merged(p + q, ranks)[0] == [p, q]}
+        self.tied_keys = np.array(sorted(self.tied_fit), np.int64)
+
+    def fits(self, a: int, b: int) -> bool:
+        """Does merging the text of pieces a and b end in a and b?"""
+        if a == FREE or b == FREE:
+            return True
+        if self.tied[a] and self.tied[b]:
+            return a * self.size + b in self.tied_fit
+        limit = float("inf")
+        while True:
+            if self.pairs.get(a * self.size + b, limit) < limit:
+                return False
+            first, second = self.rank[a], self.rank[b]
+            if first < 0 and second < 0:
+                return True
+            if first > second:  # a's last merge is the later one; a merge across it of equal rank is further right
+                limit, a = first, int(self.right[a])
+            else:
+                limit, b = second + 0.5, int(self.left[b])
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fits() for arrays of pieces; a may be FREE."""
+        out = np.ones(len(a), bool)
+        tied = self.tied[a] & self.tied[b] & (a >= 0)
+        if tied.any():
+            out[tied] = np.isin(a[tied].astype(np.int64) * self.size + b[tied], self.tied_keys)
+        on = np.flatnonzero(~tied & (a >= 0))
+        a, b, limit = a[on], b[on], np.full(len(on), np.inf)
+        while len(on):
+            key = a.astype(np.int64) * self.size + b
+            slot = _pair_slots(key)
+            at = self.pair_slots[slot]
+            rare = self.pairs_shared[slot]
+            if rare.any():
+                at[rare] = np.minimum(np.searchsorted(self.pair_keys, key[rare]), len(self.pair_keys) - 1)
+            bad = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit)
+            out[on[bad]] = False
+            first, second = self.rank[a], self.rank[b]
+            go = ~bad & ((first >= 0) | (second >= 0))
+            on, a, b, first, second = on[go], a[go], b[go], first[go], second[go]
+            later = first > second
+            limit = np.where(later, first, second + 0.5)
+            a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
+        return out
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of hashes among those of pieces; the last place stands for none."""
         slot = (h >> K.U(44)).astype(np.int64)
@@ -94,45 +184,66 @@ class Vocabulary:
             at[rare] = np.where(self.hashes[np.minimum(exact, len(self.hashes) - 1)] == h[rare], exact, len(self.hashes) - 1)
         return at
 
-    def byte_piece(self, c: str) -> tuple[list[int], float]:
-        raw = c.encode("utf-8", "surrogatepass")
-        return [self.byte_ids[b] for b in raw], self.unknown * len(raw)
+    def byte_piece(self, c: str) -> list[int]:
+        return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+
+
+def _pair_slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(K.U) * K.U(0x9E3779B97F4A7C15)) >> K.U(43)).astype(np.int64)
+
+
+def merged(text: str, ranks: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
+    """What merging makes of a short text, and the two parts that it put together last."""
+    parts, last = list(text), None
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return parts, last
+        i = best[1]
+        last = parts[i], parts[i + 1]
+        parts[i : i + 2] = ["".join(last)]
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.fit: dict[int, bool] = {}
 
-    def best(self, s: str, start: int = 0, end: int | None = None, stop: int | None = None) -> list[int]:
-        """Ids of the best path from start to stop whose last piece begins before end."""
+    def best(self, s: str, start: int = 0, end: int | None = None, stop: int | None = None, last: int = FREE) -> list[int]:
+        """Ids of the best path from start, where the piece last ends, to stop; its last piece begins before end. Merging
+        has one result for what stands before a position, so one piece at most ends the path there."""
         end = len(s) if end is None else end
         stop = end if stop is None else stop
-        n = stop - start
-        score, back = [LOW] * (n + 1), [(0, None)] * (n + 1)
-        score[0] = 0.0
-        get, longest = self.v.piece.get, self.v.longest
-        for p in range(min(n, end - start)):
-            if score[p] == LOW:
+        ends: dict[int, tuple[int, int]] = {start: (last, start)}
+        get, longest, fits = self.v.piece.get, self.v.longest, self.fits
+        for p in range(start, end):
+            if p not in ends:
                 continue
-            at, here = start + p, score[p]
-            for m in range(1, min(longest, n - p) + 1):
-                hit = get(s[at : at + m])
-                if hit and here + hit[1] >= score[p + m]:
-                    # of equal scores the longer last piece, whose start is the earlier, was there first
-                    if here + hit[1] > score[p + m]:
-                        score[p + m], back[p + m] = here + hit[1], (p, hit[0])
-            if self.plain(s[at]):
-                ids, cost = self.v.byte_piece(s[at])
-                if here + cost > score[p + 1]:
-                    score[p + 1], back[p + 1] = here + cost, (p, ids)
+            before = ends[p][0]
+            for m in range(1, min(longest, stop - p) + 1):
+                i = get(s[p : p + m])
+                if i is not None and fits(before, i):
+                    ends[p + m] = i, p
+            if self.plain(s[p]):
+                ends[p + 1] = FREE, p
         out: list[int] = []
-        while n:
-            p, ids = back[n]
-            out += ids[::-1] if isinstance(ids, list) else [ids]
-            n = p
+        p = stop
+        while p > start:
+            i, at = ends[p]
+            out += self.v.byte_piece(s[at])[::-1] if i == FREE else [i]
+            p = at
         return out[::-1]
 
+    def fits(self, a: int, b: int) -> bool:
+        key = a * self.v.size + b
+        got = self.fit.get(key)
+        if got is None:
+            if len(self.fit) > SEEN:
+                self.fit.clear()
+            got = self.fit[key] = self.v.fits(a, b)
+        return got
+
     def plain(self, c: str) -> bool:
         """Is c told by its bytes? Single characters in no piece of their own are."""
         return c not in self.v.piece
@@ -157,21 +268,23 @@ class Encoder:
             at = np.arange(len(part))
             mixed = K.mix(codes + K.U(1))
             h = np.zeros((len(part), width), K.U)
-            ids, scores = np.empty((longest + 1, len(part), width), np.int32), np.empty((longest + 1, len(part), width))
+            ids = np.full((longest + 1, len(part), width), NONE, np.int32)
             for m in range(1, longest + 1):
                 n = width - m + 1
                 h[:, :n] += mixed[:, m - 1 :] * v.factors[m]
-                k = v.find(h[:, :n])
-                ids[m, :, :n], scores[m, :, :n] = v.hash_ids[k], v.hash_scores[k]
-            best = np.full((width + 1, len(part)), LOW)
-            best[0] = 0.0
-            step = np.zeros((width + 1, len(part)), np.int32)
+                ids[m, :, :n] = v.hash_ids[v.find(h[:, :n])]
+            last = np.full((width + 1, len(part)), NONE, np.int32)
+            last[0] = FREE
+            step = np.ones((width + 1, len(part)), np.int32)
             for e in range(1, width + 1):
                 top = min(longest, e)
-                options = np.stack([best[e - m] + scores[m, :, e - m] for m in range(top, 0, -1)])
-                won = options.argmax(0)
-                best[e], step[e] = options[won, at], top - won
-            known = best[size, at] > LOW
+                now = np.stack([ids[m, :, e - m] for m in range(1, top + 1)])
+                before = last[e - top : e][::-1]
+                m, row = np.nonzero((now >= 0) & (before != NONE))
+                fit = v.fit(before[m, row], now[m, row])
+                m, row = m[fit], row[fit]
+                last[e, row], step[e, row] = now[m, row], m + 1
+            known = last[size, at] != NONE
             pieces, place = [], size.copy()
             while (place > 0).any():
                 m = np.where(place > 0, step[place, at], 0)
@@ -210,68 +323,82 @@ class Encoder:
     def decode(self, ids) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
-    def transfer(self, s: str, size: int, last: bool) -> np.ndarray:
-        """T[i, j] of the chunk s[:size]; s goes on for longest - 1 characters. The last chunk ends at j = 0."""
-        v, longest = self.v, self.v.longest
-        d = np.full((size + longest, longest), LOW)
-        d[np.arange(longest), np.arange(longest)] = 0.0
-        base = 0
-        stop = self._cut(s, size)
-        p, free = 0, stop[0] if stop else None
-        while p < size:
-            if p == free:  # all paths meet here: what follows until the last cut is one number
-                free = None
-                far = stop[1]
-                if far > p:
-                    d[far] = d[p] + self._score(s[p:far])
-                    d[p + 1 : far] = LOW
-                    p = far
-                    continue
-            row = d[p]
-            if (row > LOW).any():
-                for m in range(1, min(longest, len(s) - p) + 1):
-                    hit = v.piece.get(s[p : p + m])
-                    if hit:
-                        np.maximum(d[p + m], row + hit[1], out=d[p + m])
-                if self.plain(s[p]):
-                    np.maximum(d[p + 1], row + v.byte_piece(s[p])[1], out=d[p + 1])
-            p += 1
-        out = d[size : size + longest].T.copy() + base
-        if last:
-            out[:, 1:] = LOW
-        return out
-
-    def _cut(self, s: str, size: int):
-        """The first and last positions that no piece crosses, from longest on (an entry may lie before that)."""
-        first = None
-        for m in UNIT.finditer(s, self.v.longest, size):
-            # a unit's first character starts a piece if a space does not precede it
-            if m.start() > self.v.longest and s[m.start() - 1] != " ":
-                first = m.start()
-                break
-        if first is None:
+    def states(self, s: str, at: int) -> list[tuple[int, int]]:
+        """(end, id) of the pieces that begin before at and end at or after it."""
+        spans = ((start, end) for start in range(max(0, at - self.v.longest), at) for end in range(at, min(start + self.v.longest, len(s)) + 1))
+        found = [(end, self.v.piece[s[start:end]]) for start, end in spans if s[start:end] in self.v.piece]
+        return found + [(at, FREE)] if self.plain(s[at - 1]) else found
+
+    def ways(self, s: str, seeds: list[tuple[int, int]], stop: int) -> dict[int, dict[int, int]]:
+        """The pieces that begin before stop and end at or after it, by end and id, with the seeds (as bits) that reach them."""
+        get, longest, fits = self.v.piece.get, self.v.longest, self.fits
+        alive: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for k, (end, i) in enumerate(seeds):
+            alive[end][i] |= 1 << k
+        for p in range(min(alive, default=stop), stop):
+            here = alive.pop(p, None)
+            if here is None:
+                continue
+            after = [(p + m, i) for m in range(1, min(longest, len(s) - p) + 1) if (i := get(s[p : p + m])) is not None]
+            for a, bits in here.items():
+                for e, i in after:
+                    if fits(a, i):
+                        alive[e][i] |= bits
+            if self.plain(s[p]):
+                for bits in here.values():
+                    alive[p + 1][FREE] |= bits
+        return alive
+
+    def transfer(self, s: str, lead: int, size: int, last: bool) -> np.ndarray:
+        """T[i, j] of the chunk s[lead : lead + size]; s has longest characters before it and longest - 1 after it, where the
+        text has them. A text begins and ends in one state."""
+        stop = lead + size
+        enter = self.states(s, lead) if lead else [(0, FREE)]
+        leave = None if last else self.states(s, stop)
+        cut = self._cut(s, lead, stop)
+        seeds = enter
+        if cut:  # all paths meet at the first cut, and any path goes on from the last
+            meet = self.ways(s, enter, cut[0])
+            first = _bits(meet[cut[0]].values())
+            seeds = [(cut[1], FREE)]
+        ends = self.ways(s, seeds, stop)
+        got = [_bits(ends[stop].values())] if last else [ends[e][i] if e in ends else 0 for e, i in leave]
+        if cut:
+            got = [first if g else 0 for g in got]
+        reached = np.array([[g >> k & 1 for g in got] for k in range(len(enter))], bool).reshape(len(enter), len(got))
+        return np.where(reached, np.float32(0), LOW)
+
+    def backtrace(self, s: str, lead: int, size: int, last: bool, enter: int, leave: int) -> list[int]:
+        """Ids of the pieces that begin in the chunk, between these states."""
+        stop = lead + size
+        at, before = self.states(s, lead)[enter] if lead else (0, FREE)
+        end = stop if last else self.states(s, stop)[leave][0]
+        cut = self._cut(s, lead, stop)
+        if cut:
+            return self.best(s, at, cut[0], None, before) + self.units(s[cut[0] : cut[1]]) + self.best(s, cut[1], stop, end)
+        return self.best(s, at, stop, end, before)
+
+    def _cut(self, s: str, start: int, end: int):
+        """The first and last positions between that no piece crosses."""
+        found = CUT.search(s, start + 1, end)
+        if found is None:
             return None
-        at = size - 1
-        while at > first and not (s[at] in " \n▁" and s[at - 1] != " "):
+        at = end - 1
+        while at > found.start() and not CUT.match(s, at):
             at -= 1
-        return first, at
+        return found.start(), at
 
-    def _score(self, s: str) -> float:
-        total = 0.0
-        for u in UNIT.findall(s):
-            for i in self.seen.get(u) or self.unit(u):
-                total += self.score_of(i)
-        return total
 
-    def score_of(self, i: int) -> float:
-        if not hasattr(self, "_scores"):
-            self._scores = {k: s for k, s in self.v.piece.values()}
-        return self._scores.get(i, self.v.unknown)
+def _bits(masks) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Stacked max-plus products."""
-    out = np.full((len(a), a.shape[1], b.shape[2]), LOW)
+    out = np.full((len(a), a.shape[1], b.shape[2]), LOW, np.float32)
     for k in range(a.shape[2]):
         np.maximum(out, a[:, :, k, None] + b[:, k, None, :], out=out)
     return out
@@ -293,17 +420,25 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> list[tuple[int, int]]:
-    """(enter, leave) of each chunk on a best path from state 0 to state 0."""
-    prefix = scan(matrices)[:, 0, :]
-    leave, out = 0, []
+def boundary_states(matrices: np.ndarray, enter: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """(enter, leave) of each chunk on a best path from state enter of the first to state leave of the last."""
+    prefix = scan(matrices)[:, enter, :]
+    out = []
     for k in range(len(matrices) - 1, -1, -1):
-        enter = int(np.argmax(prefix[k - 1] + matrices[k][:, leave])) if k else 0
-        out.append((enter, leave))
-        leave = enter
+        at = int(np.argmax(prefix[k - 1] + matrices[k][:, leave])) if k else enter
+        out.append((at, leave))
+        leave = at
     return out[::-1]
 
 
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The product of all, by pairs."""
+    while len(matrices) > 1:
+        odd = matrices[len(matrices) // 2 * 2 :]
+        matrices = np.concatenate([max_plus(matrices[0 : len(matrices) - len(odd) : 2], matrices[1::2]), odd])
+    return matrices[0]
+
+
 def _encoder(shared) -> Encoder:
     return Encoder(shared.value)
 
@@ -331,15 +466,22 @@ def _digests(encoder: Encoder, texts, got) -> pa.Array:
     return pa.array([None if t is None else hashlib.sha256(encoder.decode(g).encode()).hexdigest() for t, g in zip(texts, got)], pa.string())
 
 
+CHUNKS = "key string, k int, block int, lead int, size int, last boolean, piece string"
+MATRICES = "key string, block int, k int, n int, t binary"
+
+
 def _chunks(longest: int):
+    kinds = pa.schema([("key", pa.string()), *((c, pa.int32()) for c in ("k", "block", "lead", "size")), ("last", pa.bool_()), ("piece", pa.string())])
+
     def run(batches):
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = " " + text
-                starts = list(range(0, len(s), CHUNK))
-                for k, at in enumerate(starts):
-                    piece = s[at : at + CHUNK + longest - 1]
-                    yield pa.RecordBatch.from_pylist([{"key": key, "k": k, "size": min(CHUNK, len(s) - at), "last": k == len(starts) - 1, "piece": piece}], schema=pa.schema([("key", pa.string()), ("k", pa.int32()), ("size", pa.int32()), ("last", pa.bool_()), ("piece", pa.string())]))
+                for k, at in enumerate(range(0, len(s), CHUNK)):
+                    lead = min(at, longest)
+                    size = min(CHUNK, len(s) - at)
+                    row = {"key": key, "k": k, "block": k // BLOCK, "lead": lead, "size": size, "last": at + size == len(s), "piece": s[at - lead : at + size + longest - 1]}
+                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
 
     return run
 
@@ -349,20 +491,43 @@ def _transfers(shared):
         encoder = _encoder(shared)
         for b in batches:
             for r in b.to_pylist():
-                t = encoder.transfer(r["piece"], r["size"], r["last"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([r["k"]], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["key", "k", "t"])
+                t = encoder.transfer(r["piece"], r["lead"], r["size"], r["last"])
+                whole = [pa.array([r["key"]]), *(pa.array([n], pa.int32()) for n in (r["block"], r["k"], len(t))), pa.array([t.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(whole, ["key", "block", "k", "n", "t"])
 
     return run
 
 
-def _states(longest: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        t = np.frombuffer(b"".join(group["t"]), np.float64).reshape(len(group), longest, longest)
-        enter, leave = zip(*boundary_states(t))
-        return pd.DataFrame({"key": group["key"], "k": group["k"], "enter": np.array(enter, np.int32), "leave": np.array(leave, np.int32)})
+def _matrices(group: pd.DataFrame) -> np.ndarray:
+    """The group's matrices in order, filled up to one size."""
+    tables = [np.frombuffer(t, np.float32).reshape(n, -1) for n, t in zip(group["n"], group["t"])]
+    width = max(max(t.shape) for t in tables)
+    out = np.full((len(tables), width, width), LOW, np.float32)
+    for k, t in enumerate(tables):
+        out[k, : t.shape[0], : t.shape[1]] = t
+    return out
 
-    return run
+
+def _products(group: pd.DataFrame) -> pd.DataFrame:
+    """One matrix a block."""
+    group = group.sort_values("k")
+    rows, cols = group["n"].iloc[0], len(group["t"].iloc[-1]) // 4 // group["n"].iloc[-1]
+    whole = np.ascontiguousarray(product(_matrices(group))[:rows, :cols])
+    return pd.DataFrame({"key": group["key"].iloc[:1], "block": group["block"].iloc[:1], "k": group["block"].iloc[:1], "n": np.array([rows], np.int32), "t": [whole.tobytes()]})
+
+
+def _outer(group: pd.DataFrame) -> pd.DataFrame:
+    """States at the borders of a text's blocks."""
+    group = group.sort_values("k")
+    enter, leave = zip(*boundary_states(_matrices(group)))
+    return pd.DataFrame({"key": group["key"], "block": group["block"], "enter": np.array(enter, np.int32), "leave": np.array(leave, np.int32)})
+
+
+def _inner(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """States at the borders of a block's chunks."""
+    left = left.sort_values("k")
+    enter, leave = zip(*boundary_states(_matrices(left), int(right["enter"].iloc[0]), int(right["leave"].iloc[0])))
+    return pd.DataFrame({"key": left["key"], "k": left["k"], "enter": np.array(enter, np.int32), "leave": np.array(leave, np.int32)})
 
 
 def _backtraces(shared):
@@ -370,12 +535,7 @@ def _backtraces(shared):
         encoder = _encoder(shared)
         for b in batches:
             for r in b.to_pylist():
-                s, size, enter, leave = r["piece"], r["size"], r["enter"], r["leave"]
-                cut = encoder._cut(s, size)
-                if cut:
-                    ids = encoder.best(s, enter, cut[0]) + encoder.units(s[cut[0] : cut[1]]) + encoder.best(s, cut[1], size, size + leave)
-                else:
-                    ids = encoder.best(s, enter, size, size + leave)
+                ids = encoder.backtrace(r["piece"], r["lead"], r["size"], r["last"], r["enter"], r["leave"])
                 yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([r["k"]], pa.int32()), _lists([ids])], ["key", "k", "ids"])
 
     return run
@@ -393,9 +553,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     short = docs.where(~giant).mapInArrow(_short(shared, keep), f"{fields}, ids array<int>, decoded_sha256 string")
     big = docs.where(giant).withColumn("key", F.sha2("text", 256))
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = big.select("key", "text").mapInArrow(_chunks(vocabulary.longest), "key string, k int, size int, last boolean, piece string")
+    chunks = big.select("key", "text").mapInArrow(_chunks(vocabulary.longest), CHUNKS)
     chunks = staged(chunks.repartition(n, "key", "k").dropDuplicates(["key", "k"]), "chunks")
-    states = chunks.mapInArrow(_transfers(shared), "key string, k int, t binary").groupBy("key").applyInPandas(_states(vocabulary.longest), "key string, k int, enter int, leave int")
+    matrices = staged(chunks.mapInArrow(_transfers(shared), MATRICES), "matrices")
+    blocks = matrices.groupBy("key", "block").applyInPandas(_products, MATRICES)
+    borders = blocks.groupBy("key").applyInPandas(_outer, "key string, block int, enter int, leave int")
+    states = matrices.groupBy("key", "block").cogroup(borders.groupBy("key", "block")).applyInPandas(_inner, "key string, k int, enter int, leave int")
     parts = chunks.join(states, ["key", "k"]).mapInArrow(_backtraces(shared), "key string, k int, ids array<int>")
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p")).select("key", F.flatten(F.transform("p", lambda x: x.ids)).alias("ids"))
     long = big.drop("text").join(decoded(whole, shared), "key").select(*keep, "ids", "decoded_sha256")
