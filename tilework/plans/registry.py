@@ -151,17 +151,18 @@ def scalar_solve(spark, sf_dir):
     return graph.scalar_solve(_measured(spark, sf_dir))
 
 
-@query("components", "WITH RECURSIVE " + DUCK_PX + ", " + EDGES + """,
-k AS (SELECT a // 125 AS mosaic, a, b FROM e WHERE a // 125 = b // 125 AND (a + b) % 3 <> 0),
-n AS (SELECT mosaic, a, b FROM k UNION ALL SELECT mosaic, b, a FROM k),
-r(mosaic, node, root) AS (SELECT DISTINCT mosaic, a, a FROM n UNION SELECT n.mosaic, n.b, r.root FROM r JOIN n ON n.a = r.node AND r.root < n.b)
-SELECT CAST(mosaic AS INTEGER) AS mosaic, node, min(root) AS comp FROM r GROUP BY mosaic, node""".replace(", " + DUCK_PX, ""))
+@query("components")
 def components(spark, sf_dir):
-    return graph.components(_measured(spark, sf_dir).where("(a + b) % 3 <> 0"))
+    """Tiles that edges join whose overlaps correlate by 0.08 or more."""
+    px = raster.on_canvas(pixels(spark, sf_dir))
+    seams = raster.overlaps(px, _edges(spark, sf_dir)).groupBy("a", "b").agg(F.corr("va", "vb").alias("ncc"), F.least(F.stddev_pop("va"), F.stddev_pop("vb")).alias("spread"))
+    accepted = seams.where("spread >= 1e-9 AND ncc >= 0.08 AND a div 125 = b div 125")
+    return graph.components(accepted.select(F.expr("cast(a div 125 as int)").alias("mosaic"), "a", "b"))
 
 
 ORACLES["components"] = duck_sql("WITH RECURSIVE " + DUCK_PX + ", " + EDGES + """,
-k AS (SELECT a // 125 AS mosaic, a, b FROM e WHERE a // 125 = b // 125 AND (a + b) % 3 <> 0),
+k AS (SELECT a // 125 AS mosaic, a, b FROM o WHERE a // 125 = b // 125 GROUP BY a, b
+  HAVING stddev_pop(va) >= 1e-9 AND stddev_pop(vb) >= 1e-9 AND corr(va::DOUBLE, vb::DOUBLE) >= 0.08),
 n AS (SELECT mosaic, a, b FROM k UNION ALL SELECT mosaic, b, a FROM k),
 r(mosaic, node, root) AS (SELECT DISTINCT mosaic, a, a FROM n UNION SELECT n.mosaic, n.b, r.root FROM r JOIN n ON n.a = r.node)
 SELECT CAST(mosaic AS INTEGER) AS mosaic, node, min(root) AS comp FROM r GROUP BY mosaic, node""")
