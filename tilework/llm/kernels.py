@@ -144,3 +144,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
                 yield r, mix((h[a:b] * scale[: b - a]).sum(keepdims=True) + U(b - a))
             else:
                 yield r, np.zeros(0, U)
+
+
+def word_pieces(text, size: int = BLOCK):
+    """Lists of the words of a text (bytes or a view of them), in order, from pieces of about size bytes that end at white
+    space; only a longer word makes a piece longer."""
+    n, i, view = len(text), 0, np.frombuffer(text, np.uint8)
+    while i < n:
+        j = min(n, i + size)
+        while j < n and not SPACE[view[j]]:
+            gap = np.flatnonzero(SPACE[view[j : min(n, j + 4096)]])
+            j = j + int(gap[0]) if len(gap) else min(n, j + 4096)
+        yield bytes(view[i:j]).split()
+        i = j
