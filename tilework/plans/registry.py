@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilework.functions.dialect import duck_sql, spark_sql
 from tilework.operators import graph, raster, registration
-from tilework.plans import rule_queries
+from tilework.plans import mosaic_queries, rule_queries
 from tilework.plans.statements import EDGES, STATEMENTS
 from tilework.sources.tiles import DUCK_PX, pixels
 
@@ -306,3 +306,5 @@ RESIZED = "WITH w AS (SELECT t, c, greatest(0, 1 - abs(t * 7.0::DOUBLE / {0} - c
 rule_queries.ORACLES["field_resize"] = "WITH " + duck_sql(DUCK_PX) + f", wy AS ({RESIZED.format(4, 5)}), wx AS ({RESIZED.format(10, 11)}) SELECT vec_id, wy.t::INT AS y, wx.t::INT AS x, round(sum(v * wy.w * wx.w), 5) AS v FROM px JOIN wy ON wy.c = px.y JOIN wx ON wx.c = px.x GROUP BY vec_id, wy.t, wx.t"
 QUERIES |= rule_queries.QUERIES
 ORACLES |= rule_queries.ORACLES
+QUERIES |= mosaic_queries.QUERIES
+ORACLES |= mosaic_queries.ORACLES
