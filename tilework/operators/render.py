@@ -17,8 +17,8 @@ from tilework.operators.planes import frame, image, sampled, stretched, with_par
 from tilework.operators.registration import plane_block_mean
 
 BLOCK = 256
-PIECE = "mosaic {m}, by int, bx int, tile {t}, y0 int, x0 int, h int, w int, v array<double>, k array<double>"
-DONE = "mosaic {m}, by int, bx int, gy0 int, gx0 int, h int, w int, v array<double>"
+PIECE = "by int, bx int, tile {t}, y0 int, x0 int, h int, w int, v array<double>, k array<double>"
+DONE = "by int, bx int, gy0 int, gx0 int, h int, w int, v array<double>"
 
 
 def _support(origin: float, n: int, f: int) -> tuple[int, int]:
@@ -26,7 +26,7 @@ def _support(origin: float, n: int, f: int) -> tuple[int, int]:
     return max(0, int(np.ceil((origin - 0.5) / f))), int(np.ceil((origin + n - 0.5) / f))
 
 
-def _pieces(block: int, kind: str, f: int, schema: str):
+def _pieces(keys: list[str], block: int, kind: str, f: int, schema: str):
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for t in part.itertuples(index=False):
@@ -48,13 +48,13 @@ def _pieces(block: int, kind: str, f: int, schema: str):
                                 v = v - sampled(field, ys, xs)
                             v = v * t.gain + t.offset
                         weight = np.minimum(np.minimum(ys + 1, sh - ys)[:, None], np.minimum(xs + 1, sw - xs)) / max(1.0, min(sh, sw) / 2)
-                        rows.append((t.mosaic, by, bx, t.tile, y0, x0, *v.shape, v.ravel(), weight.ravel()))
+                        rows.append((*(getattr(t, k) for k in keys), by, bx, t.tile, y0, x0, *v.shape, v.ravel(), weight.ravel()))
                 yield frame(rows, schema)
 
     return cut
 
 
-def _blended(block: int, kind: str, low: float | None, high: float | None, schema: str):
+def _blended(keys: list[str], kind: str, low: float | None, high: float | None, schema: str):
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values("tile")
         y0, x0 = int(pieces["y0"].min()), int(pieces["x0"].min())
@@ -75,34 +75,37 @@ def _blended(block: int, kind: str, low: float | None, high: float | None, schem
         if low is not None:
             out = np.clip(np.rint(out), low, high)
         first = pieces.iloc[0]
-        return frame([(first["mosaic"], first["by"], first["bx"], y0, x0, h, w, out.ravel())], schema)
+        return frame([(*first[keys], first["by"], first["bx"], y0, x0, h, w, out.ravel())], schema)
 
     return run
 
 
-def render(tiles: DataFrame, planes: DataFrame, *, block: int = BLOCK, kind: str = "feather", downsample: int = 1, gains: DataFrame | None = None, fields: DataFrame | None = None, depth: tuple[float, float] | None = (0, 255)) -> DataFrame:
-    """Blocks (mosaic, by, bx, gy0, gx0, h, w, v) of the mosaics of tiles(mosaic, tile, oy, ox, h, w) with
-    planes(mosaic, tile, v). A block's rectangle is what its tiles cover; where none does, there is no block.
+def render(tiles: DataFrame, planes: DataFrame, *, keys: tuple[str, ...] = ("mosaic",), block: int = BLOCK, kind: str = "feather", downsample: int = 1, gains: DataFrame | None = None, fields: DataFrame | None = None, depth: tuple[float, float] | None = (0, 255)) -> DataFrame:
+    """Blocks (keys, by, bx, gy0, gx0, h, w, v) of the mosaics of tiles(keys, tile, oy, ox, h, w) with
+    planes(keys, tile, v); keys tell mosaics apart. A block's rectangle is what its tiles cover; where none does, there is
+    no block.
 
     kind: "feather" (bilinear samples, weighted by the distance to the tile's edge) or "nearest" (the source's own values, of the
-    tile whose edge is farthest; the first tile of equals; never corrected). gains(mosaic, tile, gain, offset) default to 1 and 0;
-    fields(mosaic, field_h, field_w, field: array) is subtracted first, stretched over each tile. Both are broadcast if
+    tile whose edge is farthest; the first tile of equals; never corrected). gains(keys, tile, gain, offset) default to 1 and 0;
+    fields(keys, field_h, field_w, field: array) is subtracted first, stretched over each tile. Both are broadcast if
     counted to be small. Values that are not finite have no part; pixels without any are 0. depth: the range that values are
     rounded and clipped to; None leaves them as they are. Tiles without a plane are left out."""
     if kind not in ("feather", "nearest"):
         raise ValueError(f"kind: {kind}")
-    rows = tiles.select("mosaic", "tile", "oy", "ox", "h", "w")
+    keys = list(keys)
+    rows = tiles.select(*keys, "tile", "oy", "ox", "h", "w")
     if gains is not None and kind == "feather":
-        rows = with_parameters(rows, gains.select("mosaic", "tile", "gain", "offset"), ["mosaic", "tile"])
+        rows = with_parameters(rows, gains.select(*keys, "tile", "gain", "offset"), [*keys, "tile"])
     else:
         rows = rows.withColumn("gain", F.lit(1.0)).withColumn("offset", F.lit(0.0))
     rows = rows.withColumn("gain", F.coalesce(F.col("gain").cast("double"), F.lit(1.0))).withColumn("offset", F.coalesce(F.col("offset").cast("double"), F.lit(0.0)))
     if fields is not None and kind == "feather":
-        rows = with_parameters(rows, fields.select("mosaic", "field_h", "field_w", "field"), ["mosaic"])
+        rows = with_parameters(rows, fields.select(*keys, "field_h", "field_w", "field"), keys)
     else:
         rows = rows.selectExpr("*", "cast(null as int) AS field_h", "cast(null as int) AS field_w", "cast(null as array<double>) AS field")
-    kinds = {"m": tiles.schema["mosaic"].dataType.simpleString(), "t": tiles.schema["tile"].dataType.simpleString()}
-    piece, done = PIECE.format(**kinds), DONE.format(**kinds)
-    cut = rows.join(planes.select("mosaic", "tile", F.col("v").cast("array<double>").alias("v")), ["mosaic", "tile"]).mapInPandas(_pieces(block, kind, downsample, piece), piece)
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    lead = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", "
+    piece, done = lead + PIECE.format(t=kinds["tile"]), lead + DONE
+    cut = rows.join(planes.select(*keys, "tile", F.col("v").cast("array<double>").alias("v")), [*keys, "tile"]).mapInPandas(_pieces(keys, block, kind, downsample, piece), piece)
     low, high = depth or (None, None)
-    return cut.groupBy("mosaic", "by", "bx").applyInPandas(_blended(block, kind, low, high, done), done)
+    return cut.groupBy(*keys, "by", "bx").applyInPandas(_blended(keys, kind, low, high, done), done)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tilework.functions.dialect import duck_sql
 from tilework.operators import planes as P
-from tilework.operators import render
-from tilework.sources.tiles import DUCK_PX, pixels
+from tilework.operators import render, wells
+from tilework.sources.tiles import DUCK_PX, duck_scenes, pixels, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,61 @@ def render_nearest(spark, sf_dir):
     tiles, _, _, planes = _placed(pixels(spark, sf_dir))
     blocks = render.render(tiles, planes, block=48, kind="nearest")
     return covered(P.exploded(blocks, ["mosaic"]), tiles).select("gy", "gx", F.col("v").cast("int").alias("v"))
+
+
+# A plate: each scene of 12 x 12 vectors is a well of 2 x 2 tiles of 64 x 64 with steps (2, 30) and (30, -2), two channels and two
+# slices. Of every four wells the first has an empty reference channel and the third can't be read.
+SCENE = 12
+WELL_TILES = "f AS (SELECT t AS tile, t // 2 AS row, t % 2 AS col, t // 2 * 30 + t % 2 * 2 AS oy, t % 2 * 30 - t // 2 * 2 + 2 AS ox FROM range(4) r(t))"
+
+
+def plate_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = scenes(pixels(spark, sf_dir), SCENE)
+    tile = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    cut = image.withColumn("tile", tile).withColumn("row", F.expr("cast(tile div 2 as int)")).withColumn("col", F.expr("tile % 2"))
+    cut = cut.withColumn("y", F.expr("gy - row * 30 - col * 2")).withColumn("x", F.expr("gx - col * 30 + row * 2 - 2")).where("y between 0 and 63 and x between 0 and 63")
+    reference = F.when(F.col("scene") % 4 == 0, 50).otherwise(F.col("v"))
+    both = cut.withColumn("channel", F.explode(F.array(F.lit("CH2"), F.lit("CH4")))).withColumn("z", F.explode(F.array(F.lit(0), F.lit(1))))
+    shown = both.withColumn("v", F.when(F.col("channel") == "CH4", reference).otherwise(255 - F.col("v")) - F.when(F.col("z") == (F.col("scene") + F.col("tile")) % 2, 0).otherwise(7))
+    planes = P.planes_of(shown, ["scene", "channel", "tile", "row", "col", "z"])
+    lost = (F.col("scene") % 4 == 2) & (F.col("channel") == "CH4")
+    return planes.select(F.col("scene").alias("well"), "channel", "tile", "row", "col", "z", "h", "w", F.when(~lost, F.col("v")).alias("v"))
+
+
+PLATE = duck_scenes(SCENE) + """, w AS (SELECT DISTINCT scene AS well, scene % 4 AS kind FROM sc), y AS (SELECT count(*) FILTER (kind IN (1, 3)) > 0 AS seen FROM w),
+s AS (SELECT well, kind, kind <> 2 AND (seen OR kind <> 0) AS found FROM w, y)"""
+
+
+@query("plate_report", PLATE + """ SELECT CAST(well AS INT) AS well, CASE WHEN kind = 2 THEN 'failed' ELSE 'ok' END AS status,
+CASE WHEN kind <> 2 THEN CASE WHEN found THEN 2 ELSE 0 END END::INT AS step_x_dy, CASE WHEN kind <> 2 THEN CASE WHEN found THEN 30 ELSE 64 END END::INT AS step_x_dx,
+CASE WHEN kind <> 2 THEN CASE WHEN found THEN 30 ELSE 64 END END::INT AS step_y_dy, CASE WHEN kind <> 2 THEN CASE WHEN found THEN -2 ELSE 0 END END::INT AS step_y_dx,
+CASE kind WHEN 2 THEN NULL WHEN 0 THEN CASE WHEN found THEN 'plate' ELSE 'abut' END ELSE 'measured' END AS source_x,
+CASE WHEN kind <> 2 THEN CASE WHEN found THEN 96 ELSE 128 END END::INT AS height, CASE WHEN kind = 2 THEN 8 ELSE 0 END::BIGINT AS unreadable, CASE kind WHEN 2 THEN NULL ELSE kind = 0 END AS low_confidence FROM s""")
+def plate_report(spark, sf_dir):
+    """Steps, sources and failures of a plate's wells."""
+    done = wells.stitch_plate(plate_slices(spark, sf_dir), mode="max", flat=False, fine=False)
+    return done.report().select("well", "status", "step_x_dy", "step_x_dx", "step_y_dy", "step_y_dx", "source_x", "height", "unreadable", "low_confidence")
+
+
+MOSAIC = PLATE + ", " + WELL_TILES + """, c AS (SELECT s.*, ch FROM s, (SELECT unnest(['CH2', 'CH4']) AS ch) WHERE kind <> 2),
+p AS (SELECT c.well, c.kind, c.ch, c.found, f.*, gy - f.oy AS py, gx - f.ox AS px_, v FROM c JOIN sc ON sc.scene = c.well JOIN f ON gy BETWEEN f.oy AND f.oy + 63 AND gx BETWEEN f.ox AND f.ox + 63),
+e AS (SELECT well, ch, kind, tile, CASE WHEN found THEN oy ELSE row * 64 END + py AS gy, CASE WHEN found THEN ox ELSE col * 64 END + px_ AS gx, least(py + 1, 64 - py, px_ + 1, 64 - px_) AS w, CASE WHEN ch = 'CH2' THEN 255 - v WHEN kind = 0 THEN 50 ELSE v END AS v FROM p)
+"""
+
+
+@query("plate_mosaics", MOSAIC + "SELECT CAST(well AS INT) AS well, ch AS channel, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(RINT[sum(w * v)::DOUBLE / sum(w)] AS INT) AS v FROM e GROUP BY well, ch, gy, gx")
+def plate_mosaics(spark, sf_dir):
+    """The mosaics of all wells and channels, of the brighter slice of each tile."""
+    return _shown(wells.stitch_plate(plate_slices(spark, sf_dir), mode="max", flat=False, fine=False), ["well", "channel"])
+
+
+def _shown(done: wells.Stitched, keys: list[str]) -> DataFrame:
+    px = P.exploded(done.mosaics(block=64), keys).select(*keys, "gy", "gx", F.col("v").cast("int").alias("v"))
+    cover = done.tiles.withColumn("gy", F.explode(F.expr("sequence(cast(oy as int), cast(oy as int) + 63)"))).withColumn("gx", F.explode(F.expr("sequence(cast(ox as int), cast(ox as int) + 63)")))
+    return px.join(cover.selectExpr("well", "gy", "gx").distinct(), ["well", "gy", "gx"], "left_semi")
+
+
+@query("stack_pages", MOSAIC + ", d AS (SELECT e.*, z, e.v - CASE WHEN z = (well + tile) % 2 THEN 0 ELSE 7 END AS u FROM e, range(2) r(z)) SELECT CAST(well AS INT) AS well, ch AS channel, CAST(z AS INT) AS z, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(RINT[sum(w * u)::DOUBLE / sum(w)] AS INT) AS v FROM d GROUP BY well, ch, z, gy, gx")
+def stack_pages(spark, sf_dir):
+    """A page a slice, all on the geometry of the sharpest pixels."""
+    return _shown(wells.stitch_plate(plate_slices(spark, sf_dir), mode="stack", flat=False, fine=False), ["well", "channel", "z"])

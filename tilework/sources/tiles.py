@@ -42,3 +42,21 @@ def _columns(places: str) -> list[str]:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels_from(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def scenes(px: DataFrame, across: int) -> DataFrame:
+    """(scene, gy, gx, v): images of across x across vectors in a row. The last scene is filled up with the first vectors, as
+    often as it takes, so that every vector is in a scene."""
+    size = across * across
+    vectors = px.agg(F.max("vec_id") + 1).first()[0] or 0
+    last = -(-vectors // size) * size - 1
+    place = F.explode(F.sequence(F.col("vec_id"), F.lit(last), F.lit(vectors))) if vectors else F.col("vec_id")
+    at = px.select("y", "x", "v", place.alias("at"))
+    return at.selectExpr(f"cast(at div {size} as int) AS scene", f"cast(at % {size} div {across} * {SIDE} + y as int) AS gy", f"cast(at % {across} * {SIDE} + x as int) AS gx", "v")
+
+
+def duck_scenes(across: int) -> str:
+    """sc(scene, gy, gx, v) after px, for DuckDB."""
+    size = across * across
+    return f"""vn AS (SELECT max(vec_id) + 1 AS n FROM px), va AS (SELECT a AS slot, a % n AS vec_id FROM vn, (SELECT unnest(range(((n + {size - 1}) // {size}) * {size})) AS a FROM vn)),
+sc AS (SELECT slot // {size} AS scene, slot % {size} // {across} * 8 + y AS gy, slot % {across} * 8 + x AS gx, v FROM va JOIN px USING (vec_id))"""
