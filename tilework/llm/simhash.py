@@ -1,16 +1,15 @@
 """SimHash near-duplicates: fingerprints joined on a pyramid of segment popcounts.
 
 A fingerprint has 64 bits; a bit is set if it is set in over half of the XXH64 hashes of a text's shingles. Fingerprints link
-at DISTANCE or fewer differing bits. The pyramid embeds a fingerprint as the bit counts of its segments: 8 segments of 8 bits,
-16 of 4, 32 of 2, and in the end the 64 bits themselves. One bit changes one count by one, so the Manhattan distance of counts
+at DISTANCE or fewer differing bits. The pyramid embeds a fingerprint as the bit counts of its segments: 16 segments of 4 bits,
+32 of 2, and in the end the 64 bits themselves. One bit changes one count by one, so the Manhattan distance of counts
 is at most the number of differing bits, at every level.
 
 The range join: if p and q differ in at most 4 bits, there is a z that differs in at most REACH = 2 bits from both. Each
-fingerprint therefore lies in every cell of the grid (cells are 2 counts wide at the upper levels, 1 at the lower) in which a z
+fingerprint therefore lies in every cell of the grid (cells are 2 counts wide at the first level, 1 below) in which a z
 within REACH of it lies; two that link share the cell of their z on each level, whatever level is asked. A cell of at most
 CROWD fingerprints is settled where it is: all its pairs are told apart by the exact number of differing bits, and of what links
-only enough links to connect it are given. A cell of more is left for the next level, entered by those z alone that lie in
-it. On the last level a cell is one z, so all in it link with each other and the least of them is linked with the rest. So no
+only enough links to connect it are given. A cell of more only streams through a task and is left for the next level, entered by those z alone that lie in it. On the last level a cell is one z, so all in it link with each other and the least of them is linked with the rest. So no
 cell of over CROWD fingerprints is ever paired off, however many near copies meet there, and none is cut or sampled.
 
 Equal fingerprints are one node from the start. Components come from shared stars (common.components).
@@ -37,8 +36,8 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 REACH = DISTANCE // 2
-CROWD = 2000
-LEVELS = 4
+CROWD = 8192
+LEVELS = 3
 HASHES = 1 << 15
 ROWS = 1 << 15
 U = np.uint64
@@ -82,17 +81,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def cells(fps: np.ndarray, level: int) -> np.ndarray:
-    """The cell of each fingerprint: the packed counts of its segments, two to a cell where segments have 8 or 4 bits."""
-    if level == 3:
+    """The cell of each fingerprint: the packed counts of its segments, two counts to a cell where segments have 4 bits."""
+    if level == 2:
         return fps
     two = fps - (fps >> U(1) & U(0x5555555555555555))
-    if level == 2:
+    if level == 1:
         return two
     four = (two & U(0x3333333333333333)) + (two >> U(2) & U(0x3333333333333333))
-    if level == 1:
-        return four >> U(1) & U(0x3333333333333333)
-    eight = (four + (four >> U(4))) & U(0x0F0F0F0F0F0F0F0F)
-    return eight >> U(1) & U(0x0707070707070707)
+    return four >> U(1) & U(0x3333333333333333)
 
 
 def _entered(fps: np.ndarray, level: int, inside: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +96,14 @@ def _entered(fps: np.ndarray, level: int, inside: list | None = None) -> tuple[n
     the cells of the level before from which alone z are taken."""
     zs = fps[:, None] ^ TOUCHED[None, :]
     got = cells(zs, level)
-    good = np.ones(got.shape, bool)
-    if inside is not None:
-        before = cells(zs, level - 1)
-        good = np.stack([np.isin(b, np.asarray(c, np.int64).view(U)) for b, c in zip(before, inside)])
-    row = np.repeat(np.arange(len(fps)), len(TOUCHED)).reshape(got.shape)[good]
-    got = got[good]
-    order = np.lexsort((got, row))
-    row, got = row[order], got[order]
-    first = np.ones(len(got), bool)
-    first[1:] = (row[1:] != row[:-1]) | (got[1:] != got[:-1])
-    return row[first], got[first]
+    if inside is None:
+        got = np.sort(got, axis=1)
+        first = np.ones(got.shape, bool)
+        np.not_equal(got[:, 1:], got[:, :-1], out=first[:, 1:])
+        return np.nonzero(first)[0], got[first]
+    before = cells(zs, level - 1)
+    rows = [np.unique(g[np.isin(b, np.asarray(c, np.int64).view(U))]) for g, b, c in zip(got, before, inside)]
+    return np.repeat(np.arange(len(fps)), [len(r) for r in rows]), np.concatenate(rows)
 
 
 def _entries(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
@@ -172,24 +165,41 @@ def _spanning(pairs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return np.stack([label[moved], moved], 1)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of whole cells; rows (fp, cell) come sorted by cell. What is held is ROWS rows and a cell."""
+def _settle(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, cell) come sorted by cell. Gives (u, v, null) for the links of whole cells, and (fp, null, cell) for rows of
+    cells of over crowd rows. What is held is ROWS rows and a cell of crowd rows."""
     def given(fps: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
         got = fps[links(cell, fps.view(U))]
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], ["u", "v", "cell"])
+
+    def left(fps: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(cell)], ["u", "v", "cell"])
+
+    def settled(fps: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(first, len(cell)))
+        big = np.repeat(size > crowd, size)
+        yield given(fps[~big], cell[~big])
+        yield left(fps[big], cell[big])
 
-    held, rows = [], 0
+    fps, cell, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
     for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        rows += batch.num_rows
-        if rows >= ROWS:
-            fps, cell = (np.concatenate(c) for c in zip(*held))
+        fps, cell = np.concatenate([fps, batch.column(0).to_numpy()]), np.concatenate([cell, batch.column(1).to_numpy()])
+        if crowded is not None:  # the rest of a crowded cell
+            cut = int(np.searchsorted(cell, crowded, "right"))
+            yield left(fps[:cut], cell[:cut])
+            fps, cell = fps[cut:], cell[cut:]
+            crowded = crowded if not len(cell) else None
+        if len(cell) >= ROWS:
             cut = int(np.searchsorted(cell, cell[-1], "left"))
-            if cut:
-                yield given(fps[:cut], cell[:cut])
-            held, rows = [(fps[cut:], cell[cut:])], len(fps) - cut
-    if rows:
-        yield given(*(np.concatenate(c) for c in zip(*held)))
+            yield from settled(fps[:cut], cell[:cut])
+            fps, cell = fps[cut:], cell[cut:]
+            if len(cell) > crowd:
+                crowded = cell[-1]
+                yield left(fps, cell)
+                fps, cell = fps[:0], cell[:0]
+    if len(cell):
+        yield from settled(fps, cell)
 
 
 def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -198,21 +208,20 @@ def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     todo = fps
     for level in range(LEVELS):
         # the rows grow here: spread them over tasks by fingerprint first
-        entered = staged(todo.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp").mapInArrow(lambda it, at=level: _entries(it, at), "fp long, cell long"), f"cells{level}")
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        entered = todo.repartition(tasks, "fp").mapInArrow(lambda it, at=level: _entries(it, at), "fp long, cell long")
         if level == LEVELS - 1:
+            entered = staged(entered, "cells")
             least = entered.groupBy("cell").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select(F.col("cell").alias("c"), "u")
             found.append(joined(entered, least, F.col("cell") == F.col("c")).where("u <> fp").select("u", F.col("fp").alias("v")).distinct())
             break
-        sizes = entered.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        crowded = staged(sizes.where(F.col("n") > crowd).select(F.col("cell").alias("c")), f"crowded{level}")
-        n = crowded.count()
-        calm = joined(entered, crowded, F.col("cell") == F.col("c"), "left_anti", rows=n) if n else entered
-        # a cell's rows are at most crowd, so whole cells fit a task
-        dealt = calm.repartition("cell").sortWithinPartitions("cell")
-        found.append(staged(dealt.mapInArrow(_settle, "u long, v long").distinct(), f"links{level}"))
-        if not n:
+        dealt = entered.repartition("cell").sortWithinPartitions("cell")
+        done = staged(dealt.mapInArrow(lambda it: _settle(it, crowd), "u long, v long, cell long"), f"links{level}")
+        found.append(done.where("cell is null").select("u", "v").distinct())
+        rest = done.where("cell is not null")
+        if not rest.limit(1).count():
             break
-        todo = joined(entered, crowded, F.col("cell") == F.col("c"), rows=n).groupBy("fp").agg(F.collect_list("cell").alias("inside"))
+        todo = rest.groupBy(F.col("u").alias("fp")).agg(F.collect_list("cell").alias("inside"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
