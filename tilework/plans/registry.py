@@ -194,20 +194,47 @@ def _containers(spark, sf_dir) -> DataFrame:
     return px.groupBy("well").applyInPandas(encode, "path string, content binary")
 
 
-@query("ktf_roundtrip", "SELECT CAST(well AS INT) AS well, CAST(ty * 8 + y AS INT) AS gy, CAST(tx * 8 + x AS INT) AS gx, v FROM px")
+# all of each image; places without a vector are 0
+KTF_IMAGES = "k AS (SELECT w.well, y.y, x.x, coalesce(p.v, 0) AS v FROM (SELECT DISTINCT well FROM px) w CROSS JOIN range(40) y(y) CROSS JOIN range(40) x(x) LEFT JOIN (SELECT well, ty * 8 + y AS gy, tx * 8 + x AS gx, v FROM px) p ON p.well = w.well AND p.gy = y.y AND p.gx = x.x)"
+
+
+@query("ktf_roundtrip", "WITH " + KTF_IMAGES + " SELECT CAST(well AS INT) AS well, CAST(y AS INT) AS gy, CAST(x AS INT) AS gx, CAST(v AS INT) AS v FROM k")
 def ktf_roundtrip(spark, sf_dir):
     from tilework.sources import containers
 
-    got = containers.pixels_of(_containers(spark, sf_dir)).where("v > 0")
+    got = containers.pixels_of(_containers(spark, sf_dir))
     return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
 
 
-@query("ktf_headers", "SELECT DISTINCT CAST(well AS INT) AS well, CAST(40 AS INT) AS width, CAST(9 AS INT) AS n_tiles, CAST(2000 AS DOUBLE) AS calibration_nm FROM px")
+@query("ktf_region", "WITH " + KTF_IMAGES + " SELECT CAST(well AS INT) AS well, CAST(IDIV[(y - 5);3] AS INT) AS oy, CAST(IDIV[(x - 7);3] AS INT) AS ox, CAST(v AS INT) AS v FROM k WHERE y >= 5 AND y < 31 AND x >= 7 AND x < 38 AND (y - 5) % 3 = 0 AND (x - 7) % 3 = 0")
+def ktf_region(spark, sf_dir):
+    """A rectangle of each container, every third pixel, read from files through the data source."""
+    from tilework.operators.tables import new_folder
+    from tilework.sources import sinks, tiled
+
+    folder = new_folder(spark)
+    sinks.write_files(_containers(spark, sf_dir).select(F.col("path").alias("name"), "content"), folder).write.format("noop").mode("overwrite").save()
+    got = tiled.region(spark, folder, 5, 7, 31, 38, stride=3)
+    return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), "oy", "ox", "v")
+
+
+@query("ktf_region_tiles", "WITH r AS (SELECT DISTINCT CAST(well AS INT) AS well, well % 30 AS y0, well % 7 * 4 AS x0 FROM px) SELECT well, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, CAST((ty * 3 + tx) * 256 AS BIGINT) AS tile_offset FROM r, range(3) a(ty), range(3) b(tx) WHERE ty * 16 < y0 + 9 AND ty * 16 + 16 > y0 AND tx * 16 < x0 + 11 AND tx * 16 + 16 > x0")
+def ktf_region_tiles(spark, sf_dir):
+    """The tiles of the index that a rectangle of each container touches."""
+    from tilework.sources import containers
+
+    files = _containers(spark, sf_dir)
+    regions = files.select("path", F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("region")).selectExpr("region", "path", "region % 30 AS y0", "region % 7 * 4 AS x0", "region % 30 + 9 AS y1", "region % 7 * 4 + 11 AS x1")
+    got = containers.tiles_of_regions(containers.tiles_of(files), regions, 16)
+    return got.select(F.col("region").alias("well"), "ty", "tx", F.col("offset").alias("tile_offset"))
+
+
+@query("ktf_headers", "SELECT DISTINCT CAST(well AS INT) AS well, CAST(40 AS INT) AS width, CAST(9 AS INT) AS n_tiles, CAST(2000 AS DOUBLE) AS calibration_nm, CAST(9 AS BIGINT) AS patch_count, CAST(256 AS BIGINT) AS tile_bytes FROM px")
 def ktf_headers(spark, sf_dir):
     from tilework.sources import containers
 
     got = containers.headers(_containers(spark, sf_dir)).where("error is null")
-    return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), F.col("width").cast("int").alias("width"), F.col("n_tiles").cast("int").alias("n_tiles"), "calibration_nm")
+    return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), "width", "n_tiles", "calibration_nm", "patch_count", "tile_bytes")
 
 
 @query("gci_manifest_roundtrip", "SELECT DISTINCT CAST(well AS INT) AS well, ty AS row, tx AS col, concat('t', CAST(vec_id AS VARCHAR), '.tif') AS file FROM px")

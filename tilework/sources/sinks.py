@@ -36,3 +36,27 @@ def read_together(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def write_edges_csv(edges: DataFrame, path: str) -> None:
     """The edge report: fixed columns, 0 or 1 for accepted, nothing for null."""
     edges.select(*EDGE_COLUMNS).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files(name, content) into a folder that all executors share and gives (path, bytes). Each task writes under a name of
+    its own and renames, so a reader sees whole files only and a task that runs twice leaves one."""
+    import uuid
+
+    import pandas as pd
+    from pyarrow import fs
+
+    def put(parts):
+        for part in parts:
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            rows = []
+            for name, content in zip(part["name"], part["content"]):
+                hidden = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content)
+                store.move(hidden, f"{root}/{name}")
+                rows.append((f"{folder}/{name}", len(content)))
+            yield pd.DataFrame(rows, columns=["path", "bytes"])
+
+    return files.select("name", "content").mapInPandas(put, "path string, bytes long")
