@@ -3,9 +3,8 @@
 Each model is a variable-order Markov model over the bytes of host and path, smoothed by interpolation from order 0 to
 ORDER: P_k(c | k bytes before) = (n_k(context c) + STRENGTH * P_(k-1)(c)) / (n_k(context) + STRENGTH). One is counted on
 all URLs that a rule allows, the other on all that a rule blocks, but for one fold in FOLDS that calibrates the threshold
-on the log-likelihood difference per byte (the highest mean of both classes' shares judged right). Counts are kept
-in hashed slots, as many for each order as leave at most one in SPARE filled: they follow the distinct contexts and grams
-counted, and only filled slots are rows of a table. Its most frequent rows, fewer than HEAD, are broadcast; where there are
+on the log-likelihood difference per byte (the highest mean of both classes' shares judged right). Contexts and grams are counted by 64-bit hashes of their bytes and order, each by itself: m of them
+share a count with a chance of m * m / 2**65. The most frequent counts, fewer than HEAD rows, are broadcast; where there are
 more, the grams of the distinct URLs that are not among them are joined with the rest.
 
 Defined results: a null URL or one without :// has an empty host and path; an empty string scores 0; if the rules decide
@@ -23,8 +22,6 @@ from tilework.llm.common import staged, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 ORDER = 5
-MIN_BITS = 16
-SPARE = 16
 #: Rows of counts that are broadcast.
 HEAD = 1_000_000
 CODES = 2 * (ORDER + 1)
@@ -76,7 +73,7 @@ def _grams(batch: pa.RecordBatch):
 
 
 def _count(batches):
-    """Sums by batch: (code, key, bad, good)."""
+    """Sums by batch: (key, bad, good)."""
     for b in batches:
         row, _, keys = _grams(b)
         side = np.asarray(b.column(b.schema.get_field_index("good"))).astype(np.int64)[row]
@@ -85,17 +82,7 @@ def _count(batches):
             bad, good = (np.bincount(at[side == k], minlength=len(found)).astype(np.int64) for k in (0, 1))
             for i in range(0, len(found), 100_000):
                 x = [pa.array(x[i : i + 100_000]) for x in (found, bad, good)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), code)), *x], ["code", "key", "bad", "good"])
-
-
-def slot_bits(distinct: int) -> int:
-    """The slots of an order are two to this power."""
-    return max(MIN_BITS, (max(distinct, 1) * SPARE - 1).bit_length())
-
-
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Numbers of slots: the code's, then the first bits of the hash."""
-    return ((keys.view(K.U) >> K.U(64 - bits)) + (np.arange(CODES, dtype=K.U) << K.U(bits))[None, :]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(x, ["key", "bad", "good"])
 
 
 def _places(keys: np.ndarray, known: np.ndarray):
@@ -104,14 +91,13 @@ def _places(keys: np.ndarray, known: np.ndarray):
     return at, known[at] == keys if len(known) else np.zeros(keys.shape, bool)
 
 
-def _others(head, bits: int):
+def _others(head):
     """(u, at, key) of the contexts and grams that are not in the head; at numbers byte and code."""
 
     def run(batches):
         known = head.value[0]
         for b in batches:
             row, place, keys = _grams(b)
-            keys = _slots(keys, bits)
             byte, code = np.nonzero(~_places(keys, known)[1])
             u = np.asarray(b.column(b.schema.get_field_index("u")))
             for i in range(0, len(byte), 100_000):
@@ -121,12 +107,11 @@ def _others(head, bits: int):
     return run
 
 
-def _score(head, bits: int):
+def _score(head):
     def run(batches):
         known, *sides = head.value
         for b in batches:
             row, place, keys = _grams(b)
-            keys = _slots(keys, bits)
             at, hit = _places(keys, known)
             rest = b.column(b.schema.get_field_index("rest")) if "rest" in b.schema.names else None
             logs = []
@@ -138,8 +123,7 @@ def _score(head, bits: int):
                     counts.reshape(-1)[first * CODES + flat.field("at").to_numpy()] = flat.field(("bad", "good")[side]).to_numpy()
                 p = np.full(len(row), 1 / 256)
                 for k in range(ORDER + 1):
-                    # hashed slots may hold more grams than contexts: never more than certain
-                    p = np.minimum((counts[:, 2 * k + 1] + STRENGTH * p) / (counts[:, 2 * k] + STRENGTH), 1.0)
+                    p = (counts[:, 2 * k + 1] + STRENGTH * p) / (counts[:, 2 * k] + STRENGTH)
                 logs.append(np.log(p))
             size = np.maximum(np.bincount(row, minlength=b.num_rows), 1)
             score = np.bincount(row, logs[1] - logs[0], minlength=b.num_rows) / size
@@ -153,10 +137,7 @@ def _model(df: DataFrame, known: DataFrame):
     """A function that scores rows with s: counts of known(s, good), the head broadcast, the rest joined to URLs of df."""
     spark = df.sparkSession
     sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    hashes = staged(known.mapInArrow(_count, "code long, key long, bad long, good long").groupBy("code", "key").agg(*sums), "hashes")
-    bits = slot_bits(max((r["count"] for r in hashes.groupBy("code").count().collect()), default=0))
-    slot = F.shiftleft("code", bits) + F.shiftrightunsigned("key", 64 - bits)
-    counts = staged(hashes.groupBy(slot.alias("key")).agg(*sums), "counts")
+    counts = staged(known.mapInArrow(_count, "key long, bad long, good long").groupBy("key").agg(*sums), "counts")
     n, total = counts.agg(F.count("*"), F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0))).first()
     often = F.col("bad") + F.col("good") >= (total // HEAD + 1 if n > HEAD else 0)  # fewer than HEAD rows hold so many
     top = counts.where(often).toArrow()
@@ -165,14 +146,14 @@ def _model(df: DataFrame, known: DataFrame):
     head = spark.sparkContext.broadcast((key[order], bad[order].astype(float), good[order].astype(float)))
     rest = None
     if n > HEAD:
-        others = df.select("s").distinct().select("s", F.xxhash64("s").alias("u")).mapInArrow(_others(head, bits), "u long, at long, key long")
+        others = df.select("s").distinct().select("s", F.xxhash64("s").alias("u")).mapInArrow(_others(head), "u long, at long, key long")
         found = others.join(counts.where(~often).hint("merge"), "key").groupBy("u").agg(F.collect_list(F.struct("at", "bad", "good")).alias("rest"))
         rest = staged(found, "rest")
 
     def scored(rows: DataFrame, schema: str) -> DataFrame:
         if rest is not None:
             rows = rows.withColumn("u", F.xxhash64("s")).join(rest, "u", "left").drop("u")
-        return rows.mapInArrow(_score(head, bits), schema + ", score double")
+        return rows.mapInArrow(_score(head), schema + ", score double")
 
     return scored
 
