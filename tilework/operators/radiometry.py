@@ -37,44 +37,46 @@ def weighted_tls(y: np.ndarray, x: np.ndarray, rounds: int = ROUNDS) -> tuple[fl
     return float(slope), float(intercept), float(correlation), float((off <= 3 * scale).mean())
 
 
-def pair_fits(overlaps: DataFrame, gates: dict | None = None, full: float = 255.0) -> DataFrame:
-    """overlaps(mosaic, a, b, va, vb) -> a's values as slope times b's plus intercept, an edge a row, and the first gate that it
-    fails as its reason. Values that are not finite, negative or saturated take no part in the fit."""
+def line_fit(a: np.ndarray, b: np.ndarray, gates: dict | None = None) -> tuple[list, str, int]:
+    """a as slope times b plus intercept, both as shares of the full scale: slope, intercept, correlation, inlier share, offset,
+    deviation; the first gate that fails, or nothing; and the number of valid samples. Values that are not finite, negative or
+    saturated take no part."""
     g = GATES | (gates or {})
+    out, known = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], np.isfinite(a) & np.isfinite(b)
+    full_ = known & ((a >= 1) | (b >= 1))
+    saturation = full_.mean() if len(a) else 0.0
+    use = known & ~full_ & (a >= 0) & (b >= 0)
+    a, b = a[use], b[use]
+    if len(a):
+        out[4] = np.median(a - b)
+        out[5] = 1.4826 * np.median(np.abs(a - b - out[4]))
+    if len(a) < g["samples"]:
+        return out, "too_few_samples", len(a)
+    if saturation > g["saturation"]:
+        return out, "saturated_overlap", len(a)
+    low = np.percentile([a, b], 5, axis=1)
+    dynamic = np.percentile([a, b], 95, axis=1) - low
+    above = (np.stack([a, b]) > (low + 0.1 * dynamic)[:, None]).any(axis=0)
+    if dynamic.min() < g["dynamic"] or above.mean() < g["signal"]:
+        return out, "low_information", len(a)
+    try:
+        out[:4] = weighted_tls(a, b)
+    except ValueError as why:
+        return out, str(why), len(a)
+    if out[2] < g["correlation"] or out[3] < g["inlier"]:
+        return out, "unstable_affine_fit", len(a)
+    if not g["slope"][0] <= out[0] <= g["slope"][1] or abs(out[1]) > g["intercept"]:
+        return out, "affine_fit_out_of_bounds", len(a)
+    return out, "", len(a)
+
 
-    def fitted(a: np.ndarray, b: np.ndarray) -> tuple[list, str]:
-        """Slope, intercept, correlation, inlier share, offset, deviation, and the reason."""
-        out, known = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], np.isfinite(a) & np.isfinite(b)
-        full_ = known & ((a >= 1) | (b >= 1))
-        saturation = full_.mean() if len(a) else 0.0
-        use = known & ~full_ & (a >= 0) & (b >= 0)
-        a, b = a[use], b[use]
-        if len(a):
-            out[4] = np.median(a - b)
-            out[5] = 1.4826 * np.median(np.abs(a - b - out[4]))
-        if len(a) < g["samples"]:
-            return out, "too_few_samples"
-        if saturation > g["saturation"]:
-            return out, "saturated_overlap"
-        low = np.percentile([a, b], 5, axis=1)
-        dynamic = np.percentile([a, b], 95, axis=1) - low
-        above = (np.stack([a, b]) > (low + 0.1 * dynamic)[:, None]).any(axis=0)
-        if dynamic.min() < g["dynamic"] or above.mean() < g["signal"]:
-            return out, "low_information"
-        try:
-            out[:4] = weighted_tls(a, b)
-        except ValueError as why:
-            return out, str(why)
-        if out[2] < g["correlation"] or out[3] < g["inlier"]:
-            return out, "unstable_affine_fit"
-        if not g["slope"][0] <= out[0] <= g["slope"][1] or abs(out[1]) > g["intercept"]:
-            return out, "affine_fit_out_of_bounds"
-        return out, ""
+def pair_fits(overlaps: DataFrame, gates: dict | None = None, full: float = 255.0) -> DataFrame:
+    """overlaps(mosaic, a, b, va, vb) -> the line_fit of each edge; n counts its valid samples."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
-        numbers, reason = fitted(group["va"].to_numpy(float) / full, group["vb"].to_numpy(float) / full)
-        return pd.DataFrame([[first["mosaic"], first["a"], first["b"], len(group), *(round(float(x), 6) for x in numbers), reason]], columns=[f.split()[0] for f in FIT.split(", ")])
+        numbers, reason, n = line_fit(group["va"].to_numpy(float) / full, group["vb"].to_numpy(float) / full, gates)
+        return pd.DataFrame([[first["mosaic"], first["a"], first["b"], n, *(round(float(x), 6) for x in numbers), reason]], columns=[f.split()[0] for f in FIT.split(", ")])
 
     return overlaps.groupBy("mosaic", "a", "b").applyInPandas(run, FIT)
 
