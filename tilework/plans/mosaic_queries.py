@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilework.functions.dialect import duck_sql
 from tilework.operators import planes as P
-from tilework.operators import render, wells
+from tilework.operators import correction, render, wells
 from tilework.sources.tiles import DUCK_PX, duck_scenes, pixels, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,55 @@ def _shown(done: wells.Stitched, keys: list[str]) -> DataFrame:
 def stack_pages(spark, sf_dir):
     """A page a slice, all on the geometry of the sharpest pixels."""
     return _shown(wells.stitch_plate(plate_slices(spark, sf_dir), mode="stack", flat=False, fine=False), ["well", "channel", "z"])
+
+
+# Corrections: scenes of 12 x 12 vectors in 2 x 2 tiles, of 19 x 19 in 7 x 7.
+def _cut(image: DataFrame, across: int, size: int, step: int, grey) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tiles, planes, edges) of scenes: across x across tiles of a size at a step; grey is what a tile shows of v."""
+    tile = F.explode(F.sequence(F.lit(0), F.lit(across * across - 1)))
+    cut = image.withColumn("tile", tile).withColumn("row", F.expr(f"cast(tile div {across} as int)")).withColumn("col", F.expr(f"tile % {across}"))
+    cut = cut.withColumn("y", F.expr(f"gy - row * {step}")).withColumn("x", F.expr(f"gx - col * {step}")).where(f"y between 0 and {size - 1} and x between 0 and {size - 1}").withColumn("v", grey)
+    planes = P.planes_of(cut.withColumnRenamed("scene", "mosaic"), ["mosaic", "tile", "row", "col"])
+    tiles = planes.select("mosaic", "tile", "row", "col", (F.col("row") * step).cast("double").alias("oy"), (F.col("col") * step).cast("double").alias("ox"), "h", "w")
+    edge = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.lit(1).alias("next")), F.struct(F.lit("y").alias("axis"), F.lit(across).alias("next"))))
+    edges = tiles.select("mosaic", F.col("tile").alias("a"), "row", "col", edge.alias("e")).where(f"(e.axis = 'x' and col < {across - 1}) or (e.axis = 'y' and row < {across - 1})").selectExpr("mosaic", "a", "a + e.next AS b", "e.axis AS axis")
+    return tiles, planes.select("mosaic", "tile", "v"), edges
+
+
+@query("overlap_samples", duck_scenes(SCENE) + """, m AS (SELECT DISTINCT scene FROM sc),
+o AS (SELECT scene, t AS tile, t // 2 * 30 AS cy, t % 2 * 30 AS cx, t // 2 * 30 + (scene * 3 + t * 5) % 8 / 8.0::DOUBLE AS oy, t % 2 * 30 + (scene * 5 + t * 3) % 8 / 8.0::DOUBLE AS ox FROM m, range(4) r(t)),
+e AS (SELECT a.scene, a.tile AS a, b.tile AS b, a.cy AS acy, a.cx AS acx, b.cy AS bcy, b.cx AS bcx, a.oy AS ay, a.ox AS ax, b.oy AS by_, b.ox AS bx_, a.oy + 0.5 * (b.oy - a.oy - RINT[b.oy - a.oy]) AS py, a.ox + 0.5 * (b.ox - a.ox - RINT[b.ox - a.ox]) AS px_
+  FROM o a JOIN o b ON b.scene = a.scene AND ((b.tile = a.tile + 1 AND a.tile % 2 = 0) OR b.tile = a.tile + 2)),
+k AS (SELECT e.*, py + i AS y, px_ + j AS x FROM e, range(-100, 200) r(i), range(-100, 200) s(j) WHERE py + i >= greatest(ay, by_) + 2 AND py + i <= least(ay, by_) + 61 AND px_ + j >= greatest(ax, bx_) + 2 AND px_ + j <= least(ax, bx_) + 61),
+s AS (SELECT scene, a, b, y, x, 0 AS side, acy AS cy, acx AS cx, y - ay AS sy, x - ax AS sx FROM k UNION ALL SELECT scene, a, b, y, x, 1, bcy, bcx, y - by_, x - bx_ FROM k),
+v AS (SELECT s.scene, a, b, s.y, s.x, side, sum(sc.v * (1 - abs(sc.gy - cy - sy)) * (1 - abs(sc.gx - cx - sx))) AS v FROM s JOIN sc ON sc.scene = s.scene AND sc.gy - cy BETWEEN CAST(floor(sy) AS INT) AND CAST(floor(sy) AS INT) + 1 AND sc.gx - cx BETWEEN CAST(floor(sx) AS INT) AND CAST(floor(sx) AS INT) + 1 GROUP BY s.scene, a, b, s.y, s.x, side)
+SELECT CAST(scene AS INT) AS mosaic, CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(count(*) / 2 AS BIGINT) AS n, sum(CASE side WHEN 0 THEN v END) AS va, sum(CASE side WHEN 1 THEN v END) AS vb, sum(CASE side WHEN 0 THEN v * v END) AS vaa FROM v GROUP BY scene, a, b""")
+def overlap_samples(spark, sf_dir):
+    """What two tiles at fractional origins show at shared places: number and sums of the samples of each edge."""
+    tiles, planes, edges = _cut(scenes(pixels(spark, sf_dir), SCENE), 2, 64, 30, F.col("v"))
+    tiles = tiles.withColumn("oy", F.expr("oy + (mosaic * 3 + tile * 5) % 8 / 8D")).withColumn("ox", F.expr("ox + (mosaic * 5 + tile * 3) % 8 / 8D"))
+    got = correction.common_samples(correction.small_planes(tiles, planes, 1), edges)
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), f)
+    return got.select("mosaic", "a", "b", F.size("va").cast("long").alias("n"), total("va", lambda s, e: s + e).alias("va"), total("vb", lambda s, e: s + e).alias("vb"), total("va", lambda s, e: s + e * e).alias("vaa"))
+
+
+@query("radiometric_gates", duck_scenes(SCENE) + " SELECT DISTINCT CAST(scene AS INT) AS mosaic, 'affine' AS mode, CAST(4 AS BIGINT) AS edges, TRUE AS level, TRUE AS better FROM sc")
+def radiometric_gates(spark, sf_dir):
+    """Every other tile is darker by a factor of 1.06 and two grey values: the model levels them, with all its gates."""
+    grey = F.when((F.col("row") + F.col("col")) % 2 == 1, F.col("v") / 1.06 - 2).otherwise(F.col("v").cast("double"))
+    tiles, planes, edges = _cut(scenes(pixels(spark, sf_dir), SCENE), 2, 64, 30, grey)
+    verdicts, gains = correction.radiometric_model(tiles, planes, edges, (64, 64))
+    mean = lambda odd: F.avg(F.when(F.col("tile").isin(1, 2) == F.lit(odd), F.col("gain")))
+    level = gains.groupBy("mosaic").agg((F.abs(mean(True) / mean(False) - 1.06) < 0.015).alias("level"))
+    return verdicts.join(level, "mosaic", "left").select("mosaic", "mode", "edges", "level", (F.col("corrected_bias") < 0.3 * F.col("raw_bias")).alias("better"))
+
+
+@query("spatial_field_gates", duck_scenes(19) + " SELECT DISTINCT CAST(scene AS INT) AS mosaic, CASE WHEN scene % 2 = 0 THEN 'applied' ELSE 'identity' END AS status, CASE WHEN scene % 2 = 0 THEN '' ELSE 'above_safe_amplitude' END AS reason, CASE WHEN scene % 2 = 0 THEN TRUE END AS near FROM sc")
+def spatial_field_gates(spark, sf_dir):
+    """A ramp that all tiles share is found and taken off; where it is too strong it stays."""
+    ramp = (F.col("y") - 15.5) * 0.06 + (F.col("x") - 15.5) * 0.05
+    grey = 100 + (F.col("v") - 100) / 4 + ramp * F.when(F.col("scene") % 2 == 0, 1.0).otherwise(6.0)
+    tiles, planes, edges = _cut(scenes(pixels(spark, sf_dir), 19), 7, 32, 20, grey)
+    verdicts, fields = correction.spatial_field(tiles, planes, edges, (32, 32))
+    apart = fields.select("mosaic", F.posexplode("field").alias("p", "f")).groupBy("mosaic").agg((F.avg(F.abs(F.col("f") - ((F.floor(F.col("p") / 32) - 15.5) * 0.06 + (F.col("p") % 32 - 15.5) * 0.05))) < 0.3).alias("near"))
+    return verdicts.join(apart, "mosaic", "left").select("mosaic", "status", "reason", "near")
