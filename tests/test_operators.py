@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilework.operators import graph, raster, registration
+from tilework.operators import graph, raster, registration, rules
 
 
 def grid_edges(rows, cols, wild=()):
@@ -166,3 +166,13 @@ def test_containers_that_are_none(spark):
     assert got["a"]["error"] and got["b"]["error"] and (got["c"]["width"], got["c"]["height"], got["c"]["calibration_nm"]) == (7, 5, 2000.0)
     assert containers.pixels_of(files).where("v = 9").count() == 35
     assert containers.manifest_entries(files.where("path = 'a'")).first()["idx"] == -1
+
+
+def test_numbers_of_any_length_in_names_and_versions(spark):
+    big = "9" * 40
+    names = ["a10", "A2", "a" + big, "a1" + "0" * 40, "a007", "b", "", "a2b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(rules.natural_key(F.col("n")), "n").collect()
+    assert [r["n"] for r in rows] == ["", "A2", "a2b", "a007", "a10", "a" + big, "a1" + "0" * 40, "b"]
+    pairs = [("v1.2.99999999999", "1.2.3"), ("1." + big + ".0", "1." + "8" * 40), ("2.0", "1.99.99"), ("1.0.0", "0.9"), ("1.0.1", "1.0.x")]
+    got = spark.createDataFrame(pairs, "a string, b string").select((rules.version_key(F.col("a")) > rules.version_key(F.col("b"))).alias("newer"), (rules.version_key(F.col("a")) == rules.version_key(F.concat(F.lit(" V"), "a", F.lit("-rc1+7")))).alias("same")).collect()
+    assert all(r["newer"] and r["same"] for r in got)

@@ -79,17 +79,25 @@ def safe_name(text: Column) -> Column:
     return F.substring(F.when(F.upper(s).isin(RESERVED), F.concat(s, F.lit("_"))).otherwise(s), 1, 80)
 
 
+def _whole_number(digits: Column) -> Column:
+    """Orders runs of digits of any length as numbers: how many are left without leading zeros, then these."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    return F.struct(F.length(bare).alias("length"), bare.alias("digits"))
+
+
 def natural_key(text: Column) -> Column:
-    """Sorts digits as numbers and the rest without case: pieces of (is a number, number, text)."""
+    """Sorts digits as numbers, however long, and the rest without case: pieces of (is a number, number, text)."""
     pieces = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
-    number = lambda p: F.try_to_number(p, F.lit("9" * 30)).cast("decimal(30,0)")
-    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.struct(F.lit(1).alias("kind"), number(p).alias("number"), F.lit("").alias("text"))).otherwise(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("decimal(30,0)").alias("number"), F.lower(p).alias("text"))))
+    none = F.struct(F.lit(0).alias("length"), F.lit("").alias("digits"))
+    digits = lambda p: p.rlike(r"^\d")
+    return F.transform(pieces, lambda p: F.struct(F.when(digits(p), 1).otherwise(0).alias("kind"), F.when(digits(p), _whole_number(p)).otherwise(none).alias("number"), F.when(digits(p), F.lit("")).otherwise(F.lower(p)).alias("text")))
 
 
 def version_key(text: Column) -> Column:
-    """Three numbers of a version, without v, build and pre-release; what is no number counts as 0."""
+    """Three numbers of a version, of any length, without v, build and pre-release; what is no number counts as 0."""
     parts = F.split(F.split(F.split(F.regexp_replace(F.btrim(text), r"^[vV]+", ""), r"\+")[0], "-")[0], r"\.")
-    return F.array(*[F.coalesce(F.get(parts, i).try_cast("int"), F.lit(0)) for i in range(3)])
+    part = lambda i: F.btrim(F.coalesce(F.get(parts, i), F.lit("")))
+    return F.array(*[_whole_number(F.when(part(i).rlike(r"^\d+$"), part(i)).otherwise("0")) for i in range(3)])
 
 
 def text_filter(text: Column, needle: str) -> Column:

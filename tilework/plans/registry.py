@@ -12,7 +12,7 @@ from tilework.functions.dialect import duck_sql, spark_sql
 from tilework.operators import graph, raster, registration
 from tilework.plans import mosaic_queries, rule_queries
 from tilework.plans.statements import EDGES, STATEMENTS
-from tilework.sources.tiles import DUCK_PX, pixels
+from tilework.sources.tiles import DUCK_PX, pixels, scenes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,33 +252,50 @@ def manifest_roundtrip(spark, sf_dir):
     return got.select(F.col("path").cast("int").alias("well"), "row", "col", "file")
 
 
+def _arriving(spark, sf_dir) -> DataFrame:
+    """The table of vectors as a stream of its files."""
+    path = f"{sf_dir}/embeddings.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    one_file = table.inputFiles()[0].rstrip("/").endswith("embeddings.parquet")
+    return reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
+
+
 @query("stream_z_max", "SELECT well2, pos, ch, y, x, max(v) AS v FROM px GROUP BY well2, pos, ch, y, x")
 def stream_z_max(spark, sf_dir):
     from tilework.sources.tiles import pixels_from
     from tilework.streaming import folds
 
-    path = f"{sf_dir}/embeddings.parquet"
-    table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema)
-    one_file = table.inputFiles()[0].rstrip("/").endswith("embeddings.parquet")
-    stream = reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
-    return folds.drained(spark, folds.running_max(pixels_from(spark, stream), ["well2", "pos", "ch", "y", "x"]))
+    return folds.drained(spark, folds.running_max(pixels_from(spark, _arriving(spark, sf_dir)), ["well2", "pos", "ch", "y", "x"]))
+
+
+@query("stream_z_focus", FOCUS + "SELECT well2, pos, ch, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(MAXBY[v;ROWS[s;-z]] AS INT) AS v, CAST(MAXBY[z;ROWS[s;-z]] AS INT) AS z FROM j GROUP BY well2, pos, ch, y, x")
+def stream_z_focus(spark, sf_dir):
+    """The sharpest pixels of stacks whose slices arrive, folded with state."""
+    from tilework.operators.tables import new_folder
+    from tilework.streaming import folds
+
+    keys, folder = ["well2", "pos", "ch"], new_folder(spark)
+    place = [f"cast(vec_id {e} as int) AS {n}" for e, n in (("div 60", "well2"), ("% 60 div 10", "pos"), ("% 60 div 5 % 2", "ch"), ("% 5", "z"))]
+    slices = _arriving(spark, sf_dir).selectExpr(*place, "1 AS generation", "8 AS h", "8 AS w", "transform(embedding, e -> cast(rint((cast(e as double) + 1) * 100) as float)) AS v")
+    folds.kept(folds.focus_fold(slices, keys, 2), folder).awaitTermination()
+    flat = folds.latest(spark, folder, keys).select(*keys, F.posexplode(F.arrays_zip("v", "z")).alias("p", "e"))
+    return flat.selectExpr(*keys, "cast(p div 8 as int) AS y", "p % 8 AS x", "cast(e.v as int) AS v", "e.z AS z")
 
 
 def _mosaics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Mosaics of 2 x 2 tiles of 104 x 104, cut 48 apart from scenes of 19 x 19 vectors; the stage is off by up to three
-    pixels. Each scene needs 361 vectors in a row."""
-    px = pixels(spark, sf_dir).select(F.expr("cast(vec_id div 361 as int)").alias("mosaic"), F.expr("cast(vec_id % 361 div 19 * 8 + y as int)").alias("gy"), F.expr("cast(vec_id % 19 * 8 + x as int)").alias("gx"), F.col("v"), "vec_id")
-    px = px.withColumn("gx", F.expr("cast(vec_id % 361 % 19 * 8 + gx % 8 as int)"))
-    whole = px.groupBy("mosaic").agg(F.count("*").alias("n")).where("n = 361 * 64").select("mosaic")
+    pixels."""
+    image = scenes(pixels(spark, sf_dir), 19).withColumnRenamed("scene", "mosaic")
     tile = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
-    cut = px.join(whole, "mosaic").select("*", tile.alias("tile")).withColumn("y", F.expr("gy - tile div 2 * 48")).withColumn("x", F.expr("gx - tile % 2 * 48")).where("y between 0 and 103 and x between 0 and 103")
+    cut = image.select("*", tile.alias("tile")).withColumn("y", F.expr("gy - tile div 2 * 48")).withColumn("x", F.expr("gx - tile % 2 * 48")).where("y between 0 and 103 and x between 0 and 103")
     planes = cut.groupBy("mosaic", "tile").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("mosaic", "tile", F.expr("transform(p, e -> cast(e.v as float))").alias("v"))
-    tiles = whole.select("mosaic", tile.alias("tile")).selectExpr("mosaic", "tile", "cast(tile div 2 as int) AS row", "cast(tile % 2 as int) AS col", "cast(tile div 2 * 48 + tile * 5 % 7 - 3 as double) AS stage_y", "cast(tile % 2 * 48 + tile * 3 % 5 - 2 as double) AS stage_x", "104 AS h", "104 AS w")
+    tiles = image.select("mosaic").distinct().select("mosaic", tile.alias("tile")).selectExpr("mosaic", "tile", "cast(tile div 2 as int) AS row", "cast(tile % 2 as int) AS col", "cast(tile div 2 * 48 + tile * 5 % 7 - 3 as double) AS stage_y", "cast(tile % 2 * 48 + tile * 3 % 5 - 2 as double) AS stage_x", "104 AS h", "104 AS w")
     return tiles, planes
 
 
-SCENES = "m AS (SELECT CAST(IDIV[vec_id;361] AS INT) AS mosaic FROM px GROUP BY 1 HAVING count(*) = 361 * 64)"
+# the last scene is filled up with the first vectors
+SCENES = "m AS (SELECT DISTINCT CAST(IDIV[vec_id;361] AS INT) AS mosaic FROM px)"
 
 
 @query("edge_phase_residual", "WITH " + SCENES + ", t AS (SELECT 0 AS a, 1 AS b UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 3) SELECT mosaic, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(48 * (IDIV[b;2] - IDIV[a;2]) AS INT) AS dy, CAST(48 * (b % 2 - a % 2) AS INT) AS dx, TRUE AS accepted FROM m JOIN t ON 1 = 1")

@@ -55,7 +55,7 @@ SELECT s.vec_id, s.iy, s.ix, round(sum(g.v * (1 - abs(s.sy - g.y)) * (1 - abs(s.
 FROM s JOIN g ON s.vec_id = g.vec_id AND (g.y = s.iy OR g.y = s.iy + 1) AND (g.x = s.ix OR g.x = s.ix + 1) GROUP BY s.vec_id, s.iy, s.ix""".replace("y + 0.25", "CAST(y AS DOUBLE) + CAST(0.25 AS DOUBLE)").replace("x + 0.5", "CAST(x AS DOUBLE) + CAST(0.5 AS DOUBLE)"))
 add("nearest_sample", """
 WITH s AS (SELECT vec_id, y, x, CAST(least(7, floor(CAST(y AS DOUBLE) * 0.9 + 0.5)) AS INT) AS iy, CAST(least(7, floor(CAST(x AS DOUBLE) * 1.1 + 0.5)) AS INT) AS ix FROM px)
-SELECT s.vec_id, s.y, s.x, g.v FROM s JOIN px g ON 64 * s.vec_id + 8 * s.iy + s.ix = 64 * g.vec_id + 8 * g.y + g.x""")
+SELECT s.vec_id, s.y, s.x, g.v FROM s JOIN px g ON s.vec_id = g.vec_id AND s.iy = g.y AND s.ix = g.x""")
 add("highpass", """
 SELECT vec_id, y, x, round(v - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY vec_id), 6) AS s FROM px WHERE y % 2 = 0 AND x % 2 = 0""")
 add("gaussian_lowpass", """
@@ -188,7 +188,7 @@ add("ragged_crop", "WITH s AS (SELECT vec_id, pos, well2, max(y) - vec_id % 2 AS
 add("component_suppression", """
 WITH c AS (SELECT DISTINCT vec_id, CAST(IDIV[vec_id;(7 + IDIV[vec_id;100])] AS INT) AS comp FROM px), n AS (SELECT comp, count(*) AS n FROM c GROUP BY comp), t AS (SELECT count(*) AS tiles FROM c)
 SELECT c.vec_id, c.comp, CASE WHEN n.n < CASE WHEN t.tiles >= 24 THEN 8 ELSE 2 END THEN 1 ELSE 0 END AS suppressed FROM c JOIN n ON c.comp = n.comp JOIN t ON 1 = 1""")
-add("cursor_readout", "SELECT vec_id, y, x, v, round((CAST(1000000 AS DOUBLE) + (tcol * 6 + x) * 2000) / 1000, 3) AS x_um, round((CAST(2000000 AS DOUBLE) + (trow * 6 + y) * 3000) / 1000, 3) AS y_um FROM px WHERE y % 4 = 1 AND x % 4 = 2")
+add("cursor_readout", "SELECT vec_id, y, x, v, round((CAST(1000000 AS DOUBLE) + (tcol * 6 + x) * 2000) / 1000, 3) AS x_um, round((CAST(2000000 AS DOUBLE) + (trow * 6 + y) * 3000) / 1000, 3) AS y_um FROM px")
 add("metadata_report", "SELECT trow, concat('tiles ', CAST(count(DISTINCT vec_id) AS VARCHAR(20)), ', ', CAST(max(tcol) * 6 + 8 AS VARCHAR(20)), ' x 8 px') AS report FROM px GROUP BY trow")
 # --- names, paths and text -----------------------------------------------------------------------------------------------------
 add("parse_tile_name", """
