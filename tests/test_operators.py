@@ -159,13 +159,13 @@ def test_tables_written_together(spark, tmp_path):
 
 
 def test_containers_that_are_none(spark):
-    from tilework.sources import containers
+    from tilework.sources import containers, dataset
 
     files = spark.createDataFrame([("a", b"KTL2"), ("b", b""), ("c", containers.encode(np.full((1, 5, 7), 9, np.uint8), 4, 2000.0))], "path string, content binary")
     got = {r["path"]: r for r in containers.headers(files).collect()}
     assert got["a"]["error"] and got["b"]["error"] and (got["c"]["width"], got["c"]["height"], got["c"]["calibration_nm"]) == (7, 5, 2000.0)
     assert containers.pixels_of(files).where("v = 9").count() == 35
-    assert containers.manifest_entries(files.where("path = 'a'")).first()["idx"] == -1
+    assert dataset.facts(files.where("path = 'a'")).first()["kind"] == "error"
 
 
 def test_numbers_of_any_length_in_names_and_versions(spark):

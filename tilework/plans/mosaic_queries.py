@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilework.functions.dialect import duck_sql
 from tilework.operators import planes as P
-from tilework.operators import correction, render, wells
+from tilework.operators import correction, render, tables, wells
 from tilework.sources.tiles import DUCK_PX, duck_scenes, pixels, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,39 @@ def spatial_field_gates(spark, sf_dir):
     verdicts, fields = correction.spatial_field(tiles, planes, edges, (32, 32))
     apart = fields.select("mosaic", F.posexplode("field").alias("p", "f")).groupBy("mosaic").agg((F.avg(F.abs(F.col("f") - ((F.floor(F.col("p") / 32) - 15.5) * 0.06 + (F.col("p") % 32 - 15.5) * 0.05))) < 0.3).alias("near"))
     return verdicts.join(apart, "mosaic", "left").select("mosaic", "status", "reason", "near")
+
+
+# Manifests: a well of 25 tiles is a grid of 5 x 5; all but each eighth well breaks one rule.
+@query("dataset_refusals", """w AS (SELECT well, count(DISTINCT vec_id) AS n FROM px GROUP BY well),
+r AS (SELECT well, CASE WHEN well % 8 = 2 THEN 'no_enabled_grid' WHEN well % 8 = 5 AND n = 25 THEN 'outside_grid' WHEN well % 8 = 4 AND n > 5 THEN 'tag_twice' WHEN well % 8 = 1 AND n > 6 THEN 'missing_files' WHEN n < 25 THEN 'partial_grid' WHEN well % 8 = 3 THEN 'sizes_differ' WHEN well % 8 = 6 THEN 'pixel_sizes_differ' WHEN well % 8 = 7 THEN 'stage_conflict' END AS rule FROM w)
+SELECT CAST(well AS INT) AS well, rule, CAST(CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS BIGINT) AS bad_rows, CAST(CASE WHEN rule IS NULL THEN 25 ELSE 0 END AS BIGINT) AS tiles FROM r""")
+def dataset_refusals(spark, sf_dir):
+    """The first broken rule of each manifest, or how many tiles it loads."""
+    import pandas as pd
+
+    from tilework.sources import dataset
+
+    tiles = pixels(spark, sf_dir).select("well", "ty", "tx", "vec_id").distinct()
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        well, kind, entries = int(group["well"].iloc[0]), int(group["well"].iloc[0]) % 8, []
+        for t in group.sort_values("vec_id").itertuples(index=False):
+            entries.append((2 * len(entries), int(t.ty), 7 if kind == 5 and t.ty == t.tx == 4 else int(t.tx), f"t{t.vec_id}_CH1.tif"))
+            if kind == 7:
+                entries.append((2 * len(entries), int(t.ty), int(t.tx), f"t{t.vec_id}_CH2.ome.tif"))
+        if kind == 4 and len(group) > 5:
+            entries.append((999, 1, 0, f"again{group['vec_id'].min()}_CH1.tif"))
+        return pd.DataFrame({"path": [str(well)], "content": [dataset.encode(5, 5, entries, enabled="false" if kind == 2 else "true")]})
+
+    known = dataset.facts(tiles.groupBy("well").applyInPandas(pack, "path string, content binary"))
+    known = tables.settled(known, "facts")
+    place = tiles.select(F.col("well").cast("string").alias("path"), (F.col("well") % 8).alias("kind"), "ty", "tx", "vec_id")
+    named = dataset.entries(known).join(place.withColumnRenamed("ty", "row").withColumnRenamed("tx", "col"), ["path", "row", "col"], "left")
+    odd = lambda kind, row, col: (F.col("kind") == kind) & (F.col("row") == row) & (F.col("col") == col)
+    channel = F.expr("array(struct(0 AS page, 'uint8' AS dtype, tag AS label, '' AS color))")
+    sources = named.where(~F.coalesce(odd(1, 1, 1), F.lit(False))).select("path", "file", F.when(odd(3, 2, 2), 9).otherwise(8).alias("h"), F.lit(8).alias("w"), F.when(odd(6, 3, 3), 2.5).otherwise(2.0).alias("pixel_y"), F.lit(2.0).alias("pixel_x"), channel.alias("channels"))
+    stages = named.select("path", "file", (F.col("col") * 1000 + F.when(odd(7, 2, 1) & (F.col("tag") == "CH2"), 1).otherwise(0)).alias("x"), (F.col("row") * 1000).alias("y"), F.lit(5).cast("long").alias("z"))
+    got = dataset.load(known, sources, stages)
+    loaded = got.tiles.groupBy("path").agg(F.count("*").alias("tiles"))
+    out = known.select("path").distinct().join(got.refusals, "path", "left").join(loaded, "path", "left")
+    return out.select(F.col("path").cast("int").alias("well"), "rule", F.coalesce("rows", F.lit(0)).alias("bad_rows"), F.coalesce("tiles", F.lit(0)).alias("tiles"))

@@ -237,19 +237,19 @@ def ktf_headers(spark, sf_dir):
     return got.select(F.regexp_extract("path", r"_A(\d+)_", 1).cast("int").alias("well"), "width", "n_tiles", "calibration_nm", "patch_count", "tile_bytes")
 
 
-@query("gci_manifest_roundtrip", "SELECT DISTINCT CAST(well AS INT) AS well, ty AS row, tx AS col, concat('t', CAST(vec_id AS VARCHAR), '.tif') AS file FROM px")
+@query("gci_manifest_roundtrip", "SELECT DISTINCT well, ty AS row, tx AS col, concat('t', CAST(vec_id AS VARCHAR), '.tif') AS file FROM px")
 def manifest_roundtrip(spark, sf_dir):
     import pandas as pd
 
-    from tilework.sources import containers
+    from tilework.sources import dataset
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        entries = [(int(r), int(c), f"t{k}.tif") for r, c, k in zip(group["ty"], group["tx"], group["vec_id"])]
-        return pd.DataFrame({"path": [str(group["well"].iloc[0])], "content": [containers.manifest(entries)]})
+        entries = [(n, int(r), int(c), f"t{k}.tif") for n, (r, c, k) in enumerate(zip(group["ty"], group["tx"], group["vec_id"]))]
+        return pd.DataFrame({"path": [str(group["well"].iloc[0])], "content": [dataset.encode(5, 5, entries)]})
 
     tiles = pixels(spark, sf_dir).select("well", "ty", "tx", "vec_id").distinct()
-    got = containers.manifest_entries(tiles.groupBy("well").applyInPandas(pack, "path string, content binary"))
-    return got.select(F.col("path").cast("int").alias("well"), "row", "col", "file")
+    got = dataset.entries(dataset.facts(tiles.groupBy("well").applyInPandas(pack, "path string, content binary")))
+    return got.select(F.col("path").cast("int").alias("well"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "file")
 
 
 def _arriving(spark, sf_dir) -> DataFrame:

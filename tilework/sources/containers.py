@@ -1,17 +1,14 @@
 """Binary containers as relations.
 
 A tiled container has a 112-byte little-endian header, row-major tiles of planes, a footer of (offset, size) pairs, a JPEG
-thumbnail and an XML description. Offsets count from the end of the header; a tile holds its planes one after the other. A manifest
-is a ZIP whose members are XML. Rows in are (path, content), as Spark's binaryFile source gives them on any store; tiled.py reads
-parts of large files instead."""
+thumbnail and an XML description. Offsets count from the end of the header; a tile holds its planes one after the other. Rows in are
+(path, content), as Spark's binaryFile source gives them on any store; tiled.py reads parts of large files instead."""
 
 from __future__ import annotations
 
 import io
-import re
 import struct
 import xml.etree.ElementTree as ET
-import zipfile
 from typing import BinaryIO
 
 import numpy as np
@@ -252,34 +249,3 @@ def pixels_of(files: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Files of the format below a folder; Spark leaves out empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!.]*.[kK][tT][fF]").load(path)
-
-
-def manifest(entries: list[tuple[int, int, str]]) -> bytes:
-    """A manifest of (row, col, file)."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for k, (row, col, name) in enumerate(entries):
-            z.writestr(f"Image{k}/properties.xml", f"<Image><Row>{row}</Row><Column>{col}</Column><File>{name}</File></Image>")
-        z.writestr("Joint/properties.xml", f"<Joint><Enabled>true</Enabled><Count>{len(entries)}</Count></Joint>")
-    return out.getvalue()
-
-
-def _entries(parts):
-    for part in parts:
-        rows = []
-        for path, content in zip(part["path"], part["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = z.namelist()
-                    for name in names if len(set(names)) == len(names) else []:
-                        if m := re.fullmatch(r"Image(\d+)/properties\.xml", name):
-                            node = ET.fromstring(z.read(name))
-                            rows.append((path, int(m[1]), int(node.findtext("Row")), int(node.findtext("Column")), node.findtext("File")))
-            except (zipfile.BadZipFile, ET.ParseError):
-                rows.append((path, -1, None, None, None))
-        yield pd.DataFrame(rows, columns=["path", "idx", "row", "col", "file"]).astype({"row": "Int32", "col": "Int32"})
-
-
-def manifest_entries(files: DataFrame) -> DataFrame:
-    """(path, idx, row, col, file); idx -1 marks a manifest that can't be read."""
-    return files.select("path", "content").mapInPandas(_entries, "path string, idx long, row int, col int, file string")
