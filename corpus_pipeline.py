@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, tokenizing; each stage's table feeds the next."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, tokenizing; each stage's table feeds the next.
+
+Defined results: null and empty texts fail the quality rules; rows of equal id are rows of their own in all stages but the
+near duplicates (see there); an empty table gives an empty result; extra columns are not carried; long texts are as each
+operator states."""
 
 from __future__ import annotations
 
@@ -22,10 +26,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, Jaccard of 0.8): that with the least id. Rows that share
-    this id are one document and stay; rows without an id stay."""
+    """One document of each group of near duplicates (five words, Jaccard of 0.8): that with the least id. Rows that share an id go
+    only if all of them do, so a text that an id shares with a duplicate is never lost; rows without an id stay, and so do empty and
+    blank texts, which link with nothing. A very long text's words are held by one task."""
     groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"), 5, 80)
-    go = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")), "gone")
+    stays = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    go = staged(stays.where("not stays").select(F.col("doc_id").alias("id")), "gone")
     return joined(docs, go, F.col("doc_id") == F.col("id"), "left_anti").select(*COLUMNS)
 
 
@@ -40,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("SentencePiece", tokenize)]
-#: Hash ratios, thresholds and best paths have no SQL form; tests hold stages against brute force.
+#: Hash ratios, thresholds and best paths have no SQL form; tests hold the stages' operators against brute force, and stages by properties.
 ORACLE_SQL = None
 
 
