@@ -585,3 +585,34 @@ def test_jaccard_asks_for_no_more_than_a_link_needs(spark):
     rows = [(0, "a b c"), (1, "a b c d")] + [(2 + k, f"a b c x{k} y{k} z{k}") for k in range(600)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 70).collect()}
     assert got[1] == 0 and all(got[k] == k for k in range(2, 602))
+
+
+def test_near_duplicates_lose_no_text(spark):
+    """Ids that several texts share, null ids, empty and repeated texts, against groups by brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(8)]
+    near = [t.rsplit(" ", 2)[0] for t in base[:4]]
+    rows = [(1, base[0]), (2, base[0]), (2, base[5]), (3, near[0]), (4, base[1]), (5, near[1]), (5, near[2]), (6, base[2]), (None, base[3]), (7, near[3]), (7, near[3]), (8, ""), (9, None), (10, "  "), (11, base[6]), (12, base[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words((t or "").translate(LOWER)) for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least[root(i)] = min(least.get(root(i), key), key)
+    stays = {key for i, (key, _) in enumerate(rows) if key is not None and (not sets[i] or least[root(i)] == key)}
+    got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, t)) for i, t in rows if i is None or i in stays)
+    assert base[5] in [r["text"] for r in got] and {1, 2, 4} <= {r["doc_id"] for r in got} and 3 not in {r["doc_id"] for r in got}
