@@ -65,7 +65,7 @@ def reduced(slices: DataFrame, mode: str = "max") -> DataFrame:
 def every_nth(slices: DataFrame, n: int) -> DataFrame:
     """Each n-th z of a well, from its first."""
     zs = slices.select("well", "z").distinct().withColumn("at", F.row_number().over(Window.partitionBy("well").orderBy("z")) - 1).where(F.col("at") % max(1, n) == 0)
-    return slices.join(F.broadcast(zs.select("well", "z")) if n < 1 else zs.select("well", "z"), ["well", "z"], "left_semi")
+    return slices.join(zs.select("well", "z"), ["well", "z"], "left_semi")
 
 
 def flat_fields(planes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +12,20 @@ from pyspark.sql import functions as F
 EDGE_COLUMNS = ["axis", "a", "b", "accepted", "stage_dy", "stage_dx", "ncc", "psr", "peak_margin", "texture"]
 
 
-def write_together(tables: dict[str, DataFrame], path: str) -> None:
+def write_together(tables: dict[str, DataFrame], path: str, gate: Callable[[], None] = lambda: None) -> None:
     """Writes each table below path, reads it back, and only if every schema and row count agrees points the manifest at them.
-    A failure leaves what readers see as it was."""
+    A failure leaves what readers see as it was. gate is called before each step and may stop it with an error."""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in tables.items():
+        gate()
         place = f"{path}/data/{name}-{uuid.uuid4().hex}"
         df.write.parquet(place)
         back = spark.read.parquet(place)
         if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema]:
             raise ValueError(f"{name} was not written as it was")
         rows.append((name, place, back.count()))
+    gate()
     spark.createDataFrame(rows, "name string, place string, n long").coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
 
 
