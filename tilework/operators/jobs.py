@@ -34,12 +34,14 @@ class Work:
     def _run(self) -> None:
         sc = self.spark.sparkContext
         sc.setJobGroup(self.tag, self.tag, interruptOnCancel=True)
-        sc.addJobTag(self.tag)
+        self.spark.addTag(self.tag)
         try:
             write_together(self._make(), self._path, gate=self._check)
             self._published = True
         except BaseException as error:  # given to whoever waits
             self._error = error
+        finally:
+            self.spark.removeTag(self.tag)
 
     def _check(self) -> None:
         if self._stopped.is_set():
@@ -62,7 +64,8 @@ class Work:
     def cancel(self) -> None:
         """Stops what runs and keeps what has not begun from beginning. Work that is published already stays."""
         self._stopped.set()
-        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobGroup(self.tag)
 
     def wait(self, seconds: float | None = None) -> None:
         """Until all is published; raises Cancelled, or what went wrong."""
