@@ -616,3 +616,14 @@ def test_near_duplicates_lose_no_text(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, t)) for i, t in rows if i is None or i in stays)
     assert base[5] in [r["text"] for r in got] and {1, 2, 4} <= {r["doc_id"] for r in got} and 3 not in {r["doc_id"] for r in got}
+
+
+def test_comments_end_as_html_ends_them(spark):
+    words_ = " ".join(f"word{k}" for k in range(60))
+    parts = ["<!-- x --!>", "<!-->", "<!--->", "<!-- a <!--!>", "<!--!> gone -->", "<!-- y -->"]
+    rows = [(k, f"<html><body><article><p>{words_} one.</p>{c}<p>{words_} two.</p></article></body></html>") for k, c in enumerate(parts)] + [(9, f"<article><p>{words_} one.</p><!-- open")]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "'u' AS url", "html")).collect()}
+    assert all(out[k] == f"{words_} one. {words_} two." for k in range(len(parts))) and out[9] == f"{words_} one."
+    began = time.time()
+    html_extract.Page("<!--!" * 200_000)
+    assert time.time() - began < 20

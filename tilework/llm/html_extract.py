@@ -57,6 +57,7 @@ BARE = re.compile(r"[^\s>]*+")
 LOOKED_AT = {"class", "id", "role", "data-y", "aria-label", "href"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: The end of raw text; of a head that is left open, the body.
+COMMENT_END = re.compile("--!?>")
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW} | {"head": re.compile(r"(?<=</head>)|<body(?=[\s/>])", re.I)}
 STOPS = re.compile(r"[.,;:!?]")
 
@@ -78,6 +79,17 @@ class Scanner:
             self.missing[what] = at
         return found if found >= 0 else len(self.html)
 
+    def comment(self, at: int) -> int:
+        """Behind the end of the comment that begins at `at`: --> or --!>, of which only the former may end it at once."""
+        if "<!--" in self.missing:
+            return len(self.html)
+        m = COMMENT_END.search(self.html, at + 2)
+        if m and m[0] == "--!>" and m.start() == at + 2:
+            m = COMMENT_END.search(self.html, at + 3)
+        if not m:
+            self.missing["<!--"] = at
+        return m.end() if m else len(self.html)
+
     def close(self, name: str, at: int) -> int:
         """Where the raw text of the element name ends: before its end tag, or at the end of the page."""
         if name in self.missing:
@@ -163,7 +175,7 @@ class Page:
             else:
                 m = START.match(html, lt + 1)
                 if not m:  # a comment or the like
-                    at = pos = scan.find("-->", lt + 2) + 3 if html.startswith("<!--", lt) else scan.find(">", lt) + 1
+                    at = pos = scan.comment(lt) if html.startswith("<!--", lt) else scan.find(">", lt) + 1
                     continue
                 attrs, pos = scan.attributes(m.end())
                 if pos < 0:
