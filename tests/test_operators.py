@@ -176,3 +176,11 @@ def test_numbers_of_any_length_in_names_and_versions(spark):
     pairs = [("v1.2.99999999999", "1.2.3"), ("1." + big + ".0", "1." + "8" * 40), ("2.0", "1.99.99"), ("1.0.0", "0.9"), ("1.0.1", "1.0.x")]
     got = spark.createDataFrame(pairs, "a string, b string").select((rules.version_key(F.col("a")) > rules.version_key(F.col("b"))).alias("newer"), (rules.version_key(F.col("a")) == rules.version_key(F.concat(F.lit(" V"), "a", F.lit("-rc1+7")))).alias("same")).collect()
     assert all(r["newer"] and r["same"] for r in got)
+
+
+def test_a_needle_that_ends_in_a_digit_again_and_again(spark):
+    texts = ["a12", "a12120", "a1212", "A1212b", "a123", "a12123 12", "", None, "12\n3", "x111", "x1110"]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rules.text_filter(F.col("t"), "12"), rules.text_filter(F.col("t"), "11"), rules.text_filter(F.col("t"), r"\E2")).collect()]
+    assert [g[0] for g in got] == [True, False, True, True, False, True, False, None, True, False, False]
+    assert [g[1] for g in got[-2:]] == [True, False] and not any(g[2] for g in got)
+    assert spark.range(1).select(rules.text_filter(F.lit(r"a\e2b"), r"\E2")).first()[0]

@@ -102,11 +102,11 @@ def version_key(text: Column) -> Column:
 
 def text_filter(text: Column, needle: str) -> Column:
     """Holds the needle, in any case; a needle that ends in a digit is not followed by one more."""
-    quoted = F.lit(needle.lower())
     if not needle[-1:].isdigit():
-        return F.contains(F.lower(text), quoted)
-    after = F.transform(F.slice(F.split(F.lower(text), F.concat(F.lit("\\Q"), quoted, F.lit("\\E")), -1), 2, 1 << 20), lambda rest: ~rest.rlike(r"^\d"))
-    return F.exists(after, lambda x: x)
+        return F.contains(F.lower(text), F.lit(needle.lower()))
+    # looked ahead, not split: what follows a needle may be the needle again, or begin inside it
+    quoted = "\\Q" + needle.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return F.lower(text).rlike(quoted + r"(?!\d)")
 
 
 def path_key(path: Column) -> Column:
