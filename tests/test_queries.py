@@ -37,3 +37,16 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["field_agreement", "overlap_ncc", "components"])
+def test_tiles_without_contrast(spark, duck, name, tmp_path):
+    """Constant tiles have no correlation; the queries say so as their SQL does."""
+    flat = spark.range(150).selectExpr("id AS vec_id", "transform(sequence(1, 64), p -> cast(if(id % 25 < 3, (p * 7 + id * 5) % 11 / 40 - 0.1, 0.1) as float)) AS embedding")
+    flat.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        expected = con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({registry.ORACLES[name]})").fetchall()
+    assert rows(map(tuple, df.select(*columns).collect())) == rows(expected) and expected

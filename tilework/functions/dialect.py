@@ -21,8 +21,13 @@ def spell(statement: str, names: dict[str, str]) -> str:
     return statement.replace("\x01", "[").replace("\x02", "]")
 
 
+CORR = re.compile(r"\bcorr\(((?:[^(),]|\([^()]*\))+), ((?:[^(),]|\([^()]*\))+)\)")
+
+
 def spark_sql(statement: str) -> str:
-    return spell(statement, SPARK).replace("\\", "\\\\")
+    """corr becomes its formula with a division that gives null: Spark's own raises an error where a side is constant, even
+    inside the CASE that asks for that."""
+    return CORR.sub(r"try_divide(covar_pop(\1, \2), stddev_pop(\1) * stddev_pop(\2))", spell(statement, SPARK)).replace("\\", "\\\\")
 
 
 def duck_sql(statement: str) -> str:

@@ -155,7 +155,7 @@ def scalar_solve(spark, sf_dir):
 def components(spark, sf_dir):
     """Tiles that edges join whose overlaps correlate by 0.08 or more."""
     px = raster.on_canvas(pixels(spark, sf_dir))
-    seams = raster.overlaps(px, _edges(spark, sf_dir)).groupBy("a", "b").agg(F.corr("va", "vb").alias("ncc"), F.least(F.stddev_pop("va"), F.stddev_pop("vb")).alias("spread"))
+    seams = raster.overlaps(px, _edges(spark, sf_dir)).groupBy("a", "b").agg(F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb")).alias("ncc"), F.least(F.stddev_pop("va"), F.stddev_pop("vb")).alias("spread"))
     accepted = seams.where("spread >= 1e-9 AND ncc >= 0.08 AND a div 125 = b div 125")
     return graph.components(accepted.select(F.expr("cast(a div 125 as int)").alias("mosaic"), "a", "b"))
 
