@@ -50,3 +50,9 @@ def test_tiles_without_contrast(spark, duck, name, tmp_path):
         con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
         expected = con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({registry.ORACLES[name]})").fetchall()
     assert rows(map(tuple, df.select(*columns).collect())) == rows(expected) and expected
+
+
+def test_votes_meet_by_equal_shifts(spark):
+    """No join of shift_consensus compares all candidates with all others."""
+    plan = registry.QUERIES["shift_consensus"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "NestedLoop" not in plan and "Cartesian" not in plan

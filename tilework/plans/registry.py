@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilework.functions.dialect import duck_sql, spark_sql
 from tilework.operators import graph, raster, registration
 from tilework.plans import mosaic_queries, rule_queries
-from tilework.plans.statements import EDGES, STATEMENTS
+from tilework.plans.statements import CANDIDATES, EDGES, STATEMENTS
 from tilework.sources.tiles import DUCK_PX, pixels, scenes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -52,6 +52,18 @@ def query(name: str, oracle: str = ""):
     return put
 
 
+# The same as its SQL by cells of equal shifts: a vector's votes depend on its shift alone, and shifts are few (what v % 7 and
+# v % 9 leave), so what the join makes grows with the pairs and not with their square.
+QUERIES["shift_consensus"] = _statement("WITH " + CANDIDATES + """,
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY s DESC, vec_id) AS k FROM c) q WHERE k <= 6),
+d AS (SELECT pair, dy, dx, max(s) AS s FROM t GROUP BY pair, dy, dx),
+p AS (SELECT dy + y AS fy, dx + x AS fx, pair, max(s) AS m FROM d LATERAL VIEW explode(array(-1, 0, 1)) a AS y LATERAL VIEW explode(array(-1, 0, 1)) b AS x GROUP BY dy + y, dx + x, pair),
+v AS (SELECT fy, fx, count(*) AS votes, sum(m) AS total FROM p GROUP BY fy, fx),
+w AS (SELECT t.vec_id, fy, fx, votes, total FROM t JOIN v ON t.dy = v.fy AND t.dx = v.fx ORDER BY votes DESC, round(total, 6) DESC, vec_id LIMIT 1)
+SELECT max(w.vec_id) AS winner, max(w.votes) AS votes, round(max(w.total / w.votes), 6) AS score, CAST(floor(median(o.dy)) AS INT) AS dy, CAST(floor(median(o.dx)) AS INT) AS dx
+FROM w JOIN p ON p.fy = w.fy AND p.fx = w.fx JOIN t o ON o.pair = p.pair AND o.s = p.m AND abs(o.dy - w.fy) <= 1 AND abs(o.dx - w.fx) <= 1""")
+
+
 CANVAS = "g AS (SELECT vec_id, trow * 6 + y AS gy, tcol * 6 + x AS gx, v, CAST(least(y + 1, 8 - y, x + 1, 8 - x) AS DOUBLE) AS w FROM px)"
 
 
