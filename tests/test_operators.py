@@ -184,3 +184,33 @@ def test_a_needle_that_ends_in_a_digit_again_and_again(spark):
     assert [g[0] for g in got] == [True, False, True, True, False, True, False, None, True, False, False]
     assert [g[1] for g in got[-2:]] == [True, False] and not any(g[2] for g in got)
     assert spark.range(1).select(rules.text_filter(F.lit(r"a\e2b"), r"\E2")).first()[0]
+
+
+def test_edges_fitted_together_are_fitted_alike(spark, monkeypatch):
+    """Edges of a batch have the fits that they have alone, and whatever is shared is found on planes as on pixels."""
+    from tilework.operators import radiometry
+
+    rng = np.random.default_rng(8)
+    gates, edges = {"samples": 8, "inlier": 0.3}, []
+    for k in range(60):
+        a = rng.uniform(20, 200, 12 + k % 3 * 20)
+        b = a * rng.uniform(0.7, 1.4) + rng.normal(size=len(a)) * (k % 5) if k % 7 else 255 - a
+        for odd in range(k % 4):
+            a[odd], b[-1 - odd] = (np.nan, -3.0, 255.0)[odd], (255.0, np.inf, np.nan)[odd]
+        edges.append((a / 255, b / 255) if k % 11 else (a[:0], b[:0]))
+    edges += [(np.full(20, 0.4), np.full(20, 0.4)), (np.full(20, 1.0), np.full(20, 0.5))]
+    monkeypatch.setattr(radiometry, "BATCH", 100)
+    numbers, reasons, n = radiometry.line_fits(*(np.concatenate([e[k] for e in edges]) for k in (0, 1)), np.array([len(e[0]) for e in edges]), gates)
+    for e, x, reason, m in zip(edges, numbers, reasons, n):
+        alone = radiometry.line_fit(*e, gates)
+        assert (reason, m) == alone[1:] and np.allclose(x, alone[0], rtol=1e-12, atol=1e-15)
+    assert {"", "too_few_samples", "saturated_overlap", "low_information", radiometry.FALLING} <= set(reasons)
+
+    tiles = [(r * 3 + c, r, c, rng.integers(0, 250, 64 - 5 * (r == c)).tolist()) for r in range(3) for c in range(3)]
+    planes = spark.createDataFrame(tiles, "id long, row int, col int, v array<int>")
+    px = planes.selectExpr("id AS vec_id", "row AS trow", "col AS tcol", "posexplode(v) AS (p, v)").selectExpr("*", "cast(p div 8 as int) AS y", "p % 8 AS x")
+    slow = {}
+    for r in raster.overlaps(raster.on_canvas(px), raster.neighbours(planes)).collect():
+        slow.setdefault((r["a"], r["b"], r["axis"]), []).append((r["va"], r["vb"]))
+    fast = {(r["a"], r["b"], r["axis"]): list(zip(r["va"], r["vb"])) for r in raster.plane_overlaps(planes).collect()}
+    assert {k: sorted(v) for k, v in fast.items()} == {k: sorted(v) for k, v in slow.items()} and len(fast) == 12

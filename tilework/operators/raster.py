@@ -93,3 +93,16 @@ def overlaps(px: DataFrame, edges: DataFrame) -> DataFrame:
     a = px.select(F.col("vec_id").alias("a"), "gy", "gx", F.col("v").alias("va"))
     b = px.select(F.col("vec_id").alias("b"), "gy", "gx", F.col("v").alias("vb"))
     return edges.join(a, "a").join(b, ["b", "gy", "gx"])
+
+
+def plane_overlaps(planes: DataFrame, pitch: int = PITCH, side: int = SIDE) -> DataFrame:
+    """overlaps of planes(id, row, col, v), a row an edge: (a, b, axis, va, vb) with arrays of the shared pixels. Of each plane only
+    the strips that neighbours share are sent, and they meet once, by place."""
+    v, n = F.col("v"), side - pitch
+    strip = lambda axis, r, c, of: F.struct(F.lit(axis).alias("axis"), r.alias("r"), c.alias("c"), of.alias("v"))
+    row, col = F.col("row"), F.col("col")
+    a = F.array(strip("x", row, col + 1, F.filter(v, lambda e, p: p % side >= pitch)), strip("y", row + 1, col, F.slice(v, pitch * side + 1, n * side)))
+    b = F.array(strip("x", row, col, F.filter(v, lambda e, p: p % side < n)), strip("y", row, col, F.slice(v, 1, n * side)))
+    ends = [planes.select(F.col("id").alias(t), F.explode(s).alias("s")).select(t, "s.axis", "s.r", "s.c", F.col("s.v").alias("v" + t)) for t, s in (("a", a), ("b", b))]
+    shared = F.least(F.size("va"), F.size("vb"))  # a plane that ends early lacks its last pixels
+    return ends[0].join(ends[1], ["axis", "r", "c"]).where(shared > 0).select("a", "b", "axis", F.slice("va", 1, shared).alias("va"), F.slice("vb", 1, shared).alias("vb"))

@@ -12,7 +12,7 @@ from tilework.functions.dialect import duck_sql, spark_sql
 from tilework.operators import graph, raster, registration
 from tilework.plans import mosaic_queries, rule_queries
 from tilework.plans.statements import CANDIDATES, EDGES, STATEMENTS
-from tilework.sources.tiles import DUCK_PX, pixels, scenes
+from tilework.sources.tiles import DUCK_PX, mosaic_planes, pixels, scenes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,9 +340,10 @@ def geometry_summary(spark, sf_dir):
 def _fits(spark, sf_dir) -> DataFrame:
     from tilework.operators import radiometry
 
-    px = raster.on_canvas(pixels(spark, sf_dir))
-    pairs = raster.overlaps(px, _edges(spark, sf_dir)).withColumn("mosaic", F.expr("cast(a div 125 as int)")).where("a div 125 = b div 125")
-    return radiometry.pair_fits(pairs, {"samples": 8, "correlation": -1.0, "inlier": 0.3})
+    planes = mosaic_planes(spark, sf_dir).withColumnsRenamed({"vec_id": "id", "trow": "row", "tcol": "col"})
+    pairs = raster.plane_overlaps(planes).withColumn("mosaic", F.expr("cast(a div 125 as int)")).where("a div 125 = b div 125")
+    edges = pairs.groupBy("mosaic", "a", "b").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("va", "vb")])  # an id may have several planes
+    return radiometry.sample_fits(edges, {"samples": 8, "correlation": -1.0, "inlier": 0.3})
 
 
 @query("radiometric_pair_fits")

@@ -44,6 +44,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels_from(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def mosaic_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, trow, tcol, v): the tiles of px in the mosaic's layout, a row each, v their pixels row by row."""
+    from tilework.functions.dialect import spark_sql
+
+    grey = F.transform(F.slice("embedding", 1, SIDE * SIDE), lambda e: F.rint((e.cast("double") + 1) * 100).cast("int"))
+    tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) > 0")
+    return tiles.select("vec_id", *[F.expr(c) for c in _columns(spark_sql(PLACES)) if c.endswith((" trow", " tcol"))], grey.alias("v"))
+
+
 def scenes(px: DataFrame, across: int) -> DataFrame:
     """(scene, gy, gx, v): images of across x across vectors in a row. The last scene is filled up with the first vectors, as
     often as it takes, so that every vector is in a scene."""
