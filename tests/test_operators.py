@@ -214,3 +214,18 @@ def test_edges_fitted_together_are_fitted_alike(spark, monkeypatch):
         slow.setdefault((r["a"], r["b"], r["axis"]), []).append((r["va"], r["vb"]))
     fast = {(r["a"], r["b"], r["axis"]): list(zip(r["va"], r["vb"])) for r in raster.plane_overlaps(planes).collect()}
     assert {k: sorted(v) for k, v in fast.items()} == {k: sorted(v) for k, v in slow.items()} and len(fast) == 12
+
+
+def test_a_model_makes_its_fits_once(spark):
+    from tilework.operators import radiometry
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = [(0, a, a + 1, 2000, 1.0 + a / 50, 0.0, 0.9, 0.9, 0.0, 0.01, "") for a in range(5)]
+    fits = spark.createDataFrame(rows, radiometry.FIT).mapInPandas(counted, radiometry.FIT)
+    assert radiometry.model(fits).count() == 6 and seen.value == 5

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilework.operators import graph
+from tilework.operators.tables import settled
 
 ROUNDS = 6
 #: Samples that are fitted at once.
@@ -137,7 +138,8 @@ def sample_fits(samples: DataFrame, gates: dict | None = None, full: float = 255
 
 
 def model(fits: DataFrame, steady: float = 0.05) -> DataFrame:
-    """mosaic, node, gain, offset, kind of the fits of pair_fits."""
+    """mosaic, node, gain, offset, kind of the fits of pair_fits, which are made once."""
+    fits = settled(fits, "fits")
     tiles = fits.select("mosaic", F.col("a").alias("node")).union(fits.select("mosaic", F.col("b"))).distinct()
     good = F.col("reason") == ""
     still = F.col("mad") <= steady
