@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tilework.llm import chat_format, html_extract, jaccard_join, kernels, line_dedup, mixing, nearest, quality_rules, sentencepieces, suffix_dedup, url_filter
+from tilework.llm import chat_format, common, html_extract, jaccard_join, kernels, line_dedup, mixing, nearest, quality_rules, sentencepieces, suffix_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,6 +123,21 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_every_label_counts(spark, monkeypatch):
+    """All documents that are labelled good are trusted, and a label table that is shuffled gives what a broadcast one does."""
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 50) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 50 > 0 as int) AS quality", "0 AS toxic")
+    model = quality_rules.Model(docs, labels)
+    assert model.trusted == labels.where(quality_rules._good(False)).count() > 15_000
+    many = spark.range(45_000)
+    assert quality_rules._labelled(many.selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"), quality_rules._good(False), "x").count() > 20_000
+    longer = docs.withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat(F.lit("w"), (F.col("doc_id") * 7 + k * k) % 50)))).where("doc_id < 300")
+    near = sorted(map(tuple, quality_rules.judge(longer, labels).select("doc_id", "score", "kept").collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    assert near == sorted(map(tuple, quality_rules.judge(longer, labels).select("doc_id", "score", "kept").collect())) and len(near) == 300
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -1,13 +1,12 @@
 """Quality rules with a hashed n-gram log-likelihood ratio; DataFrame functions only.
 
 Base rules count words, symbols, repeated lines and words in repeated windows of five. The model is a pair of multinomials
-over hash buckets of 1- and 2-grams: the raw one counts every document, the trusted one a bounded sample of labelled good
-documents (at most TRUSTED, those of the least id hashes) but for one fold in FOLDS. The number of buckets grows with the
-square root of the n-grams, as vocabularies do. Up to ARRAY buckets are looked up in a constant array, so scoring needs no
-shuffle; more are a table, whose most frequent rows are joined by broadcast and the others by shuffle.
+over hash buckets of 1- and 2-grams: the raw one counts every document, the trusted one every document that is labelled good,
+but for one fold in FOLDS. The number of buckets grows with the square root of the n-grams, as vocabularies do. Up to ARRAY
+buckets are looked up in a constant array, so scoring needs no shuffle; more are a table, whose most frequent rows are joined by broadcast and the others by shuffle.
 
 A document's score is the mean over its n-grams of log(trusted / raw), in steps of 1 / PARTS. It is kept if the score is at
-least the cut that best tells the good documents of the fold left out from the labelled bad ones (at most TRUSTED of each).
+least the cut that best tells all good documents of the fold left out from all that are labelled bad.
 
 Defined results: null and blank texts have no words, fail the base rules and score 0; without labels the ratio is 0
 everywhere; without held-out good or without bad labels there is no cut, and only the base rules decide; very long texts are
@@ -27,7 +26,6 @@ from tilework.llm.url_filter import GRID, _threshold
 MIN_BUCKETS = 1 << 16
 GROWTH = 24
 ARRAY = 1 << 22
-TRUSTED = 20_000
 FOLDS = 5
 #: Ratios are whole numbers of these parts from -LIMIT to LIMIT: a byte each, and sums do not depend on their order.
 PARTS = 32
@@ -60,10 +58,9 @@ def _bucket(x: Column, buckets: int) -> Column:
     return F.pmod(x, F.lit(buckets)).cast("long")
 
 
-def _sampled(labels: DataFrame, which: Column, name: str) -> DataFrame:
-    """At most TRUSTED labelled ids, so they are broadcast."""
-    ids = labels.where("doc_id is not null").where(which).select(F.col("doc_id").alias(name)).distinct()
-    return F.broadcast(ids.orderBy(F.xxhash64(name), name).limit(TRUSTED))
+def _labelled(labels: DataFrame, which: Column, name: str) -> DataFrame:
+    """All ids of such labels."""
+    return labels.where("doc_id is not null").where(which).select(F.col("doc_id").alias(name)).distinct()
 
 
 def _good(held: bool) -> Column:
@@ -77,11 +74,11 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame):
         n = docs.select(F.size(words(F.col("text").cast("string"))).alias("n")).agg(F.coalesce(F.sum(F.greatest(2 * F.col("n") - 1, F.lit(0)).cast("long")), F.lit(0))).first()[0]
         self.buckets = bucket_count(n)
-        good = _sampled(labels, _good(False), "good_id")
-        marked = docs.join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().cast("long").alias("trusted"))
+        good = _labelled(labels, _good(False), "good_id")
+        marked = joined(docs.select("doc_id", "text"), good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().cast("long").alias("trusted"))
         grams = _hashes(marked).select("trusted", F.explode(F.concat("h", "g")).alias("x")).select("trusted", _bucket(F.col("x"), self.buckets).alias("bucket"))
         counts = staged(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")), "buckets")
-        m = counts.agg(F.coalesce(F.sum("good"), F.lit(0))).first()[0]
+        self.trusted = m = counts.agg(F.coalesce(F.sum("good"), F.lit(0))).first()[0]
         share = F.col("raw") / F.lit(float(max(n, 1)))
         ratio = F.log((F.col("good") + PRIOR * self.buckets * share) / F.lit(m + PRIOR * self.buckets) / share) if m else F.lit(0.0)
         self.table = counts.select("bucket", "raw", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.round(ratio * PARTS))).cast("long").alias("parts"))
@@ -98,11 +95,11 @@ class Model:
 
     def _calibrated(self, docs: DataFrame, labels: DataFrame) -> float:
         """The least score that is kept."""
-        held = _sampled(labels, _good(True), "held_id").withColumn("of_good", F.lit(1))
-        bad = _sampled(labels, F.expr("quality = 0"), "held_id").withColumn("of_good", F.lit(0))
+        held = _labelled(labels, _good(True), "held_id").withColumn("of_good", F.lit(1))
+        bad = _labelled(labels, F.expr("quality = 0"), "held_id").withColumn("of_good", F.lit(0))
         # an id that is labelled both ways tells nothing
         ids = held.union(bad).groupBy("held_id").agg(F.min("of_good").alias("of_good"), F.max("of_good").alias("most")).where("of_good = most").drop("most")
-        found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("held_id")).select("text", "of_good")
+        found = joined(docs.select("doc_id", "text"), ids, F.col("doc_id") == F.col("held_id")).select("text", "of_good")
         scored = self.scored(_hashes(found).where(F.col("n_words") >= MIN_WORDS))
         steps = scored.groupBy(F.floor(F.col("score") * GRID).alias("step")).agg(F.sum("of_good").alias("good"), F.count("*").alias("n")).orderBy("step").collect()
         return _threshold([(r["step"], r["good"], r["n"] - r["good"]) for r in steps])
