@@ -138,6 +138,13 @@ def test_every_label_counts(spark, monkeypatch):
     assert near == sorted(map(tuple, quality_rules.judge(longer, labels).select("doc_id", "score", "kept").collect())) and len(near) == 300
 
 
+def test_ratios_stand_in_no_plan(spark):
+    docs = spark.createDataFrame([(k, f"a b c d e f g h i j k {k}") for k in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "0 AS toxic")
+    out = quality_rules.judge(docs, labels)
+    assert out.count() == 40 and len(out._jdf.queryExecution().toString()) < 100_000
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -3,7 +3,7 @@
 Base rules count words, symbols, repeated lines and words in repeated windows of five. The model is a pair of multinomials
 over hash buckets of 1- and 2-grams: the raw one counts every document, the trusted one every document that is labelled good,
 but for one fold in FOLDS. The number of buckets grows with the square root of the n-grams, as vocabularies do. Up to ARRAY
-buckets are looked up in a constant array, so scoring needs no shuffle; more are a table, whose most frequent rows are joined by broadcast and the others by shuffle.
+buckets are looked up in an array, the result of a scalar subquery, so scoring needs no shuffle; more are a table, whose most frequent rows are joined by broadcast and the others by shuffle.
 
 A document's score is the mean over its n-grams of log(trusted / raw), in steps of 1 / PARTS. It is kept if the score is at
 least the cut that best tells all good documents of the fold left out from all that are labelled bad.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ from tilework.llm.url_filter import GRID, _threshold
 MIN_BUCKETS = 1 << 16
 GROWTH = 24
 ARRAY = 1 << 22
+#: Ratios of an array that one group holds on the way.
+CHUNK = 4096
 FOLDS = 5
 #: Ratios are whole numbers of these parts from -LIMIT to LIMIT: a byte each, and sums do not depend on their order.
 PARTS = 32
@@ -87,11 +88,12 @@ class Model:
         self.array = self._array() if self.buckets <= ARRAY else None
         self.cut = self._calibrated(docs, labels)
 
-    def _array(self) -> Column:
-        rows = self.table.select("bucket", "parts").toArrow()  # ARRAY rows at most
-        values = np.zeros(self.buckets, np.int64)
-        values[np.asarray(rows["bucket"])] = np.asarray(rows["parts"])
-        return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<tinyint>")
+    def _array(self) -> DataFrame:
+        """One row: the parts of all buckets (ARRAY bytes at most) in their order. As a subquery's result they stand in no plan."""
+        every = self.table.sparkSession.range(self.buckets).withColumnRenamed("id", "bucket").join(self.table, "bucket", "left")
+        chunk = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("parts", F.lit(0)).cast("tinyint").alias("parts"))))
+        chunks = every.groupBy(F.floor(F.col("bucket") / CHUNK).alias("at")).agg(F.transform(chunk, lambda e: e["parts"]).alias("of"))
+        return staged(chunks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "of"))), lambda e: e["of"])).alias("ratios")), "ratios")
 
     def _calibrated(self, docs: DataFrame, labels: DataFrame) -> float:
         """The least score that is kept."""
@@ -107,9 +109,10 @@ class Model:
     def scored(self, df: DataFrame) -> DataFrame:
         """df(text, h, g, ...) with score."""
         if self.array is not None:
-            # one look-up for both: the plan holds the ratios once, and so do its texts in the driver
+            # the subquery is a column of its own: higher-order functions take none, but the optimizer puts it where it is used
             mean = self._total(F.concat("h", "g")) / (F.size("h") + F.size("g")) / PARTS
-            return df.withColumn("score", F.when(F.size("h") > 0, mean).otherwise(0.0))
+            df = df.withColumn("ratios", self.array.scalar())
+            return df.withColumn("score", F.when(F.size("h") > 0, mean).otherwise(0.0)).drop("ratios")
         # a score depends on the text alone, and repeated texts leave its mean as it is
         key = F.xxhash64(F.col("text").cast("string"))
         grams = df.select(key.alias("text_key"), F.explode(F.concat("h", "g")).alias("x")).select("text_key", _bucket(F.col("x"), self.buckets).alias("bucket"))
@@ -123,7 +126,7 @@ class Model:
         return df.withColumn("score", F.coalesce("mean", F.lit(0.0))).drop("text_key", "mean")
 
     def _total(self, of: Column) -> Column:
-        return F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + F.get(self.array, _bucket(x, self.buckets).cast("int")))
+        return F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + F.get("ratios", _bucket(x, self.buckets).cast("int")))
 
 
 def _repeated_words() -> tuple[Column, Column, Column]:
@@ -137,7 +140,7 @@ def _repeated_words() -> tuple[Column, Column, Column]:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    names = ("w", "n_words", "h", "g", "five", "ordered", "places", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "text_key", "mean")
+    names = ("w", "n_words", "h", "g", "five", "ordered", "places", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "text_key", "mean", "ratios")
     kept_columns = [c for c in docs.columns if c not in names]  # a clashing extra column gives way to the result's
     model = Model(docs, labels)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
